@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("crawl",)
+MODULES = ("crawl", "sites")
 
 
 def load():

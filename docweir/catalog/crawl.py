@@ -149,14 +149,14 @@ def url_language_filter(spark, sf):
 
 _VERSIONED = f"""parted AS (SELECT *, {q.segs(q.path('url'))} AS parts, {q.version_seg(q.path('url'))} AS ver FROM cand),
     keyed AS (SELECT *, list_position(parts, ver) AS vi FROM parted),
-    grouped AS (SELECT *, array_to_string(parts[1:vi - 1], '/') AS head, array_to_string(parts[vi + 1:], '/') AS tail
+    vgrouped AS (SELECT *, array_to_string(parts[1:vi - 1], '/') AS head, array_to_string(parts[vi + 1:], '/') AS tail
                   FROM keyed WHERE ver IS NOT NULL),
-    seg AS (SELECT site_id, head, tail, ver, min(pos) AS first FROM grouped GROUP BY ALL),
+    seg AS (SELECT site_id, head, tail, ver, min(pos) AS first FROM vgrouped GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY site_id, head, tail
                  ORDER BY {q.version_key('ver')} DESC, first) AS rn,
                  min(first) OVER (PARTITION BY site_id, head, tail) AS group_pos FROM seg),
     newest AS (SELECT site_id, pos, url, false AS is_versioned, NULL::BIGINT AS group_pos FROM parted WHERE ver IS NULL
-      UNION ALL SELECT g.site_id, pos, url, true, group_pos FROM grouped g JOIN ranked r
+      UNION ALL SELECT g.site_id, pos, url, true, group_pos FROM vgrouped g JOIN ranked r
         ON g.site_id = r.site_id AND g.head = r.head AND g.tail = r.tail AND g.ver = r.ver WHERE rn = 1)"""
 
 

@@ -208,6 +208,42 @@ def repo_meta(d: Dialect) -> str:
       FROM (SELECT DISTINCT {HOST} AS repo FROM @pages) h"""
 
 
+def snapshots(d: Dialect) -> str:
+    """Fetched bodies: the HTML of each page, some Markdown siblings, some negotiated Markdown."""
+    u = d.replace("regexp_extract(url, '^([^?#]*)', 1)", "/+$", "")
+    head = "regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
+    return f"""
+    SELECT {HOST} AS site_id, {u} AS url, 'html' AS variant,
+           CASE WHEN page_id % 10 = 3 THEN 404 ELSE 200 END AS status,
+           CASE WHEN page_id % 11 = 4 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
+           html AS body FROM @pages
+    UNION ALL
+    SELECT {HOST} AS site_id, {u} || '.md' AS url, 'md' AS variant, 200 AS status,
+           CASE WHEN page_id % 7 = 0 THEN 'text/html' ELSE 'text/plain' END AS content_type,
+           CASE WHEN page_id % 5 = 0 THEN ' <!doctype html>' ELSE '---{NL}title: "M ' || {d.text('page_id')} ||
+                '"{NL}---{NL}' || {head} END AS body FROM @pages WHERE length({HOST}) % 3 < 2
+    UNION ALL
+    SELECT {HOST} AS site_id, {u} AS url, 'negotiated' AS variant,
+           CASE WHEN page_id % 4 = 3 THEN 500 ELSE 200 END AS status,
+           CASE WHEN page_id % 8 = 1 THEN 'text/html' ELSE 'text/markdown; charset=utf-8' END AS content_type,
+           CASE WHEN page_id % 9 = 0 THEN ' {NL} ' ELSE '# ' || {head} || '{NL}{NL}body of page' END AS body
+      FROM @pages WHERE length({HOST}) % 3 = 0"""
+
+
+def index_snapshots(d: Dialect) -> str:
+    """Index files as fetched: one full and one link file in some folder of each site."""
+    base = "'https://' || site_id"
+    lines = " || ".join([f"'- [p{i}](/p{i}.md){NL}'" for i in range(3)])
+    return f"""
+    SELECT {base} || CASE WHEN length(site_id) % 2 = 0 THEN '/llms.txt' ELSE '/en/llms-full.txt' END AS url,
+           CASE WHEN pages % 4 = 0 THEN {base} || '/llms.txt' ELSE {base} || '/en/llms-full.txt' END AS final_url,
+           CASE WHEN pages % 5 = 4 THEN 404 ELSE 200 END AS status,
+           CASE WHEN pages % 7 = 6 THEN 'text/html' ELSE 'text/plain' END AS content_type,
+           '# ' || site_id || '{NL}' || CASE WHEN pages % 3 = 0 THEN {lines} ELSE '' END ||
+           repeat('prose line{NL}', CAST(pages * 3 AS INT)) AS body
+      FROM (SELECT {HOST} AS site_id, count(*) AS pages FROM @pages GROUP BY 1) h"""
+
+
 def crawl_edges(d: Dialect) -> str:
     """Link rows of a crawlable site: root -> language listings -> pages -> their navigation."""
     nav = (

@@ -39,7 +39,6 @@ def files(tree: DataFrame) -> DataFrame:
 def doc_folder(tree: DataFrame) -> DataFrame:
     """``(repo, doc_folder)``: the top-level folder that ranks first, null when none does."""
     top = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1))
-    order = F.array_position(F.array(*[F.lit(p) for p in FOLDER_PRIORITY]), F.lower(top))
     names = files(tree).groupBy("repo", top.alias("top")).agg(F.min("pos").alias("_pos"))
     order = F.array_position(F.array(*[F.lit(p) for p in FOLDER_PRIORITY]), F.lower("top"))
     return names.groupBy("repo").agg(

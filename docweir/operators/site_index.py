@@ -84,7 +84,7 @@ def is_full(body: Column) -> Column:
     lines = F.filter(_lines(body), lambda x: x != "")
     n = F.size(lines)
     hits = F.size(F.filter(lines, lambda x: x.rlike(LINK)))
-    return (n >= params.INDEX_MIN_LINES) & (hits / n < params.INDEX_LINK_RATIO)
+    return (n >= params.INDEX_MIN_LINES) & (F.try_divide(hits, n) < params.INDEX_LINK_RATIO)
 
 
 def has_links(body: Column) -> Column:

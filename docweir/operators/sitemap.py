@@ -41,12 +41,13 @@ def parse(files: DataFrame) -> DataFrame:
     )
     is_xml = F.startswith(body, F.lit("<"))
     # a list holds pages or other sitemaps, never both
-    is_urlset = bare.rlike(r"^(?s)(?:<\?.*?\?>|<!--.*?-->|\s)*<urlset\b")
+    root = F.regexp_extract(bare, r"(?s)^(?:<\?.*?\?>|<!--.*?-->|\s)*<([A-Za-z]+)", 1)
+    is_urlset, is_index_file = root == "urlset", root == "sitemapindex"
     return files.withColumn("_x", F.when(is_xml, xml)).select(
         *files.columns,
         F.when(is_xml & is_urlset, cleaned(F.col("_x.url"))).when(is_xml, F.array().cast(_ENTRY))
         .otherwise(plain).alias("entries"),
-        F.when(is_xml & ~is_urlset, cleaned(F.col("_x.sitemap"))).otherwise(F.array().cast(_ENTRY)).alias("subs"),
+        F.when(is_xml & is_index_file, cleaned(F.col("_x.sitemap"))).otherwise(F.array().cast(_ENTRY)).alias("subs"),
     )
 
 

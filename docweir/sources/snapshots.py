@@ -65,6 +65,13 @@ def html_snapshots(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def one_per_url(pages: DataFrame) -> DataFrame:
+    """A single page per address when it was fetched more than once."""
+    return pages.groupBy("site_id", "url").agg(F.max(F.struct("title", "content")).alias("_p")).select(
+        "site_id", "url", "_p.title", "_p.content"
+    )
+
+
 def fetch_pages(plan: DataFrame, snapshots: DataFrame, html_pages: DataFrame) -> DataFrame:
     """Resolve each planned URL to the page variant the site's probe calls for.
 
@@ -74,9 +81,9 @@ def fetch_pages(plan: DataFrame, snapshots: DataFrame, html_pages: DataFrame) ->
     preference, and pages without that variant fall through to HTML.
     """
     url = F.col("url")
-    neg = negotiated_pages(snapshots).withColumnsRenamed({"title": "_nt", "content": "_nc"})
-    sib = sibling_pages(snapshots).withColumnsRenamed({"url": "_md_url", "title": "_mt", "content": "_mc"})
-    htm = html_pages.where(F.col("content") != "").withColumnsRenamed({"title": "_ht", "content": "_hc"})
+    neg = one_per_url(negotiated_pages(snapshots)).withColumnsRenamed({"title": "_nt", "content": "_nc"})
+    sib = one_per_url(sibling_pages(snapshots)).withColumnsRenamed({"url": "_md_url", "title": "_mt", "content": "_mc"})
+    htm = one_per_url(html_pages.where(F.col("content") != "")).withColumnsRenamed({"title": "_ht", "content": "_hc"})
     rows = (
         plan.withColumn("_md_url", markdown_url(url))
         .join(neg, ["site_id", "url"], "left")
