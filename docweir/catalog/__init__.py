@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("crawl", "sites")
+MODULES = ("crawl", "sites", "text")
 
 
 def load():

@@ -31,46 +31,30 @@ def strip_front_matter(md: Column) -> Column:
 def strip_jsx(md: Column) -> Column:
     """Remove import and export lines, JSX tags and JSX comments outside fenced code.
 
-    Lines get a fence flag by a running count over the line array, code passes
-    unchanged, and the text between two code blocks is cleaned of comments that
-    span lines before everything is joined again.
+    The text is cut in front of every fence line, which makes every second piece
+    code and lets each piece be cleaned by patterns in one pass.
     """
-    lines = F.split(md, "\n")
-    tagged = F.transform(
-        lines,
-        lambda line: F.struct(
-            line.alias("line"), F.startswith(strip(line), F.lit("```")).alias("fence")
-        ),
-    )
+    pieces = F.split(md, r"(?m)(?=^[^\S\n]*```)")
 
-    def clean(line: Column) -> Column:
+    def clean(piece: Column) -> Column:
         for pattern in (
-            r"(?d)\{/\*.*?\*/\}",
-            r"<[A-Z][A-Za-z0-9.]*\b[^>]*/>\s*\n?",
-            r"<([A-Z][A-Za-z0-9.]*)\b[^>]*>\s*\n?",
-            r"</[A-Z][A-Za-z0-9.]*>\s*\n?",
+            r"(?m)^[^\S\n]*(?:import|export)[^\S\n]+\S[^\n]*\n?",
+            r"\{/\*[^\n]*?\*/\}",
+            r"<[A-Z][A-Za-z0-9.]*\b[^>\n]*>[^\S\n]*",
+            r"</[A-Z][A-Za-z0-9.]*>[^\S\n]*",
         ):
-            line = F.regexp_replace(line, pattern, "")
-        return line
-
-    # every odd stretch between fence lines is code
-    stretches = F.aggregate(
-        tagged,
-        F.struct(F.lit(False).alias("code"), F.array().cast("array<struct<line:string,keep:boolean>>").alias("out")),
-        lambda acc, t: F.struct(
-            F.when(t["fence"], ~acc["code"]).otherwise(acc["code"]).alias("code"),
-            F.array_append(
-                acc["out"],
-                F.struct(t["line"].alias("line"), (t["fence"] | acc["code"]).alias("keep")),
-            ).alias("out"),
-        ),
-    )["out"]
-    kept = F.filter(
-        stretches, lambda s: s["keep"] | ~strip(s["line"]).rlike(r"^(import|export)\s+")
-    )
-    text = F.array_join(
-        F.transform(kept, lambda s: F.when(s["keep"], s["line"]).otherwise(clean(s["line"]))), "\n"
+            piece = F.regexp_replace(piece, pattern, "")
+        return piece
+
+    def cleaned(piece: Column, i: Column) -> Column:
+        fence = F.regexp_extract(piece, r"^([^\S\n]*```[^\n]*\n?)", 1)
+        behind = F.regexp_replace(piece, r"^[^\S\n]*```[^\n]*\n?", "")
+        return F.when(i % 2 == 1, piece).otherwise(F.concat(fence, clean(behind)))
+
+    text = F.array_join(F.transform(pieces, cleaned), "")
+    # comments over several lines go everywhere but between two fence marks
+    spans = F.transform(
+        F.split(text, "```"),
+        lambda s, i: F.when(i % 2 == 1, s).otherwise(F.regexp_replace(s, r"(?s)\{/\*.*?\*/\}", "")),
     )
-    # comments over several lines, with whole fenced blocks matched first and kept
-    text = F.regexp_replace(text, r"(?s)(```.*?```)|\{/\*.*?\*/\}", "$1")
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.array_join(spans, "```"), r"\n{3,}", "\n\n"))

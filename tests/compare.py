@@ -65,7 +65,7 @@ def main(names, sf_dir="/root/testdata/sf0.001"):
     from docweir.session import local_session
 
     spark = local_session("8")
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for n in names or queries:
