@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("crawl", "sites", "text")
+MODULES = ("crawl", "sites", "text", "retrieval")
 
 
 def load():
