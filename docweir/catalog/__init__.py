@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("crawl", "sites", "text", "retrieval")
+MODULES = ("crawl", "sites", "text", "retrieval", "dialogue", "streams")
 
 
 def load():

@@ -304,8 +304,8 @@ def job_events(d: Dialect) -> str:
                 WHEN 'purchase' THEN CASE WHEN value > 60 THEN 'completed' ELSE 'in_progress' END
                 WHEN 'signup' THEN 'paused' ELSE NULL END AS status,
            event_type <> 'error' AS http_ok,
-           CAST(value AS BIGINT) AS pages_fetched,
-           CAST(value * 2 AS BIGINT) + 1 AS pages_total, ts
+           CAST(floor(value) AS BIGINT) AS pages_fetched,
+           CAST(floor(value * 2) AS BIGINT) + 1 AS pages_total, ts
       FROM @events"""
 
 

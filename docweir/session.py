@@ -23,7 +23,8 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "1
     )
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a temporary one only for local sessions without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
@@ -40,7 +41,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_checkpoint_folder(spark))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
