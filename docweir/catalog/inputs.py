@@ -14,6 +14,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweir.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -341,8 +343,13 @@ def ctes(*names: str) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{n} AS ({duck(n)})" for n in names)
 
 
+# The column that spreads a table when it comes in fewer files than there are cores.
+SPREAD_BY = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, SPREAD_BY[name]) if name in SPREAD_BY else rows
 
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -181,7 +181,7 @@ def vector_topk_scoped(spark, sf):
     return vectors.top_k_scoped(vector_chunks(spark, sf), queries, scope, digits=6).drop("similarity")
 
 
-@query("embed_chunks")
+@query("embed_chunks", "SELECT doc_id AS chunk_id, 64 AS n FROM documents")
 def embed_chunks(spark, sf):
     rows = document_chunks(spark, sf).select("chunk_id", "content")
     vecs = vectors.embed(rows, vectors.hashing_embedder(64), dimension=64)
@@ -285,7 +285,11 @@ def rerank_lexical(spark, sf):
     return ranked.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
 
 
-@query("rerank_model")
+@query(
+    "rerank_model",
+    f"""{_HEAD}, {_FUSED.format(n=50)}, scored2 AS (SELECT c.*, CAST(length(text) % 97 AS DOUBLE) AS rerank_score FROM cut c JOIN documents d ON d.doc_id = c.chunk_id)
+    SELECT query_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rrf_rank) AS final_rank FROM scored2""",
+)
 def rerank_model(spark, sf):
     corpus, queries, fused = _fused(spark, sf)
     rows = fusion.hydrate(fusion.cut(fused), corpus.chunks, corpus.documents, corpus.parents).join(

@@ -11,13 +11,14 @@ from docweir.catalog.inputs import ctes, derived, duck, table
 from docweir.catalog.registry import query
 from docweir.functions import urls
 from docweir.operators import crawl, repo, robots, site_index, sitemap
+from docweir.session import cut_lineage
 from docweir.sources import snapshots
 
 # ---- page snapshots -----------------------------------------------------------------------------
 
 _HTML = "regexp_extract(body, '(?s)<article>(.*?)</article>', 1)"
 _TITLE = "regexp_extract(body, '<title>([^<]*)</title>', 1)"
-_NEG = """neg AS (SELECT site_id, url, regexp_extract(trim(body, chr(10) || ' '), '(?m)^# (.*)$', 1) AS title,
+_NEG = """neg AS (SELECT site_id, url, trim(regexp_extract(trim(body, chr(10) || ' '), '(?m)^# (.*)$', 1)) AS title,
         trim(body, chr(10) || ' ') AS content FROM snapshots WHERE variant = 'negotiated' AND status = 200
         AND content_type LIKE '%text/markdown%' AND regexp_matches(body, '\\S'))"""
 _SIB = """sib AS (SELECT site_id, url AS md_url, regexp_extract(body, 'title: "([^"]*)"', 1) AS title,
@@ -398,6 +399,7 @@ def _crawl_frames(spark, sf):
     edges = derived(spark, sf, "crawl_edges").select(
         "site_id", F.concat(host, "src").alias("src"), F.concat(host, "dst").alias("dst"), "link_pos"
     )
+    edges = cut_lineage(edges)
     sites = derived(spark, sf, "sites").select("site_id", F.concat(host, F.lit("/")).alias("base_url"))
     pages = (
         edges.select("site_id", F.col("src").alias("url"))

@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from docweir.catalog import dialogue  # noqa: F401  (registers the batch twin)
 from docweir.catalog.inputs import table
-from docweir.catalog.registry import query
+from docweir.catalog.registry import ORACLES, query
+from docweir.catalog.text import _SPLIT
 from docweir.session import shared_folder
 from docweir.streaming import ingest, jobs
 
@@ -18,7 +20,7 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-@query("stream_job_state")
+@query("stream_job_state", ORACLES["job_state_last"])
 def stream_job_state(spark, sf):
     """Job records by the stateful operator, one write per micro-batch, the last record per job."""
     kind = F.col("event_type")
@@ -48,7 +50,11 @@ def stream_job_state(spark, sf):
     return states.groupBy("job_id").agg(F.max_by(F.struct("status", "error_message", "pages_fetched", "pages_total", "polls"), "batch").alias("s")).select("job_id", "s.*")
 
 
-@query("stream_ingest")
+@query(
+    "stream_ingest",
+    f"""WITH RECURSIVE {_SPLIT}, pieces2 AS MATERIALIZED (SELECT doc_id, idx, len(regexp_extract_all('Document doc ' || doc_id || ' txt ' || piece, '[\\p{{L}}\\p{{N}}]+')) AS n FROM char_split)
+    SELECT doc_id::VARCHAR AS document_id, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS tokens FROM pieces2 GROUP BY 1""",
+)
 def stream_ingest(spark, sf):
     """Documents arriving as a stream, chunked and indexed batch by batch."""
     docs = _stream(spark, sf, "documents").select(

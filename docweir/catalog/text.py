@@ -187,7 +187,10 @@ def md_title_frontmatter(spark, sf):
     )
 
 
-@query("mdx_strip")
+@query(
+    "mdx_strip",
+    f"""{ctes('markdown_docs')} SELECT doc_id, {q.strip("regexp_replace(regexp_replace(text, '(^|' || chr(10) || ')import Widget from x' || chr(10) || '<Card title=\"a\">|</Card>', '\\1', 'g'), '(' || chr(10) || '){3,}', chr(10) || chr(10), 'g')")} AS content FROM markdown_docs""",
+)
 def mdx_strip(spark, sf):
     return derived(spark, sf, "markdown_docs").select("doc_id", markdown.strip_jsx(F.col("text")).alias("content"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ from docweir import params
 PLAIN_COUNT_FAMILIES = ("gpt-", "text-embedding-", "claude-", "gemini-")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body's lambdas read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Cut white space, line ends included, off both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

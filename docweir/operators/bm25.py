@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweir import params
 from docweir.operators import index
+from docweir.session import fits_broadcast
 
 
 def idf(n_chunks: Column, doc_freq: Column) -> Column:
@@ -18,6 +19,14 @@ def weight(tf: Column, words: Column, avg: Column, k1: float = params.BM25_K1, b
     return tf * (k1 + 1) / (tf + k1 * (1.0 - b + b * words / avg))
 
 
+KEY = ["user_id", "language", "lexeme"]
+
+
+def asked_postings(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings of lexemes that some query asks for; the others never reach a join or a fold."""
+    return postings.join(terms.select(*KEY).distinct(), KEY, "left_semi")
+
+
 def term_idf(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
     """Query terms with their document frequency and IDF within the user's chunks.
 
@@ -25,11 +34,9 @@ def term_idf(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFra
     Postings hold one row per chunk and lexeme, so a row count is a chunk count,
     and it is taken only for lexemes some query asks for.
     """
-    key = ["user_id", "language", "lexeme"]
-    vocabulary = terms.select(*key).distinct()
-    freq = postings.join(vocabulary, key, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("doc_freq"))
+    freq = asked_postings(terms, postings).groupBy(*KEY).agg(F.count(F.lit(1)).alias("doc_freq"))
     return (
-        terms.join(freq, key, "left")
+        terms.join(freq, KEY, "left")
         .join(stats, "user_id")
         .select(
             *terms.columns,
@@ -59,12 +66,15 @@ def search(
 
     Terms meet postings on (user, language, lexeme), so chunks match on any term
     and only against terms of their own language. Scores are summed before the
-    shuffle on (query, chunk). The term table is small for usual batches and then
-    broadcast by its size estimate; larger ones shuffle, with AQE splitting the
-    lexemes that stand in most chunks.
+    shuffle on (query, chunk). Usual query batches have few terms, which a bounded
+    count proves before they are broadcast; then postings stay where their chunk
+    is. Larger batches shuffle both sides, and AQE splits the lexemes that stand
+    in most chunks.
     """
     weighed = term_idf(terms, postings, index.corpus_stats(chunks))
-    hits = postings.join(weighed, ["user_id", "language", "lexeme"])
+    if fits_broadcast(terms):
+        weighed = F.broadcast(weighed)
+    hits = asked_postings(terms, postings).join(weighed, KEY)
     part = F.col("idf") * weight(F.col("tf").cast("double"), F.col("word_count"), F.col("avg_words"), k1, b)
     total = F.sum(part)
     scored = hits.groupBy("query_id", "chunk_id", "document_id").agg(

@@ -55,6 +55,7 @@ def crawl_links(
     written out between rounds. ``order_key`` replays the visiting order.
     """
     prefix = sites.select("site_id", "base_url", urls.scope_prefix(F.col("base_url")).alias("_prefix"))
+    rules = cut_lineage(rules)  # read again on every level
     frontier = sites.select(
         "site_id", urls.normalize(F.col("base_url")).alias("url"),
         F.array(F.lit(0).cast("bigint")).alias("order_key"),

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from docweir import params
 from docweir.functions import urls
+from docweir.functions.text import let
 
 # Fixed values.
 SIGNALS = ("search", "ai-input", "ai-train")
 UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
 
-RULES_TYPE = "array<struct<rule:string,allow:boolean>>"
+RULES_TYPE = "array<struct<rule:string,allow:boolean,plain:boolean,pattern:string>>"
 SIGNALS_TYPE = "array<struct<path:string,line:int,at:int,signal:string,value:boolean>>"
 
 
@@ -171,7 +172,13 @@ def site_rules(files: DataFrame, bot: str = params.BOT_NAME) -> DataFrame:
         .select(
             "site_id",
             F.coalesce(
-                F.transform("_rules", lambda r: F.struct(r["rule"].alias("rule"), r["allow"].alias("allow"))),
+                F.transform(
+                    "_rules",
+                    lambda r: F.struct(
+                        r["rule"].alias("rule"), r["allow"].alias("allow"),
+                        is_plain(r["rule"]).alias("plain"), rule_pattern(r["rule"]).alias("pattern"),
+                    ),
+                ),
                 F.array().cast(RULES_TYPE),
             ).alias("rules"),
             F.coalesce(
@@ -190,27 +197,38 @@ def site_rules(files: DataFrame, bot: str = params.BOT_NAME) -> DataFrame:
     )
 
 
-def rule_matches(p: Column, rule: Column) -> Column:
-    """Prefix match with ``*`` wildcards and a closing ``$`` anchor."""
-    anchored = F.endswith(rule, F.lit("$"))
+def is_plain(rule: Column) -> Column:
+    """Rules without wildcard and anchor are prefixes."""
+    return ~F.contains(rule, F.lit("*")) & ~F.endswith(rule, F.lit("$"))
+
+
+def rule_pattern(rule: Column) -> Column:
+    """Rule with ``*`` wildcards and an optional closing ``$`` -> regular expression."""
     stem = F.regexp_replace(rule, r"\$$", "")
-    pattern = F.concat(
+    escaped = F.regexp_replace(stem, r"([\\.\[\]{}()+?^$|])", r"\\$1")
+    return F.concat(
         F.lit("^"),
-        F.replace(F.regexp_replace(stem, r"([\\.\[\]{}()+?^$|])", r"\\$1"), F.lit("*"), F.lit(".*")),
-        F.when(anchored, F.lit("$")).otherwise(F.lit("")),
+        F.replace(escaped, F.lit("*"), F.lit(".*")),
+        F.when(F.endswith(rule, F.lit("$")), F.lit("$")).otherwise(F.lit("")),
     )
-    plain = ~F.contains(rule, F.lit("*")) & ~anchored
-    return F.when(plain, F.startswith(p, rule)).otherwise(F.rlike(p, pattern))
 
 
 def allowed(p: Column, rules: Column) -> Column:
-    """Verdict of the longest matching rule; allow wins ties; no match means allowed."""
-    target = normalize_path(p)
-    hits = F.filter(rules, lambda r: rule_matches(target, r["rule"]))
-    best = F.array_max(
-        F.transform(hits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["allow"].alias("ok")))
-    )
-    return F.coalesce(best["ok"], F.lit(True))
+    """Verdict of the longest matching rule; allow wins ties; no match means allowed.
+
+    Patterns were prepared with the rules; only wildcard rules run one.
+    """
+
+    def verdict(target: Column) -> Column:
+        hits = F.filter(
+            rules,
+            lambda r: F.when(r["plain"], F.startswith(target, r["rule"])).otherwise(F.rlike(target, r["pattern"])),
+        )
+        return F.array_max(
+            F.transform(hits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["allow"].alias("ok")))
+        )["ok"]
+
+    return F.coalesce(let(normalize_path(p), verdict), F.lit(True))
 
 
 def signal(p: Column, signals: Column, name: str = "ai-input") -> Column:
@@ -218,22 +236,21 @@ def signal(p: Column, signals: Column, name: str = "ai-input") -> Column:
 
     Within one rule the last valid pair counts, hence the two-step order key.
     """
-    target = normalize_path(p)
-    hits = F.filter(
-        signals, lambda s: (s["signal"] == name) & F.startswith(target, s["path"])
-    )
-    best = F.array_max(
-        F.transform(
-            hits,
-            lambda s: F.struct(
-                F.length(s["path"]).alias("n"),
-                (-s["line"]).alias("line"),
-                s["at"].alias("at"),
-                s["value"].alias("v"),
-            ),
+
+    def value(target: Column) -> Column:
+        hits = F.filter(
+            signals, lambda s: (s["signal"] == name) & F.startswith(target, s["path"])
         )
-    )
-    return best["v"]
+        return F.array_max(
+            F.transform(
+                hits,
+                lambda s: F.struct(
+                    F.length(s["path"]).alias("n"), (-s["line"]).alias("line"), s["at"].alias("at"), s["value"].alias("v")
+                ),
+            )
+        )["v"]
+
+    return let(normalize_path(p), value)
 
 
 def decide(rows: DataFrame, rules: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docweir import params
 from docweir.functions import paths, urls
 from docweir.functions.text import strip
+from docweir.session import cut_lineage
 
 _ENTRY = "array<struct<loc:string,lastmod:string>>"
 _XML = f"url {_ENTRY}, sitemap {_ENTRY}"
@@ -117,7 +118,7 @@ def expand(roots: DataFrame, files: DataFrame, sites: DataFrame, max_depth: int
     ``order_key``, the positions on the way down, which sorts the addresses the
     way a depth-first reading lists them. Sitemaps that are missing yield nothing.
     """
-    parsed = parse(files.select("url", "body"))
+    parsed = cut_lineage(parse(files.select("url", "body")))  # parsed once, read on every level
     frontier = roots.select(
         "site_id", "source_rank", F.array(F.col("root_pos").cast("bigint")).alias("order_key"), "url"
     ).join(sites.select("site_id", "base_url"), "site_id")

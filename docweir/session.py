@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "1
     )
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only for local sessions without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,26 +34,37 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return _local_folders[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder and go on from there.
+    """Write the rows as a table in the shared folder and go on from there.
 
-    Used between the levels of bounded loops, so a lost executor re-reads one
-    level instead of replaying all of them.
+    Used between the levels of bounded loops: a lost executor re-reads one level
+    instead of replaying all of them, and the next join knows the level's size.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/level-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast only when a bounded count proves the side is small.
+def spread(df: DataFrame, key: str, max_bytes_per_core: int = 128 << 20) -> DataFrame:
+    """Hash small inputs that come in too few files over all cores, by ``key``.
 
-    The count stops at ``max_rows + 1`` rows. Above the bound the plain frame
-    comes back and the join falls to the shuffle join that AQE picks and splits.
+    One file is read by few tasks however many cores wait. Inputs with enough
+    files, or beyond the size bound, are left as they are: there the scan itself
+    is parallel and a shuffle of whole texts would only cost.
     """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if len(df.inputFiles()) >= cores or int(str(size)) > cores * max_bytes_per_core:
+        return df
+    return df.repartition(cores, key)
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = 200_000) -> bool:
+    """True when a count that stops behind the bound proves the frame small."""
+    return df.limit(max_rows + 1).count() <= max_rows
