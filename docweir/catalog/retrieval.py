@@ -92,13 +92,11 @@ def language_or_match(spark, sf):
 _SCOPE = """scope AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN labels l ON (l.doc_id + b.item_id) % 4 = 0)"""
 
 
-def scoped_queries(spark, sf):
-    """Queries bound to a quarter of the labelled documents each."""
-    labels = table(spark, sf, "labels").groupBy((F.col("doc_id") % 4).alias("slot")).agg(
-        F.sort_array(F.collect_set(F.col("doc_id").cast("string"))).alias("document_ids")
-    )
+def query_scope(spark, sf):
+    """Each query is bound to a quarter of the labelled documents."""
+    slots = table(spark, sf, "labels").select((F.col("doc_id") % 4).alias("slot"), F.col("doc_id").alias("document_id"))
     queries = benchmark_queries(spark, sf).withColumn("slot", (4 - F.col("query_id") % 4) % 4)
-    return queries.join(labels, "slot").drop("slot")
+    return queries.join(slots, "slot").select("query_id", "user_id", "document_id")
 
 
 @query(
@@ -116,9 +114,8 @@ def scoped_queries(spark, sf):
 )
 def bm25_scoped(spark, sf):
     chunks = document_chunks(spark, sf)
-    queries = scoped_queries(spark, sf)
-    terms = index.query_terms(queries, COLUMNS)
-    return bm25.search_scoped(terms, queries, index.postings(chunks), chunks, digits=6)
+    terms = index.query_terms(benchmark_queries(spark, sf), COLUMNS)
+    return bm25.search_scoped(terms, query_scope(spark, sf), index.postings(chunks), chunks, digits=6)
 
 
 @query("bm25_stemmed")

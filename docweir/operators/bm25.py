@@ -85,7 +85,7 @@ def search(
 
 def search_scoped(
     terms: DataFrame,
-    queries: DataFrame,
+    scope: DataFrame,
     postings: DataFrame,
     chunks: DataFrame,
     k: int = params.RETRIEVAL_POOL,
@@ -93,19 +93,15 @@ def search_scoped(
     b: float = params.BM25_B,
     digits: int | None = None,
 ) -> DataFrame:
-    """As :func:`search`, for queries that bring a document list.
+    """As :func:`search`, for queries bound to documents: ``scope(query_id, user_id, document_id)``.
 
     Statistics then belong to the query: chunk count, mean length and document
-    frequency all run over the listed documents only. Lists meet the postings
-    first, which keeps the work near the size of the lists.
+    frequency all run over its documents only. The scope meets the asked postings
+    first, which keeps the work near its own size.
     """
-    lists = queries.where(F.size("document_ids") > 0).select(
-        "query_id", "user_id", F.explode(F.array_distinct("document_ids")).alias("document_id")
-    )
-    of_type = chunks.schema["document_id"].dataType
-    lists = lists.withColumn("document_id", F.col("document_id").cast(of_type))
+    lists = scope.select("query_id", "user_id", "document_id").distinct()
     stats = index.corpus_stats(chunks.join(lists, ["user_id", "document_id"]), ("query_id",))
-    hits = postings.join(lists, ["user_id", "document_id"]).join(
+    hits = asked_postings(terms, postings).join(lists, ["user_id", "document_id"]).join(
         terms, ["query_id", "user_id", "language", "lexeme"]
     )
     freq = hits.groupBy("query_id", "language", "lexeme").agg(F.count(F.lit(1)).alias("doc_freq"))

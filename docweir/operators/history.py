@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docweir import params
 from docweir.functions import text
-from docweir.operators.blocks import with_neighbour
+from docweir.operators.blocks import first_rows, with_neighbour
 
 STOPPED = "*Generation stopped.*"
 
@@ -32,8 +32,8 @@ def of_variant(messages: DataFrame, variant: str) -> DataFrame:
 
 def last_messages(messages: DataFrame, limit: int = params.HISTORY_LIMIT) -> DataFrame:
     """The newest ``limit`` rows of each dialogue; ``recency`` counts back from the newest."""
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("message_id"))
-    return messages.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= limit)
+    newest = [F.desc("turn"), F.desc("message_id")]
+    return first_rows(messages, "conv_id", newest, limit, "recency", "message_id")
 
 
 def as_prompt(messages: DataFrame, variant: str | None = None) -> DataFrame:

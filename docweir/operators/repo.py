@@ -6,11 +6,12 @@ rows, so folders and languages are found by aggregates over distinct folder name
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweir import params
 from docweir.functions import markdown, paths
+from docweir.operators.blocks import first_rows
 
 # Fixed values.
 FOLDER_PRIORITY = ("docs", "doc", "documentation", "guide", "guides", "content")
@@ -104,8 +105,7 @@ def doc_files(tree: DataFrame, branches: DataFrame, max_files: int = params.REPO
         )
         .drop("excluded")
     )
-    w = Window.partitionBy("repo").orderBy("pos")
-    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_files)
+    return first_rows(kept, "repo", [F.col("pos")], max_files, "rank", "pos")
 
 
 def license_warnings(tree: DataFrame, branches: DataFrame) -> DataFrame:

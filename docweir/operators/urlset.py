@@ -8,11 +8,12 @@ page cap is a ranked window whose group limit runs before its shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweir import params
 from docweir.functions import paths, urls
+from docweir.operators.blocks import first_rows
 
 
 def first_seen(rows: DataFrame) -> DataFrame:
@@ -107,8 +108,7 @@ def newest_version(rows: DataFrame, first_rank=lambda c: -c) -> DataFrame:
 
 def cap_pages(rows: DataFrame, max_pages: int = params.MAX_PAGES, order=("is_versioned", "group_pos", "pos")) -> DataFrame:
     """The first ``max_pages`` rows of every site, numbered by ``rank``."""
-    w = Window.partitionBy("site_id").orderBy(*[F.col(c) for c in order])
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_pages)
+    return first_rows(rows, "site_id", [F.col(c) for c in order], max_pages, "rank", order[-1])
 
 
 def probe_url(rows: DataFrame, order: str = "rank") -> DataFrame:

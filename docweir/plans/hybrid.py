@@ -30,7 +30,14 @@ def keyword_branch(queries: DataFrame, corpus: Corpus, columns: dict, pool: int,
     scoped = queries.where(listed)
     free = terms.join(scoped.select("query_id"), "query_id", "left_anti")
     return bm25.search(free, corpus.postings, corpus.chunks, pool, digits=digits).unionByName(
-        bm25.search_scoped(terms, scoped, corpus.postings, corpus.chunks, pool, digits=digits)
+        bm25.search_scoped(terms, scope_rows(scoped, corpus), corpus.postings, corpus.chunks, pool, digits=digits)
+    )
+
+
+def scope_rows(queries: DataFrame, corpus: Corpus) -> DataFrame:
+    """Document lists of queries as rows, in the type of the corpus."""
+    return queries.select("query_id", "user_id", F.explode("document_ids").alias("document_id")).withColumn(
+        "document_id", F.col("document_id").cast(corpus.chunks.schema["document_id"].dataType)
     )
 
 
@@ -40,9 +47,7 @@ def vector_branch(queries: DataFrame, corpus: Corpus, pool: int, digits: int) ->
         return vectors.top_k(vecs, queries, pool, digits)
     listed = F.size(F.coalesce("document_ids", F.array().cast("array<string>"))) > 0
     scoped = queries.where(listed)
-    scope = scoped.select("query_id", F.explode(F.array_distinct("document_ids")).alias("document_id")).withColumn(
-        "document_id", F.col("document_id").cast(vecs.schema["document_id"].dataType)
-    )
+    scope = scope_rows(scoped, corpus).select("query_id", "document_id").distinct()
     return vectors.top_k(vecs, queries.where(~listed), pool, digits).unionByName(
         vectors.top_k_scoped(vecs, scoped, scope, pool, digits)
     )
