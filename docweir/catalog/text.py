@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from docweir import params
 from docweir.catalog import fragments as q
 from docweir.catalog.inputs import ctes, derived, table
 from docweir.catalog.registry import query
 from docweir.functions import analyze, markdown, text
 from docweir.operators import chunking, extract, index
+from docweir.session import shared_folder
 from docweir.sources import sinks, uploads
 
 
@@ -103,12 +105,28 @@ def chunk_index_prefix(spark, sf):
     )
 
 
-@query("markdown_blocks")
+_BLOCKS = """bodies AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, '^(?s)---\\n.*?\\n---\\n+', '')
+        WHEN doc_id % 3 = 1 THEN regexp_replace(text, '^(?s)[+]{3}\\n.*?\\n[+]{3}\\n+', '') ELSE text END AS body FROM markdown_docs),
+    raw AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM bodies),
+    fenced AS (SELECT *, line LIKE '```%' AS f, sum((line LIKE '```%')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM raw),
+    classed AS (SELECT *, CASE WHEN f OR n % 2 = 1 THEN 'C' || ((n + 1) // 2) WHEN trim(line) = '' THEN 'B'
+        WHEN regexp_matches(line, '^#{1,6}\\s+.+$') THEN 'H' WHEN regexp_matches(trim(line), '^[|].*[|]') THEN 'T'
+        WHEN regexp_matches(ltrim(line), '^([-*+]|[0-9]+[.])\\s+') THEN 'L' ELSE 'P' END AS c FROM fenced),
+    near AS (SELECT *, lag(c) OVER w AS before, lag(pos) OVER w AS at_before FROM classed WHERE c <> 'B' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    numbered AS (SELECT *, sum(CASE WHEN c = 'H' OR before IS DISTINCT FROM c OR (c IN ('T', 'P') AND pos - at_before > 1) THEN 1 ELSE 0 END)
+        OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS block_index FROM near)
+    SELECT doc_id, CAST(block_index AS BIGINT) AS block_index, CASE any_value(c[1]) WHEN 'H' THEN 'h' || length(regexp_extract(any_value(line), '^(#+)', 1))
+        WHEN 'C' THEN 'code' WHEN 'T' THEN 'table' WHEN 'L' THEN 'list' ELSE 'paragraph' END AS kind,
+        CASE any_value(c[1]) WHEN 'H' THEN trim(regexp_replace(any_value(line), '^#+\\s+', '')) ELSE string_agg(line, chr(10) ORDER BY pos) END AS content
+      FROM numbered GROUP BY 1, 2"""
+
+
+@query("markdown_blocks", f"{ctes('markdown_docs')}, {_BLOCKS}")
 def markdown_blocks(spark, sf):
     body = chunking.front_matter(F.col("text"))["body"]
     return derived(spark, sf, "markdown_docs").select(
         "doc_id", F.posexplode(chunking.blocks(body)).alias("block_index", "b")
-    ).select("doc_id", "block_index", "b.kind", "b.content")
+    ).select("doc_id", F.col("block_index").cast("bigint").alias("block_index"), "b.kind", "b.content")
 
 
 @query(
@@ -133,6 +151,23 @@ def markdown_parents(spark, sf):
     return chunking.parent_rows(chunking.parse_documents(markdown_documents(spark, sf)))
 
 
+@query(
+    "chunk_sink",
+    f"""WITH RECURSIVE {_SPLIT} SELECT doc_id::VARCHAR AS document_id, 1::BIGINT AS parents, count(*) AS chunks,
+        CAST(sum(length(piece)) AS BIGINT) AS chars FROM char_split GROUP BY 1""",
+)
+def chunk_sink(spark, sf):
+    """Parents and chunks written as tables and read back."""
+    folder = f"{shared_folder(spark)}/chunks-{uuid.uuid4()}"
+    sinks.write_chunks(chunking.parse_documents(plain_documents(spark, sf)), folder)
+    parents = spark.read.parquet(f"{folder}/parents").groupBy("document_id").agg(F.count(F.lit(1)).alias("parents"))
+    head = F.length("document_id") + F.length(F.lit("[Document: doc-.txt]\n\n"))
+    chunks = spark.read.parquet(f"{folder}/chunks").groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content") - head).alias("chars")
+    )
+    return parents.join(chunks, "document_id")
+
+
 @query(
     "chunk_dispatch",
     """SELECT CASE WHEN doc_id % 2 = 0 THEN 'text/plain' ELSE 'text/markdown' END AS content_type,
@@ -218,9 +253,18 @@ def page_text_regex(spark, sf):
     return table(spark, sf, "pages").select("page_id", extract.plain_text(F.col("html")).alias("text"))
 
 
-@query("page_markdown")
+@query(
+    "page_markdown",
+    """WITH art AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+    cut AS (SELECT page_id, unnest(string_split_regex(regexp_replace(a, '(?s)<h1>.*?</h1>', ''), '<[^>]*>')) AS x,
+        generate_subscripts(string_split_regex(regexp_replace(a, '(?s)<h1>.*?</h1>', ''), '<[^>]*>'), 1) AS i FROM art),
+    body AS (SELECT page_id, string_agg('**' || trim(regexp_replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) || '**', chr(10) || chr(10) ORDER BY i) AS t
+        FROM cut WHERE trim(x) <> '' GROUP BY 1)
+    SELECT a.page_id, url, h1 AS title, '# ' || h1 || coalesce(chr(10) || chr(10) || t, '') AS content, '' AS directives
+      FROM (SELECT *, trim(replace(regexp_extract(a, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS h1 FROM art) a LEFT JOIN body b ON b.page_id = a.page_id""",
+)
 def page_markdown(spark, sf):
-    return extract.extract_pages(table(spark, sf, "pages"))
+    return extract.extract_pages(table(spark, sf, "pages")).withColumn("directives", F.array_join("directives", " "))
 
 
 # ---- postings -----------------------------------------------------------------------------------
@@ -259,6 +303,19 @@ def postings_stop_words(spark, sf):
     return index.postings(chunks, {"polish": polish}).select("chunk_id", "lexeme", "tf")
 
 
+@query(
+    "postings_sink",
+    f"WITH {POSTINGS} SELECT lang AS language, lexeme, count(*) AS chunks, sum(tf)::BIGINT AS tf FROM post GROUP BY 1, 2",
+)
+def postings_sink(spark, sf):
+    """Postings written by language in lexeme order and read back."""
+    folder = f"{shared_folder(spark)}/postings-{uuid.uuid4()}"
+    sinks.write_postings(document_chunks(spark, sf), folder)
+    return spark.read.parquet(f"{folder}/postings").groupBy("language", "lexeme").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("tf")
+    )
+
+
 @query(
     "postings_reindex",
     f"""WITH {POSTINGS} SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'x' || lexeme ELSE lexeme END AS lexeme, tf FROM post""",

@@ -145,12 +145,13 @@ class Reader(HTMLParser):
         if raw.strip():
             lead, tail = raw[: len(raw) - len(raw.lstrip())], raw[len(raw.rstrip()) :]
             core = raw.strip()
-            for e in reversed(self.open):
-                element = self.elements[e]
-                mark = MARKS.get(element["tag"], "")
-                core = f"{mark}{core}{mark}" if mark and not core.startswith(mark) else core
-                if element["tag"] == "a" and element["href"]:
-                    core = f"[{core}]({element['href']})"
+            around = [self.elements[e] for e in reversed(self.open)]
+            # unclosed tags nest; each mark is set once
+            for mark in dict.fromkeys(MARKS[e["tag"]] for e in around if e["tag"] in MARKS):
+                core = f"{mark}{core}{mark}"
+            link = next((e["href"] for e in around if e["tag"] == "a" and e["href"]), None)
+            if link:
+                core = f"[{core}]({link})"
             text = lead + core + tail
         self._add(self.open[-1], home, kind, text, raw)
 
