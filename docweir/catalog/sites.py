@@ -459,28 +459,30 @@ def bfs_crawl(spark, sf):
 
 
 _SOURCES = f"""sourced AS (
-      SELECT repo AS site_id, path AS url, 'github' AS source_method FROM repo_tree WHERE length(repo) % 6 = 0
+      SELECT t.repo AS site_id, path AS url, 'github' AS source_method FROM repo_tree t JOIN repo_meta m ON m.repo = t.repo
+        WHERE spdx_id IN ('MIT', 'Apache-2.0')
       UNION ALL SELECT s.site_id, s.url, CASE WHEN s.status = 200 THEN 'llms_txt' ELSE 'llms_full' END FROM snapshots s WHERE variant = 'md'
-      UNION ALL SELECT site_id, url, 'sitemap_crawl' FROM page_urls WHERE length(site_id) % 5 <> 0
+      UNION ALL SELECT site_id, url, 'sitemap_crawl' FROM page_urls WHERE url LIKE 'https:%'
       UNION ALL SELECT site_id, url, 'link_crawl' FROM page_urls)"""
 
 
 @query(
     "source_cascade",
-    f"""{ctes('repo_tree', 'snapshots', 'page_urls')}, {_SOURCES},
+    f"""{ctes('repo_tree', 'repo_meta', 'snapshots', 'page_urls')}, {_SOURCES},
     best AS (SELECT site_id, min(list_position(['github','llms_full','llms_txt','sitemap_crawl','link_crawl'], source_method)) AS p
                FROM sourced GROUP BY 1)
     SELECT s.site_id, url, source_method FROM sourced s JOIN best b ON b.site_id = s.site_id
      WHERE list_position(['github','llms_full','llms_txt','sitemap_crawl','link_crawl'], source_method) = p""",
 )
 def source_cascade(spark, sf):
-    tree = derived(spark, sf, "repo_tree").where(F.length("repo") % 6 == 0)
+    licensed = repo.license_gate(derived(spark, sf, "repo_meta"), fair_use=False).where("may_fetch").select("repo")
+    tree = derived(spark, sf, "repo_tree").join(licensed, "repo")
     pages = derived(spark, sf, "page_urls")
     index = derived(spark, sf, "snapshots").where("variant = 'md'")
     rows = (
         tree.select(F.col("repo").alias("site_id"), F.col("path").alias("url"), F.lit("github").alias("source_method"))
         .unionByName(index.select("site_id", "url", F.when(F.col("status") == 200, "llms_txt").otherwise("llms_full").alias("source_method")))
-        .unionByName(pages.where(F.length("site_id") % 5 != 0).select("site_id", "url", F.lit("sitemap_crawl").alias("source_method")))
+        .unionByName(pages.where(F.startswith("url", F.lit("https:"))).select("site_id", "url", F.lit("sitemap_crawl").alias("source_method")))
         .unionByName(pages.select("site_id", "url", F.lit("link_crawl").alias("source_method")))
     )
     return crawl.first_source(rows)

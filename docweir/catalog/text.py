@@ -187,11 +187,12 @@ def chunk_dispatch(spark, sf):
 @query(
     "chunk_report",
     """SELECT doc_id::VARCHAR AS document_id, 'completed' AS status, NULL::VARCHAR AS error_message,
-        CASE WHEN doc_id % 3 < 2 THEN 'Doc ' || doc_id END AS title FROM documents WHERE doc_id % 10 <> 7""",
+        CASE WHEN doc_id % 3 < 2 THEN 'Doc ' || doc_id END AS title FROM documents
+       WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
 )
 def chunk_report(spark, sf):
     parsed = chunking.parse_documents(markdown_documents(spark, sf))
-    gone = table(spark, sf, "documents").where("doc_id % 10 = 7").select(F.col("doc_id").cast("string").alias("document_id"))
+    gone = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("document_id"))
     kept = sinks.cascade_delete(parsed, gone)
     return chunking.lifecycle(kept).select(
         "document_id", "status", "error_message", F.get_json_object("meta", "$.title").alias("title")

@@ -70,6 +70,8 @@ def spread(df: DataFrame, key: str, max_bytes_per_core: int = 128 << 20) -> Data
     files, or beyond the size bound, are left as they are: there the scan itself
     is parallel and a shuffle of whole texts would only cost.
     """
+    if not hasattr(df, "_jdf"):  # remote sessions show no plan statistics
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if len(df.inputFiles()) >= cores or int(str(size)) > cores * max_bytes_per_core:
