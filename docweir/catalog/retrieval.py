@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweir.catalog import fragments as q
 from docweir.catalog.inputs import table
 from docweir.catalog.registry import query
 from docweir.catalog.text import POSTINGS, _TOK, document_chunks

@@ -102,3 +102,13 @@ def test_hot_site_and_copies_do_not_change_results(spark):
     assert all(first[("hot", f"https://h.com/p/{i}")] == i for i in range(7))
     capped = urlset.cap_pages(rows.withColumnRenamed("pos", "p"), 5, ("p",)).where("site_id = 'hot'").collect()
     assert sorted(r.p for r in capped) == [0, 1, 2, 3, 4]
+
+
+def test_large_caps_rank_slices_first(spark):
+    rows = spark.range(5000).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("c"), (F.col("id") % 70).cast("string"))).otherwise("hot").alias("site_id"),
+        F.col("id").alias("pos"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"),
+    )
+    got = urlset.cap_pages(rows, 1500, ("pos",)).where("site_id = 'hot'").orderBy("rank").collect()
+    want = [i for i in range(5000) if i % 10][:1500]
+    assert [r.pos for r in got] == want and [r.rank for r in got] == list(range(1, 1501))
