@@ -99,7 +99,7 @@ def signed(values: np.ndarray) -> np.ndarray:
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A one-hash membership filter of FILTER_BITS bits over long keys: a megabyte at any number of keys.
+    """A membership filter of FILTER_BITS bits over long keys that are hashes: a megabyte at any number of keys.
 
     A word of 64 bits is one row of an aggregate, so at most FILTER_BITS / 64 rows reach the driver.
     """

@@ -90,7 +90,7 @@ def _features(k: int, percent: int) -> Callable:
 def _sets(bits: np.ndarray, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(maybe_in(bits, batch["row"].to_numpy())))
+            batch = batch.filter(pa.array(maybe_in(bits, batch["spread"].to_numpy())))
             for part in slices(batch, 1024):
                 sets = [shingle_set(value.as_py(), k).tobytes() for value in part["text"]]
                 yield pa.RecordBatch.from_arrays([part["row"], pa.array(sets, pa.binary())], names=["id", "members"])
@@ -146,8 +146,9 @@ def entry_components(source: DataFrame, entries: DataFrame, features: DataFrame,
     postings = own.select(F.explode("keys").alias("key"), F.col("row").alias("id"))
     leaders = postings.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("length")).filter("length > 1").drop("length")
     lists = cut_lineage(postings.join(leaders, "key"))
-    bits = key_filter(lists, "id")
-    sets = cut_lineage(source.select("row", "text").mapInArrow(_sets(bits, k), "id long, members binary"))
+    # row numbers stand in few residues; their hashes spread
+    bits = key_filter(lists.select(F.xxhash64("id").alias("spread")), "spread")
+    sets = cut_lineage(source.select("row", F.xxhash64("row").alias("spread"), "text").mapInArrow(_sets(bits, k), "id long, members binary"))
     first = compared(lists.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
     links = first.filter("linked").select("a", "b")
     parts = components(links)
