@@ -23,6 +23,10 @@ from docweir.session import cut_lineage
 KEY = ["digest", "bytes", "check"]
 SHARDS = 4096
 RUN_SCHEMA = "digest string, bytes int, check long, keep_id long, keep_row long, copies long, shard int, run long"
+_ARROW = pa.schema(
+    [("digest", pa.string()), ("bytes", pa.int32()), ("check", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()),
+     ("copies", pa.int64()), ("shard", pa.int32()), ("run", pa.int64())]
+)
 
 
 def digest_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
@@ -37,6 +41,8 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges neighbouring rows of one digest in a sorted run; the last of them stays."""
     held = None
     for batch in batches:
+        # as Spark tells what may be null, so do the batches; what is held from one to the next may not differ by it
+        batch = pa.RecordBatch.from_arrays(batch.columns, schema=_ARROW)
         table = pa.Table.from_batches([batch] if held is None else [held, batch])
         if not table.num_rows:
             continue
@@ -48,7 +54,7 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], new)))
         last = np.append(first[1:], table.num_rows) - 1
         copies = np.add.reduceat(table["copies"].to_numpy(), first)
-        merged = table.take(pa.array(last)).set_column(table.schema.get_field_index("copies"), "copies", pa.array(copies))
+        merged = table.take(pa.array(last)).set_column(table.schema.get_field_index("copies"), "copies", pa.array(copies)).cast(_ARROW)
         done = merged.slice(0, merged.num_rows - 1)
         held = merged.slice(merged.num_rows - 1).combine_chunks().to_batches()[0]
         yield from done.to_batches()
