@@ -7,7 +7,8 @@ other blocks are skipped without being compared. Answers are derived from sets
 already answered: equal sets share one entry, every set of a list is first compared with
 the list's leader, and sets known to be in the leader's component need no answers of
 their own. Only members of one list that are still apart are compared with each other,
-less those whose distances to the leader rule a link out.
+less those that their distances to the leader, or the parities of their members in a
+small bitmap, rule out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Largest size of a class over its smallest.
 CLASS_RATIO = 1.25
+#: Low bits of a key that hold the class; 1.25 to the power of 255 is beyond any text.
+CLASS_MASK = 255
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -65,7 +68,9 @@ def block_keys(hashes: np.ndarray, percent: int = PERCENT, ratio: float = CLASS_
         ends = np.append(edges[1:], len(hashes))
         content = sums[ends] - sums[edges]
         place = np.arange(blocks, dtype=np.uint64) + np.uint64(number << 32)
-        out.append(mix(mix(content + (ends - edges).astype(np.uint64)) + mix(place + np.uint64(1))))
+        keys = mix(mix(content + (ends - edges).astype(np.uint64)) + mix(place + np.uint64(1)))
+        # the class can be read from the key
+        out.append((keys & ~np.uint64(CLASS_MASK)) | np.uint64(number))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -98,6 +103,32 @@ def _sets(bits: np.ndarray, k: int) -> Callable:
     return run
 
 
+def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """How many members fall on each of ``bits`` places, odd or even, as 64-bit words.
+
+    Two sets differ in at least as many members as their bitmaps do in bits.
+    """
+    odd = (np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _bitmaps(percent: int, ratio: float = CLASS_RATIO) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, classes, maps = [], [], []
+            for key, value in zip(batch["id"].to_pylist(), batch["members"], strict=True):
+                hashes = np.frombuffer(value.as_buffer(), dtype=np.uint64)
+                for number, blocks in size_classes(percent, ratio, len(hashes)):
+                    # wide enough to tell sets apart that differ in a little more than a link allows
+                    bits = max(256, 1 << (10 * blocks).bit_length())
+                    ids.append(key)
+                    classes.append(number)
+                    maps.append(parities(hashes, bits))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.list_(pa.int64()))], names=["id", "class", "bitmap"])
+
+    return run
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def members(value: pa.Scalar) -> np.ndarray:
         return np.frombuffer(value.as_buffer(), dtype=np.uint64)
@@ -121,23 +152,34 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = pairs.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b")
     counts = rows.select("a", "b", "members_a", "members_b").mapInArrow(_common, "a long, b long, n_a long, n_b long, common long")
     either = F.col("n_a") + F.col("n_b") - F.col("common")
-    return cut_lineage(counts.select("a", "b", (1 - F.col("common") / either).alias("distance"), (F.col("common") * 100 >= either * percent).alias("linked")))
+    distance = (1 - F.col("common") / either).alias("distance")
+    return cut_lineage(counts.select("a", "b", "n_b", distance, (F.col("common") * 100 >= either * percent).alias("linked")))
 
 
-def still_apart(lists: DataFrame, answers: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list in different components that the leader's answers do not rule out.
+def still_apart(lists: DataFrame, answers: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one list in different components that neither the leader's answers nor the bitmaps rule out.
 
-    Jaccard distance obeys the triangle inequality: members whose distances to the
-    leader differ by more than a link allows do not link.
+    At least one of a pair is not in the leader's component. Jaccard distance obeys the triangle
+    inequality, so members whose distances to the leader differ by more than a link
+    allows do not link; nor do sets whose bitmaps differ in more places than linked sets in members.
     """
-    known = answers.select(F.col("a").alias("leader"), F.col("b").alias("id"), "distance")
-    rows = lists.filter("id <> leader").join(known, ["leader", "id"]).join(parts.toDF("id", "part"), "id", "left")
-    rows = rows.withColumn("part", F.coalesce("part", "id"))
-    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    rows = cut_lineage(rows.join(mixed, "key").select("key", "id", "part", "distance"))
-    other = rows.toDF("key", "id_b", "part_b", "distance_b")
+    known = answers.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.col("n_b").alias("n"), "distance")
+    part, first = F.coalesce("part", "id"), F.coalesce("leader_part", "leader")
+    known = known.join(parts.toDF("id", "part"), "id", "left").join(parts.toDF("leader", "leader_part"), "leader", "left")
+    known = known.select("leader", "id", "n", "distance", part.alias("part"), (part != first).alias("away"))
+    rows = lists.filter("id <> leader").join(known, ["leader", "id"]).drop("leader")
+    mixed = rows.filter("away").select("key").distinct()
+    rows = rows.join(mixed, "key").withColumn("class", F.col("key").bitwiseAND(F.lit(CLASS_MASK).cast("long")))
+    rows = cut_lineage(rows)
+    bitmaps = sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_bitmaps(percent), "id long, class long, bitmap array<long>")
+    rows = rows.join(cut_lineage(bitmaps), ["id", "class"]).select("key", "id", "n", "part", "away", "distance", "bitmap")
+    other = rows.toDF(*[f"{c}_b" if c != "key" else c for c in rows.columns])
     near = F.abs(F.col("distance") - F.col("distance_b")) <= (100 - percent) / 100 + 1e-9
-    return rows.join(other, "key").filter((F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & near).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    differ = F.aggregate(F.zip_with("bitmap", "bitmap_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    close = differ * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)
+    once = ~F.col("away_b") | (F.col("id") < F.col("id_b"))
+    pairs = rows.filter("away").join(other, "key").filter((F.col("part") != F.col("part_b")) & once & near & close)
+    return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
 
 
 def entry_components(source: DataFrame, entries: DataFrame, features: DataFrame, k: int, percent: int) -> DataFrame:
@@ -152,7 +194,7 @@ def entry_components(source: DataFrame, entries: DataFrame, features: DataFrame,
     first = compared(lists.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
     links = first.filter("linked").select("a", "b")
     parts = components(links)
-    more = compared(still_apart(lists, first, parts, percent), sets, percent).filter("linked").select("a", "b")
+    more = compared(still_apart(lists, first, parts, sets, percent), sets, percent).filter("linked").select("a", "b")
     return components(links.union(more)) if more.head(1) else parts
 
 
