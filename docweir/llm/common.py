@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweir.session import cut_lineage
+from docweir.session import shared_folder
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 FILTER_BITS = 1 << 23
@@ -19,6 +20,25 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
+_paths: list[str] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder; a lost executor reads it again instead of what led to it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    _paths.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes the tables stored so far; for a caller that has written every result made from them."""
+    context = spark.sparkContext
+    while _paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null becomes the empty string."""
     return F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
@@ -35,7 +55,7 @@ def numbered(df: DataFrame, name: str = "row") -> DataFrame:
     The numbers are taken before the write and read back from it: later stages and
     retries see the same ones.
     """
-    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
+    return stored(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def mix(values: np.ndarray) -> np.ndarray:

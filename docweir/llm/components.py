@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.session import cut_lineage
+from docweir.llm.common import stored
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -28,10 +28,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     one round again. Rounds grow with the logarithm of the longest path.
     """
     a, b = links.columns
-    links = cut_lineage(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
+    links = stored(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct())
     for _ in range(rounds):
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
-        links = cut_lineage(_star(_star(links, True), False))
+        links = stored(_star(_star(links, True), False))
         if links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first() == state:
             break
     else:

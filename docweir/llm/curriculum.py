@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweir.llm.common import WHITE_SPACE, row_of
-from docweir.session import cut_lineage
+from docweir.llm.common import WHITE_SPACE, row_of, stored
 
 SLICE_ROWS = 50_000
 
@@ -26,7 +25,7 @@ def word_count(text: Column) -> Column:
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
     """One stored row per document: its id, size, source key and fixed random order."""
-    return cut_lineage(
+    return stored(
         docs.select(
             F.col(doc_id).cast("long").alias("doc_id"), row_of(row), F.col(source).cast("string").alias("source"),
             F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("-")).alias("source_key"),

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweir.llm.common import fold_ascii
-from docweir.session import cut_lineage
+from docweir.llm.common import fold_ascii, stored
 
 # fixed values: base phrases and their labels
 BASE = (
@@ -118,7 +117,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     and empty texts have no words; documents without hits keep their row.
     """
     # read three times; stored, the text is scanned once and rows keep their numbers
-    votes = cut_lineage(diagonal_votes(docs, text, doc_id))
+    votes = stored(diagonal_votes(docs, text, doc_id))
     spans = license_spans(votes)
     marks = votes.filter("template = -1").select("row", "doc_id", "n_words", F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("base"), F.lit(None).cast("long").alias("first"), F.lit(0.0).alias("coverage"))
     found = spans.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_words"), "label", "base", F.col("first").cast("long").alias("first"), "coverage")

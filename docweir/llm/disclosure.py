@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import key_filter, maybe_in, signed, slices, span_hashes, spans_of
-from docweir.session import cut_lineage
+from docweir.llm.common import key_filter, maybe_in, signed, slices, span_hashes, spans_of, stored
 
 KINDS = ("email", "ip", "card", "phone")
 CUE = "cue"
@@ -135,13 +134,13 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 def detected(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The stored pattern matches of every document, with the terms around them."""
-    return cut_lineage(_keyed(docs, text, doc_id).mapInArrow(_detect, BASE_SCHEMA))
+    return stored(_keyed(docs, text, doc_id).mapInArrow(_detect, BASE_SCHEMA))
 
 
 def risky_terms(docs: DataFrame, found: DataFrame, text: str = "text", min_near: int = MIN_NEAR, generalise: float = GENERALISE) -> DataFrame:
     """Terms whose disclosure strength reaches ``generalise``: term, near, total and strength."""
     near = found.select(F.explode("context").alias("term")).groupBy("term").agg(F.count("*").alias("near")).filter(F.col("near") >= min_near)
-    near = cut_lineage(near)
+    near = stored(near)
     bits = key_filter(near, "term")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +185,7 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_near:
     own. An empty table gives no rows.
     """
     found = detected(docs, text, doc_id)
-    risky = cut_lineage(risky_terms(docs, found, text, min_near, generalise))
+    risky = stored(risky_terms(docs, found, text, min_near, generalise))
     cue = F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("end"), F.col("strength"))
     # copies of a row bring the same places; a set keeps them once
     cues = cue_spans(docs, risky, text, doc_id).groupBy(F.col("doc_id").alias("cue_doc"), F.col("text_key").alias("cue_key")).agg(F.array_sort(F.collect_set(cue)).alias("cues"))

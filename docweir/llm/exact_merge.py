@@ -17,8 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import fold_ascii, row_of
-from docweir.session import cut_lineage
+from docweir.llm.common import fold_ascii, row_of, stored
 
 KEY = ["digest", "bytes", "check"]
 SHARDS = 4096
@@ -32,7 +31,7 @@ _ARROW = pa.schema(
 def digest_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
     """One stored row per document: id, row number, SHA-256, and length and second hash that verify it."""
     folded = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_of(row), fold_ascii(F.col(text)).alias("folded"))
-    return cut_lineage(
+    return stored(
         folded.select("doc_id", "row", F.sha2("folded", 256).alias("digest"), F.octet_length("folded").alias("bytes"), F.xxhash64("folded").alias("check"))
     )
 

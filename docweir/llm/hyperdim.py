@@ -95,7 +95,8 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id:
     # the draw is decided on ids and labels alone; texts are read for what it keeps
     ranked = rows.select("lang", "draw").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
     last = ranked.filter(F.col("rank") <= train_docs).groupBy("lang").agg(F.max("draw").alias("last"))
-    sample = rows.join(last, "lang").filter("draw <= last").dropDuplicates(["lang", "draw"]).select("lang", "text")
+    # one row per language, of which the model has DIMS numbers each
+    sample = rows.join(F.broadcast(last), "lang").filter("draw <= last").dropDuplicates(["lang", "draw"]).select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

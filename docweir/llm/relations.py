@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.llm.common import gram_hashes, key_filter, maybe_in, mix, numbered, row_of, signed, slices, word_hashes
+from docweir.llm.common import gram_hashes, key_filter, maybe_in, mix, numbered, row_of, signed, slices, stored, word_hashes
 from docweir.llm.components import components
-from docweir.session import cut_lineage
 
 SHINGLE = 3
 PERCENT = 90
@@ -153,7 +152,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = rows.select("a", "b", "members_a", "members_b").mapInArrow(_common, "a long, b long, n_a long, n_b long, common long")
     either = F.col("n_a") + F.col("n_b") - F.col("common")
     distance = (1 - F.col("common") / either).alias("distance")
-    return cut_lineage(counts.select("a", "b", "n_b", distance, (F.col("common") * 100 >= either * percent).alias("linked")))
+    return stored(counts.select("a", "b", "n_b", distance, (F.col("common") * 100 >= either * percent).alias("linked")))
 
 
 def still_apart(lists: DataFrame, answers: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,9 +169,9 @@ def still_apart(lists: DataFrame, answers: DataFrame, parts: DataFrame, sets: Da
     rows = lists.filter("id <> leader").join(known, ["leader", "id"]).drop("leader")
     mixed = rows.filter("away").select("key").distinct()
     rows = rows.join(mixed, "key").withColumn("class", F.col("key").bitwiseAND(F.lit(CLASS_MASK).cast("long")))
-    rows = cut_lineage(rows)
+    rows = stored(rows)
     bitmaps = sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_bitmaps(percent), "id long, class long, bitmap array<long>")
-    rows = rows.join(cut_lineage(bitmaps), ["id", "class"]).select("key", "id", "n", "part", "away", "distance", "bitmap")
+    rows = rows.join(stored(bitmaps), ["id", "class"]).select("key", "id", "n", "part", "away", "distance", "bitmap")
     other = rows.toDF(*[f"{c}_b" if c != "key" else c for c in rows.columns])
     near = F.abs(F.col("distance") - F.col("distance_b")) <= (100 - percent) / 100 + 1e-9
     differ = F.aggregate(F.zip_with("bitmap", "bitmap_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -187,10 +186,10 @@ def entry_components(source: DataFrame, entries: DataFrame, features: DataFrame,
     own = features.join(entries.select(F.col("id").alias("row")), "row", "left_semi")
     postings = own.select(F.explode("keys").alias("key"), F.col("row").alias("id"))
     leaders = postings.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("length")).filter("length > 1").drop("length")
-    lists = cut_lineage(postings.join(leaders, "key"))
+    lists = stored(postings.join(leaders, "key"))
     # row numbers stand in few residues; their hashes spread
     bits = key_filter(lists.select(F.xxhash64("id").alias("spread")), "spread")
-    sets = cut_lineage(source.select("row", F.xxhash64("row").alias("spread"), "text").mapInArrow(_sets(bits, k), "id long, members binary"))
+    sets = stored(source.select("row", F.xxhash64("row").alias("spread"), "text").mapInArrow(_sets(bits, k), "id long, members binary"))
     first = compared(lists.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
     links = first.filter("linked").select("a", "b")
     parts = components(links)
@@ -212,9 +211,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([] if row is None else [row_of(row)]))
     source = numbered(source) if row is None else source
     schema = "doc_id long, row long, n long, sum_one long, sum_two long, keys array<long>"
-    features = cut_lineage(source.select("doc_id", "row", "text").mapInArrow(_features(k, percent), schema))
+    features = stored(source.select("doc_id", "row", "text").mapInArrow(_features(k, percent), schema))
     same = ["n", "sum_one", "sum_two"]
-    entries = cut_lineage(features.filter("n > 0").groupBy(*same).agg(F.min("row").alias("id"), F.min("doc_id").alias("least")))
+    entries = stored(features.filter("n > 0").groupBy(*same).agg(F.min("row").alias("id"), F.min("doc_id").alias("least")))
     parts = entry_components(source, entries, features, k, percent)
     labelled = entries.join(parts.toDF("id", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
     least = labelled.filter("part is not null").groupBy("part").agg(F.min("least").alias("component_id"))
