@@ -32,9 +32,10 @@ def strip_jsx(md: Column) -> Column:
     """Remove import and export lines, JSX tags and JSX comments outside fenced code.
 
     The text is cut in front of every fence line, which makes every second piece
-    code and lets each piece be cleaned by patterns in one pass.
+    code and lets each piece be cleaned by patterns in one pass. A line break in front
+    gives a text that opens with a fence its first, empty piece.
     """
-    pieces = F.split(md, r"(?m)(?=^[^\S\n]*```)")
+    pieces = F.split(F.concat(F.lit("\n"), md), r"(?m)(?=^[^\S\n]*```)")
 
     def clean(piece: Column) -> Column:
         for pattern in (

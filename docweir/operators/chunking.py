@@ -100,7 +100,7 @@ def parse_documents(
     The two kinds are separate branches, so plain text never enters the scanner.
     """
     width, back = child_size * params.CHARS_PER_TOKEN, child_overlap * params.CHARS_PER_TOKEN
-    is_plain = F.col("content_type") == "text/plain"
+    is_plain = F.col("content_type").eqNullSafe("text/plain")
     windows = char_chunks(F.col("raw_text"), child_size, child_overlap)
     plain = (
         documents.where(is_plain)

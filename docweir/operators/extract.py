@@ -50,7 +50,7 @@ def render(blocks: Column) -> Column:
                     b["text"],
                 ),
             )
-            .when(is_pre, F.concat(F.lit("```"), F.substring(kind, 5, 40), F.lit("\n"), b["text"], F.lit("\n```")))
+            .when(is_pre, F.concat(F.lit("```"), F.substr(kind, F.lit(5)), F.lit("\n"), b["text"], F.lit("\n```")))
             .when(kind == "quote", F.concat(F.lit("> "), b["text"]))
             .when(kind == "dt", F.concat(F.lit("**"), b["text"], F.lit("**")))
             .otherwise(b["text"])

@@ -105,7 +105,7 @@ def rerank(candidates: DataFrame, score: Column, failed: Column | None = None) -
 
 def collapse(ranked: DataFrame, top_k: int = params.FINAL_TOP_K) -> DataFrame:
     """One result per parent, in rank order, with the parent's text; chunks without one stay."""
-    group = Window.partitionBy("query_id", F.coalesce("parent_id", F.col("chunk_id").cast("string"))).orderBy("final_rank")
+    group = Window.partitionBy("query_id", F.struct("parent_id", F.when(F.col("parent_id").isNull(), F.col("chunk_id")).alias("own"))).orderBy("final_rank")
     order = Window.partitionBy("query_id").orderBy("final_rank")
     return (
         ranked.withColumn("_nth", F.row_number().over(group))

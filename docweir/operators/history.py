@@ -157,7 +157,7 @@ def mark_truncated(messages: DataFrame, counts: DataFrame) -> DataFrame:
         visible(messages)
         .join(counts.where(F.col("count") > 0), "conv_id")
         .withColumn("_n", F.row_number().over(w))
-        .where((F.col("_n") <= params.HISTORY_LIMIT) & (F.col("_n") <= F.col("count")))
+        .where(F.col("_n") <= F.col("count"))
         .groupBy("conv_id")
         .agg(F.max(F.struct("turn", "message_id")).alias("_cut"))
     )

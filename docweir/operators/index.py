@@ -29,7 +29,7 @@ def postings(chunks: DataFrame, analyzers: dict[str, Analyzer] | None = None) ->
     if not analyzers:
         rows = _exploded(chunks, analyze.simple)
     else:
-        rows = _exploded(chunks.where(~F.col("language").isin(*analyzers)), analyze.simple)
+        rows = _exploded(chunks.where(~F.coalesce(F.col("language").isin(*analyzers), F.lit(False))), analyze.simple)
         for language, analyzer in analyzers.items():
             rows = rows.unionByName(_exploded(chunks.where(F.col("language") == language), analyzer))
     return rows.groupBy(*KEYS, "lexeme").agg(F.count(F.lit(1)).alias("tf"))

@@ -116,7 +116,7 @@ def probe(sites: DataFrame, rules: DataFrame, files: DataFrame, skip_full: bool
     ok = F.col("robots_ok") & ~robots.is_dropped_by_signal()
     served = files.where(
         (F.col("status") == 200)
-        & ~F.contains("content_type", F.lit("text/html"))
+        & ~F.coalesce(F.contains("content_type", F.lit("text/html")), F.lit(False))
         & F.col("body").rlike(r"\S")
     ).select("url", "final_url", strip(F.col("body")).alias("body"))
     hits = decided.where(ok).join(served, "url")

@@ -23,7 +23,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
             F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v
         )
 
-    return 1.0 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    # null where a vector has no length
+    return 1.0 - F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def check_dimension(vectors: DataFrame, dimension: int, column: str = "embedding") -> DataFrame:
@@ -46,7 +47,8 @@ def _block_topk(users: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int,
                 continue
             distance = np.round(1.0 - _unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64)) @ matrix.T, digits)
             same_user = batch["user_id"].to_numpy()[:, None] == users[None, :]
-            distance = np.where(same_user, distance, np.inf)
+            # a vector without length has no distance, and must not spoil the bound of the others
+            distance = np.where(same_user & ~np.isnan(distance), distance, np.inf)
             keep = min(k, len(batch))
             # everything not beyond the k-th best distance stays, ties included
             bound = np.partition(distance, keep - 1, axis=0)[keep - 1]
@@ -135,7 +137,8 @@ def top_k_scoped(
     )
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return (
-        pairs.withColumn("rank", F.row_number().over(w))
+        pairs.where(F.col("distance").isNotNull() & ~F.isnan("distance"))
+        .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
         .withColumn("similarity", 1.0 - F.col("distance"))
     )

@@ -36,16 +36,19 @@ def route(content_type: Column, filename: Column) -> Column:
     """How a file turns into text: plain, pdf, office or unsupported."""
     end = ending(filename)
     return (
-        F.when((content_type == "application/pdf") | (end == ".pdf"), "pdf")
-        .when(content_type.isin("text/plain", "text/markdown") | end.isin(*TEXT_ENDINGS), "plain")
+        F.when(content_type.isin("text/plain", "text/markdown") | end.isin(*TEXT_ENDINGS), "plain")
+        .when((content_type == "application/pdf") | (end == ".pdf"), "pdf")
         .when(content_type.isin(*SUPPORTED_TYPES) | end.isin(*OFFICE_ENDINGS), "office")
         .otherwise("unsupported")
     )
 
 
 def decode_text(content: Column) -> Column:
-    """UTF-8 bytes to text, dropping bytes that are not valid."""
-    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
+    """UTF-8 bytes to text, dropping bytes that are not valid; replacement characters of the text itself stay."""
+    mark, aside = F.lit("�"), F.lit("﷐")
+    text = content.cast("string")
+    repaired = F.replace(F.make_valid_utf8(F.replace(text, mark, aside)), mark, F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(repaired, aside, mark))
 
 
 def check_uploads(rows: DataFrame, max_bytes: int = params.UPLOAD_MAX_BYTES) -> DataFrame:
@@ -53,7 +56,7 @@ def check_uploads(rows: DataFrame, max_bytes: int = params.UPLOAD_MAX_BYTES) ->
     kind = F.col("content_type")
     return rows.withColumn(
         "error_message",
-        F.when(~kind.isin(*SUPPORTED_TYPES), F.concat(F.lit("Unsupported file type: "), kind))
+        F.when(~F.coalesce(kind.isin(*SUPPORTED_TYPES), F.lit(False)), F.concat(F.lit("Unsupported file type: "), F.coalesce(kind, F.lit(""))))
         .when(F.col("size") > max_bytes, F.lit(f"File too large. Maximum size: {max_bytes // (1024 * 1024)}MB"))
         .when(is_blank(F.col("text")), F.lit("Could not extract any text from the file.")),
     )
@@ -66,9 +69,9 @@ def check_pasted(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
         "filename", F.coalesce(F.nullif("filename", F.lit("")), F.lit(PASTE_NAME))
     ).withColumn(
         "error_message",
-        F.when(~kind.isin(*PASTE_TYPES), F.concat(F.lit("Unsupported content type for text paste: "), kind))
+        F.when(~F.coalesce(kind.isin(*PASTE_TYPES), F.lit(False)), F.concat(F.lit("Unsupported content type for text paste: "), F.coalesce(kind, F.lit(""))))
         .when(is_blank(F.col("text")), F.lit("Content cannot be empty."))
-        .when(~F.col("language").isin(*languages), F.concat(F.lit("Unknown language: "), "language")),
+        .when(~F.coalesce(F.col("language").isin(*languages), F.lit(False)), F.concat(F.lit("Unknown language: "), F.coalesce("language", F.lit("")))),
     )
 
 

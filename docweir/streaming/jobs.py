@@ -127,7 +127,8 @@ def _advance(state: tuple, polls: pd.DataFrame) -> tuple:
                 status, error = "failed", JOB_FAILED
             else:
                 status = p.status if p.status in STATUSES else status
-                fetched, total = int(p.pages_fetched), int(p.pages_total)
+                fetched = None if pd.isna(p.pages_fetched) else int(p.pages_fetched)
+                total = None if pd.isna(p.pages_total) else int(p.pages_total)
     return status, error, fetched, total, count, streak
 
 
