@@ -27,6 +27,7 @@ CONTEXT_CHARS = 400
 MIN_NEAR = 5
 GENERALISE = 0.5
 REMOVE = 0.9
+HELD_TERMS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -143,12 +144,22 @@ def risky_terms(docs: DataFrame, found: DataFrame, text: str = "text", min_near:
     near = stored(near)
     bits = key_filter(near, "term")
 
+    def rows(known: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(signed(known)), pa.array(n.astype(np.int64))], names=["term", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                kept = [h[maybe_in(bits, h)] for h in (terms(v.as_py() or "")[3] for v in part.column(0))]
-                different, n = np.unique(np.concatenate(kept), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(different)), pa.array(n.astype(np.int64))], names=["term", "n"])
+        # one sum per term and task, written out early where a task meets very many terms
+        known, sums = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        for part in (p for batch in batches for p in slices(batch)):
+            kept = [h[maybe_in(bits, h)] for h in (terms(v.as_py() or "")[3] for v in part.column(0))]
+            different, n = np.unique(np.concatenate(kept), return_counts=True)
+            merged, at = np.unique(np.concatenate((known, different)), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate((sums, n)), minlength=len(merged)).astype(np.int64)
+            known = merged
+            if len(known) > HELD_TERMS:
+                yield rows(known, sums)
+                known, sums = known[:0], sums[:0]
+        yield rows(known, sums)
 
     totals = docs.select(F.col(text)).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("total"))
     strength = F.least(F.col("near") / F.col("total"), F.lit(1.0))
