@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docweir.llm import curriculum, exact_merge, hyperdim, relations, tournament
 from docweir.llm.common import clear_stored, numbered
-from docweir.session import cut_lineage
+from docweir.session import cut_lineage, tune
 
 ROW = "stage_row"
 
@@ -24,14 +24,14 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language can be told: null texts and texts without letters."""
-    clear_stored(spark)
+    clear_stored(tune(spark))
     guessed = hyperdim.identify(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), hyperdim.prototypes(docs), text="in_text")
     return guessed.filter(F.col("lang_pred") != hyperdim.UNKNOWN).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each text: the one of largest id."""
-    clear_stored(spark)
+    clear_stored(tune(spark))
     rows = _rows(docs)
     kept = exact_merge.exact_groups(rows, doc_id="doc_id", row=ROW).filter("kept").select(F.col("row").alias(ROW))
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)
@@ -39,7 +39,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of linked shingle sets: the one of smallest id, then of smallest row."""
-    clear_stored(spark)
+    clear_stored(tune(spark))
     rows = _rows(docs)
     found = relations.jaccard_components(rows, row=ROW)
     # a component's label may be an id that repeats; its own number tells components apart
@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A last pass counts where it takes at least half of the document; so texts stay whole.
     Documents without words are taken by no mix and go.
     """
-    clear_stored(spark)
+    clear_stored(tune(spark))
     rows = _rows(docs)
     plan = curriculum.passes(curriculum.mix(rows, row=ROW)).select(F.col("row").alias(ROW), F.col("pass").alias("stage_pass"), F.col("position").alias("stage_position"))
     order = ["stage_position", ROW, "stage_pass"]
@@ -62,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the mixed documents into sequences; one row per piece."""
-    clear_stored(spark)
+    clear_stored(tune(spark))
     return tournament.pack(docs)
 
 

@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 EOS = 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: White space beside white space, or other breaks than a space and a line feed alone, is left to the tokenizer.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]")
 
