@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -91,19 +92,21 @@ def _matrix(max_len: int, pad: int) -> Callable[[tuple, pd.DataFrame], pd.DataFr
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start", "row"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         bins, opened = best_fit(group["length"].tolist(), max_len)
+        lengths, bodies, starts = group["length"].tolist(), group["ids"].tolist(), group["start"].tolist()
+        docs = [None if pd.isna(x) else int(x) for x in group["doc_id"].tolist()]
+        members: list[list[int]] = [[] for _ in range(opened)]
+        for at, number in enumerate(bins):
+            members[number].append(at)
+        steps = np.arange(max_len, dtype="<u4").tobytes()
+        fill_id = np.array([pad], dtype=f"<u{len(bodies[0]) // lengths[0]}").tobytes()
         rows = []
-        for number, at in enumerate(pd.Series(range(len(group))).groupby(np.array(bins)).indices.values()):
-            part = group.iloc[at]
-            lengths = part["length"].to_numpy()
-            width = len(part["ids"].iloc[0]) // int(lengths[0])
-            ids = np.full(max_len, pad, dtype=f"<u{width}")
-            body = np.frombuffer(b"".join(part["ids"]), dtype=ids.dtype)
-            ids[: len(body)] = body
-            ends = np.concatenate(([0], np.cumsum(lengths)))
-            positions = np.zeros(max_len, dtype="<u4")
-            positions[: len(body)] = np.arange(len(body)) - np.repeat(ends[:-1], lengths)
-            docs = [None if pd.isna(x) else int(x) for x in part["doc_id"]]
-            rows.append(((int(key[0]) << 32) + number, len(body), len(part), ids.tobytes(), ends.tolist(), positions.tobytes(), docs, part["start"].tolist(), lengths.tolist()))
+        for number, part in enumerate(members):
+            sizes = [lengths[i] for i in part]
+            ends = [0, *itertools.accumulate(sizes)]
+            room = max_len - ends[-1]
+            ids = b"".join([*(bodies[i] for i in part), fill_id * room])
+            positions = b"".join([*(steps[: 4 * n] for n in sizes), bytes(4 * room)])
+            rows.append(((int(key[0]) << 32) + number, ends[-1], len(part), ids, ends, positions, [docs[i] for i in part], [starts[i] for i in part], sizes))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in MATRIX_SCHEMA.split(", ")])
 
     return fill
