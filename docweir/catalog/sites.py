@@ -52,7 +52,7 @@ def snapshot_md_sibling(spark, sf):
     return snapshots.sibling_pages(derived(spark, sf, "snapshots"))
 
 
-_FETCH = f"""{plan_oracle(20)}, snapshots AS ({duck('snapshots')}), {_NEG}, {_SIB}, {_HTM},
+_FETCH = f"""{plan_oracle(params.MAX_PAGES)}, snapshots AS ({duck('snapshots')}), {_NEG}, {_SIB}, {_HTM},
     neg1 AS (SELECT * FROM neg QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY title DESC, content DESC) = 1),
     sib1 AS (SELECT * FROM sib QUALIFY row_number() OVER (PARTITION BY site_id, md_url ORDER BY title DESC, content DESC) = 1),
     htm1 AS (SELECT * FROM htm WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY title DESC, content DESC) = 1),
@@ -77,7 +77,7 @@ _FETCH = f"""{plan_oracle(20)}, snapshots AS ({duck('snapshots')}), {_NEG}, {_SI
 @query("fetch_methods", _FETCH)
 def fetch_methods(spark, sf):
     snaps = derived(spark, sf, "snapshots")
-    plan = plan_frame(spark, sf, 20)
+    plan = plan_frame(spark, sf, params.MAX_PAGES)
     return snapshots.fetch_pages(plan, snaps, _html_pages(spark, sf))
 
 
@@ -207,11 +207,12 @@ def llms_links(spark, sf):
 
 
 @query("llms_selected_links", f"""{ctes('index_files')}, {_INDEX_LINES}, {_LINKS}
-    SELECT file_id, count(*) AS links, count(*) FILTER (NOT optional) AS wanted FROM ilinks GROUP BY 1 HAVING wanted > 0""")
+    SELECT file_id, count(*) AS links, count(*) FILTER (NOT optional) AS wanted FROM ilinks GROUP BY 1""")
 def llms_selected_links(spark, sf):
     found = site_index.links(derived(spark, sf, "index_files"))
     wanted = site_index.wanted(found).groupBy("file_id").agg(F.count(F.lit(1)).alias("wanted"))
-    return found.groupBy("file_id").agg(F.count(F.lit(1)).alias("links")).join(wanted, "file_id")
+    links = found.groupBy("file_id").agg(F.count(F.lit(1)).alias("links"))
+    return links.join(wanted, "file_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0).cast("bigint")))
 
 
 @query(
@@ -318,10 +319,10 @@ _PICK = """picked AS (SELECT b.repo, b.pos, b.path, doc_folder FROM blobs b JOIN
        AND NOT regexp_matches(lower(path), '(^|/)(changelog|license)[.][a-z]+$')
        AND CASE WHEN doc_folder IS NULL THEN path NOT LIKE '%/%' ELSE starts_with(lower(path), lower(doc_folder) || '/') END
        AND len(list_filter(excluded, lambda e: starts_with(lower(path), lower(e) || '/'))) = 0
-     QUALIFY row_number() OVER (PARTITION BY b.repo ORDER BY b.pos) <= 5)"""
+     QUALIFY row_number() OVER (PARTITION BY b.repo ORDER BY b.pos) <= {cap})"""
 
 
-@query("repo_doc_files", f"""{ctes('repo_tree')}, {_BLOBS}, {_FOLDERS}, {_ENGLISH}, {_PICK}
+@query("repo_doc_files", f"""{ctes('repo_tree')}, {_BLOBS}, {_FOLDERS}, {_ENGLISH}, {_PICK.format(cap=5)}
     SELECT *, row_number() OVER (PARTITION BY repo ORDER BY pos) AS rank FROM picked""")
 def repo_doc_files(spark, sf):
     tree, branches = _branches(spark, sf)
@@ -364,7 +365,7 @@ def repo_branch(spark, sf):
 
 @query(
     "repo_pages",
-    f"""{ctes('repo_tree')}, {_BLOBS}, {_FOLDERS}, {_ENGLISH}, {_PICK},
+    f"""{ctes('repo_tree')}, {_BLOBS}, {_FOLDERS}, {_ENGLISH}, {_PICK.format(cap=params.REPO_FILE_CAP)},
     ranked AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY pos) AS rank FROM picked),
     stop AS (SELECT repo, min(CASE WHEN pos % 5 = 4 THEN rank END) AS stop FROM ranked GROUP BY 1)
     SELECT r.repo, rank, 'https://github.com/own/' || r.repo || '/blob/main/' || path AS url, path AS title,
@@ -373,7 +374,7 @@ def repo_branch(spark, sf):
 )
 def repo_pages(spark, sf):
     tree, branches = _branches(spark, sf)
-    chosen = repo.doc_files(tree, branches, 5).withColumn("rate_limited", F.col("pos") % 5 == 4)
+    chosen = repo.doc_files(tree, branches).withColumn("rate_limited", F.col("pos") % 5 == 4)
     kept, flags = repo.until_rate_limit(chosen)
     contents = tree.select("repo", "path", F.concat(F.lit("text of "), "path").alias("content"))
     where = branches.select("repo", F.lit("own").alias("owner"), F.lit("main").alias("branch"))
@@ -444,13 +445,13 @@ _BFS = f"""{ctes('sites', 'robots_txt', 'crawl_edges')}, {_ROBOTS},
     f0 AS (SELECT site_id, url, [0::BIGINT] AS ord FROM f0_found), {_bfs_level(0)}, {_bfs_level(1)}, {_bfs_level(2)},
     visits AS (SELECT 0 AS depth, * FROM v0 UNION ALL SELECT 1, * FROM v1 UNION ALL SELECT 2, * FROM v2),
     crawled AS (SELECT site_id, url, depth, row_number() OVER (PARTITION BY site_id ORDER BY depth, ord) AS rank FROM visits
-        WHERE has_content QUALIFY rank <= 25)"""
+        WHERE has_content QUALIFY rank <= {params.MAX_PAGES})"""
 
 
 def _crawled(spark, sf):
     sites, edges, pages = _crawl_frames(spark, sf)
     rules = robots.site_rules(derived(spark, sf, "robots_txt"))
-    return crawl.crawl_links(sites, edges, pages, rules, params.MAX_DEPTH, 25).select("site_id", "url", "depth", "rank")
+    return crawl.crawl_links(sites, edges, pages, rules, params.MAX_DEPTH, params.MAX_PAGES).select("site_id", "url", "depth", "rank")
 
 
 @query("bfs_crawl", f"{_BFS} SELECT * FROM crawled")
@@ -490,7 +491,7 @@ def source_cascade(spark, sf):
 
 @query(
     "consolidate_site",
-    f"""{plan_oracle(10)}, snapshots AS ({duck('snapshots')}), {_HTM},
+    f"""{plan_oracle(params.MAX_PAGES)}, snapshots AS ({duck('snapshots')}), {_HTM},
     one AS (SELECT * FROM htm WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY site_id, url ORDER BY title DESC, content DESC) = 1),
     blocks AS (SELECT p.site_id, rank, '# ' || title || chr(10) || '*Source: [' || p.url || '](' || p.url || ')*' || chr(10) || chr(10) ||
          {q.strip('content')} AS block FROM plan p JOIN one o ON o.site_id = p.site_id AND o.url = p.url)
@@ -501,6 +502,6 @@ def source_cascade(spark, sf):
 )
 def consolidate_site(spark, sf):
     html = snapshots.one_per_url(_html_pages(spark, sf))
-    pages = plan_frame(spark, sf, 10).join(html, ["site_id", "url"])
+    pages = plan_frame(spark, sf, params.MAX_PAGES).join(html, ["site_id", "url"])
     targets = derived(spark, sf, "sites").withColumnRenamed("base_url", "target")
     return crawl.consolidate(pages, targets).drop("pages").withColumn("pages_count", F.col("pages_count").cast("bigint"))

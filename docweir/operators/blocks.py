@@ -12,19 +12,16 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 SLICES = 64
-GROUP_LIMIT = 1000  # beyond this bound a ranked window no longer trims before its shuffle
 
 
 def first_rows(rows: DataFrame, key: str, order: list[Column], limit: int, rank: str, slice_by: str) -> DataFrame:
     """The first ``limit`` rows of each group, numbered by ``rank``.
 
-    Up to the group limit the ranked window trims each group before the shuffle.
-    Larger limits rank slices of the groups first, so a huge group is cut by many
-    tasks before one of them orders what is left.
+    Slices of the groups are ranked first, so a huge group is cut by many tasks
+    before one of them orders what is left.
     """
-    if limit >= GROUP_LIMIT:
-        part = Window.partitionBy(key, F.pmod(F.xxhash64(slice_by), F.lit(SLICES))).orderBy(*order)
-        rows = rows.withColumn(rank, F.row_number().over(part)).where(F.col(rank) <= limit).drop(rank)
+    part = Window.partitionBy(key, F.pmod(F.xxhash64(slice_by), F.lit(SLICES))).orderBy(*order)
+    rows = rows.withColumn(rank, F.row_number().over(part)).where(F.col(rank) <= limit).drop(rank)
     whole = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= limit)
 
