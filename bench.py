@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from docweir.catalog import load  # noqa: E402
-from docweir.session import local_session  # noqa: E402
+from docweir.session import SCAN_PARTITIONS, local_session  # noqa: E402
 
 HEADLINE = (
     "bm25_topk bm25_stemmed vector_topk hybrid_search postings_simple chunk_index_prefix markdown_chunks "
@@ -23,6 +23,8 @@ def main(names: list[str]) -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"))
     spark.sparkContext.setLogLevel("OFF")
+    # the bench tables are single files
+    spark.conf.set(SCAN_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     queries = load()[0]
     # start the JVM's parquet and Python paths before the clock runs
     queries["token_count"](spark, sf_dir).write.format("noop").mode("overwrite").save()

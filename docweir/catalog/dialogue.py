@@ -160,13 +160,13 @@ def mark_truncated(spark, sf):
     "apply_compaction",
     f"""{ctes('messages')}, tail AS (SELECT conv_id, max(turn) + 1 AS turn FROM messages WHERE conv_id % 3 = 0 GROUP BY 1)
     SELECT message_id, compacted OR conv_id % 3 = 0 AS compacted, false AS is_summary, md5(content) AS digest FROM messages
-    UNION ALL SELECT conv_id * 1000 + turn, false, true, md5('summary ' || conv_id) FROM tail""",
+    UNION ALL SELECT conv_id * 4294967296 + turn, false, true, md5('summary ' || conv_id) FROM tail""",
 )
 def apply_compaction(spark, sf):
     rows = _messages(spark, sf)
     tail = rows.where("conv_id % 3 = 0").groupBy("conv_id").agg((F.max("turn") + 1).alias("turn"))
     summaries = tail.select(
-        "conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), "turn",
+        "conv_id", (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("message_id"), "turn",
         F.concat(F.lit("summary "), F.col("conv_id").cast("string")).alias("summary"),
     )
     return history.apply_compaction(rows, summaries).select("message_id", "compacted", "is_summary", F.md5("content").alias("digest"))
@@ -492,12 +492,12 @@ def job_progress(spark, sf):
 def job_expiry(spark, sf):
     ts = F.col("ts").cast("timestamp")
     events = table(spark, sf, "events")
-    edge = events.agg(F.max(ts).alias("as_of")).first()["as_of"]
+    edge = events.agg(F.max(ts).alias("as_of")).scalar()
     last = events.groupBy(F.col("user_id").alias("job_id")).agg(
         F.max(ts).alias("updated_at"), F.max_by("event_type", "ts").alias("kind")
     )
     states = last.select("job_id", "updated_at", F.when(F.col("kind") == "purchase", "completed").otherwise("in_progress").alias("status"))
-    return jobs.expire(states, F.lit(edge)).select("job_id", "status")
+    return jobs.expire(states, edge).select("job_id", "status")
 
 
 @query(

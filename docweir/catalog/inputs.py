@@ -270,7 +270,7 @@ def crawl_edges(d: Dialect) -> str:
 def messages(d: Dialect) -> str:
     """Dialogue rows as stored messages; a long dialogue carries flags and answer variants."""
     return f"""
-    SELECT conv_id * 1000 + turn AS message_id, conv_id, turn,
+    SELECT conv_id * 4294967296 + turn AS message_id, conv_id, turn,
            CASE WHEN role = 'assistant' THEN 'ai' ELSE 'user' END AS role,
            CASE WHEN role <> 'assistant' THEN NULL WHEN (conv_id + turn) % 3 = 0 THEN 'rag_on'
                 WHEN (conv_id + turn) % 3 = 1 THEN 'rag_off' ELSE NULL END AS variant,
@@ -285,7 +285,7 @@ def attachments(d: Dialect) -> str:
 
     def kind(n: int, name: str, mime: str, body: str) -> str:
         return f"""
-        SELECT conv_id * 1000 + turn AS message_id, {n} AS seq,
+        SELECT conv_id * 4294967296 + turn AS message_id, {n} AS seq,
                'file-' || {d.text('conv_id')} || '-{n}' AS file_id, {name} AS name,
                length(text) AS size, '{mime}' AS mime_type, {body} AS file_text
           FROM @conversations WHERE role = 'user' AND (conv_id + turn + {n}) % 2 = 0"""
@@ -323,7 +323,7 @@ def token_events(d: Dialect) -> str:
            CAST(NULL AS BIGINT) AS total_tokens
       FROM (SELECT conv_id, turn, {posed} FROM @conversations WHERE role = 'assistant') w
     UNION ALL
-    SELECT conv_id, turn, CAST(1000000 AS BIGINT) AS seq,
+    SELECT conv_id, turn, CAST(4611686018427387904 AS BIGINT) AS seq,
            CASE WHEN conv_id % 4 = 0 THEN 'error' ELSE 'done' END AS type,
            CASE WHEN conv_id % 4 = 0 THEN 'boom' ELSE '' END AS content,
            CAST(length(text) AS BIGINT) AS total_tokens
@@ -343,7 +343,7 @@ def ctes(*names: str) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{n} AS ({duck(n)})" for n in names)
 
 
-# The column that spreads a table when it comes in fewer files than there are cores.
+# The column that spreads a table where the session asks for it.
 SPREAD_BY = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
 
 

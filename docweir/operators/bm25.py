@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from docweir import params
 from docweir.operators import index
-from docweir.session import fits_broadcast
 
 
 def idf(n_chunks: Column, doc_freq: Column) -> Column:
@@ -66,14 +65,10 @@ def search(
 
     Terms meet postings on (user, language, lexeme), so chunks match on any term
     and only against terms of their own language. Scores are summed before the
-    shuffle on (query, chunk). Usual query batches have few terms, which a bounded
-    count proves before they are broadcast; then postings stay where their chunk
-    is. Larger batches shuffle both sides, and AQE splits the lexemes that stand
-    in most chunks.
+    shuffle on (query, chunk). AQE broadcasts term tables below its threshold and
+    splits the lexemes that stand in most chunks of larger ones.
     """
     weighed = term_idf(terms, postings, index.corpus_stats(chunks))
-    if fits_broadcast(terms):
-        weighed = F.broadcast(weighed)
     hits = asked_postings(terms, postings).join(weighed, KEY)
     part = F.col("idf") * weight(F.col("tf").cast("double"), F.col("word_count"), F.col("avg_words"), k1, b)
     total = F.sum(part)
@@ -96,14 +91,20 @@ def search_scoped(
     """As :func:`search`, for queries bound to documents: ``scope(query_id, user_id, document_id)``.
 
     Statistics then belong to the query: chunk count, mean length and document
-    frequency all run over its documents only. The scope meets the asked postings
-    first, which keeps the work near its own size.
+    frequency all run over its documents only. Terms meet postings first and the
+    lists then pick among the hits, so a document that many queries list is not
+    repeated for lexemes they do not ask for. Lengths are summed per document before
+    they meet the lists.
     """
     lists = scope.select("query_id", "user_id", "document_id").distinct()
-    stats = index.corpus_stats(chunks.join(lists, ["user_id", "document_id"]), ("query_id",))
-    hits = asked_postings(terms, postings).join(lists, ["user_id", "document_id"]).join(
-        terms, ["query_id", "user_id", "language", "lexeme"]
+    lengths = chunks.groupBy("user_id", "document_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("word_count").cast("double")).alias("_words"), F.count("word_count").alias("_counted")
     )
+    mean = F.try_divide(F.sum("_words"), F.sum("_counted"))
+    stats = lists.join(lengths, ["user_id", "document_id"]).groupBy("query_id").agg(
+        F.sum("_n").cast("double").alias("n_chunks"), index.mean_or_one(mean).alias("avg_words")
+    )
+    hits = postings.join(terms, KEY).join(lists, ["query_id", "user_id", "document_id"], "left_semi")
     freq = hits.groupBy("query_id", "language", "lexeme").agg(F.count(F.lit(1)).alias("doc_freq"))
     weighed = freq.join(stats, "query_id").select(
         "query_id", "language", "lexeme", "avg_words", idf(F.col("n_chunks"), F.col("doc_freq")).alias("idf")

@@ -27,7 +27,7 @@ def char_chunks(c: Column, size: int = params.CHILD_TOKENS, overlap: int = param
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(split_windows(t or "", width, back)))
+        return texts.map(lambda t: split_windows(t or "", width, back))
 
     return split(c)
 
@@ -76,7 +76,7 @@ def _markdown_parents(
                 try:
                     meta, body = split_front_matter(raw or "")
                     parents = [
-                        {"content": c, "breadcrumb": b, "children": list(split_windows(c, width, back)) or [c]}
+                        {"content": c, "breadcrumb": b, "children": split_windows(c, width, back) or [c]}
                         for c, b in pack_parents(scan_blocks(body), parent_size, count)
                     ]
                     rows.append((meta, parents, None))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,15 +46,25 @@ def cut(fused: DataFrame, limit: int = params.RERANK_POOL) -> DataFrame:
     return fused.withColumn("rrf_rank", F.row_number().over(w)).where(F.col("rrf_rank") <= limit)
 
 
+def maybe_asked(rows: DataFrame, asked: DataFrame, key: str, buckets: int = 1 << 18) -> DataFrame:
+    """Rows whose ``key`` may be among ``asked``: its hash bucket is one of theirs.
+
+    At most ``buckets`` bucket numbers are broadcast at any number of candidates, so
+    texts are dropped where they are scanned, before the exact join shuffles the few that are left.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket")
+    wanted = asked.where(F.col(key).isNotNull()).select(bucket).distinct()
+    return rows.withColumn("_bucket", bucket).join(F.broadcast(wanted), "_bucket", "left_semi").drop("_bucket")
+
+
 def hydrate(candidates: DataFrame, chunks: DataFrame, documents: DataFrame, parents: DataFrame) -> DataFrame:
-    """Attach chunk, document and parent columns to the candidates."""
-    return (
-        candidates.join(
-            chunks.select("chunk_id", "document_id", "parent_id", "chunk_index", "content"), "chunk_id"
-        )
-        .join(documents.select("document_id", "filename", "source_url"), "document_id")
-        .join(parents.select("parent_id", F.col("content").alias("parent_content")), "parent_id", "left")
-    )
+    """Attach chunk, document and parent columns to the candidates; texts of others are not moved."""
+    keys = maybe_asked(chunks.select("chunk_id", "document_id", "parent_id", "chunk_index"), candidates, "chunk_id")
+    found = candidates.join(keys, "chunk_id")
+    texts = maybe_asked(chunks.select("chunk_id", "content"), candidates, "chunk_id")
+    sources = maybe_asked(documents.select("document_id", "filename", "source_url"), found, "document_id")
+    above = maybe_asked(parents.select("parent_id", F.col("content").alias("parent_content")), found, "parent_id")
+    return found.join(texts, "chunk_id").join(sources, "document_id").join(above, "parent_id", "left")
 
 
 def lexical_score(query: Column, content: Column) -> Column:
@@ -72,18 +83,15 @@ def model_score(scorer: Callable[[str, list[str]], list[tuple[int, float]]], bat
 
     @F.pandas_udf("struct<score:double,failed:boolean>")
     def run(queries: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"score": [None] * len(texts), "failed": [False] * len(texts)}, dtype=object)
-        for query, rows in queries.groupby(queries).groups.items():
-            at = [queries.index.get_loc(r) for r in rows]
-            for i in range(0, len(at), batch):
-                part = at[i : i + batch]
+        score, failed = np.full(len(texts), np.nan), np.zeros(len(texts), dtype=bool)
+        for query, at in queries.groupby(queries).indices.items():
+            for part in np.split(at, range(batch, len(at), batch)):
                 try:
-                    for j, s in scorer(query, [texts.iloc[p] for p in part]):
-                        out.iat[part[j], 0] = float(s)
+                    for j, s in scorer(query, texts.iloc[part].tolist()):
+                        score[part[j]] = float(s)
                 except Exception:  # the query falls back to its fused order
-                    for p in part:
-                        out.iat[p, 1] = True
-        return pd.DataFrame({"score": out["score"].astype(float), "failed": out["failed"].astype(bool)})
+                    failed[part] = True
+        return pd.DataFrame({"score": pd.Series(score).astype(object).where(~np.isnan(score), None), "failed": failed})
 
     return run
 

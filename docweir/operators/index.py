@@ -40,12 +40,17 @@ def replace_postings(existing: DataFrame, fresh: DataFrame, documents: DataFrame
     return existing.join(documents.select("document_id"), "document_id", "left_anti").unionByName(fresh)
 
 
+def mean_or_one(mean: Column) -> Column:
+    """The mean word count that scores divide by; 1 where there is none."""
+    return F.when(mean > 0, mean).otherwise(F.lit(1.0))
+
+
 def corpus_stats(chunks: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """Chunk count and mean word count, over all languages; a mean of zero counts as one."""
     mean = F.avg(F.col("word_count").cast("double"))
     return chunks.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("double").alias("n_chunks"),
-        F.when(mean <= 0, F.lit(1.0)).otherwise(F.coalesce(mean, F.lit(1.0))).alias("avg_words"),
+        mean_or_one(mean).alias("avg_words"),
     )
 
 

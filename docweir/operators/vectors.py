@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from docweir import params
 
-QUERY_BLOCK = 2048
+#: Vectors of a block; one of 1024 dimensions has 4 MB.
+BLOCK = 512
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -37,47 +38,61 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.full_like(rows, np.nan), where=norm > 0)
 
 
-def _block_topk(users: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int, digits: int):
-    """mapInPandas body: best k corpus rows of this partition for every query of the block."""
+def _blocks(rows: DataFrame, key: str, prefix: str, size: int) -> DataFrame:
+    """Vectors of one user in blocks of at most ``size``: their ids and one flat array of unit vectors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
         for batch in batches:
-            if batch.empty:
-                continue
-            distance = np.round(1.0 - _unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64)) @ matrix.T, digits)
-            same_user = batch["user_id"].to_numpy()[:, None] == users[None, :]
-            # a vector without length has no distance, and must not spoil the bound of the others
-            distance = np.where(same_user & ~np.isnan(distance), distance, np.inf)
-            keep = min(k, len(batch))
-            # everything not beyond the k-th best distance stays, ties included
-            bound = np.partition(distance, keep - 1, axis=0)[keep - 1]
-            row, col = np.nonzero((distance <= bound) & np.isfinite(distance))
-            part = pd.DataFrame(
-                {
-                    "query_id": ids[col],
-                    "chunk_id": batch["chunk_id"].to_numpy()[row],
-                    "distance": distance[row, col],
-                }
-            )
-            best = part if best is None else pd.concat([best, part])
-            best = best.sort_values(["distance", "chunk_id"]).groupby("query_id", sort=False).head(k)
-        if best is not None:
-            yield best
+            out = []
+            for user, part in batch.groupby("user_id", sort=False):
+                for at in range(0, len(part), size):
+                    piece = part.iloc[at : at + size]
+                    out.append((user, piece[key].to_numpy(), _unit(np.stack(piece["embedding"]).astype(np.float64)).ravel()))
+            yield pd.DataFrame(out, columns=["user_id", f"{prefix}_ids", f"{prefix}_flat"])
+
+    schema = T.StructType(
+        [
+            T.StructField("user_id", rows.schema["user_id"].dataType),
+            T.StructField(f"{prefix}_ids", T.ArrayType(rows.schema[key].dataType)),
+            T.StructField(f"{prefix}_flat", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    return rows.select("user_id", key, "embedding").mapInPandas(run, schema)
+
+
+def _block_topk(k: int, digits: int):
+    """mapInPandas body: the best k vectors of a corpus block for every query of a query block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                chunks, queries = np.asarray(row.c_ids), np.asarray(row.q_ids)
+                corpus = np.asarray(row.c_flat).reshape(len(chunks), -1)
+                distance = np.round(1.0 - corpus @ np.asarray(row.q_flat).reshape(len(queries), -1).T, digits)
+                # a vector without length has no distance, and must not spoil the bound of the others
+                distance = np.where(np.isnan(distance), np.inf, distance)
+                keep = min(k, len(chunks))
+                # everything not beyond the k-th best distance stays, ties included
+                bound = np.partition(distance, keep - 1, axis=0)[keep - 1]
+                at, query = np.nonzero((distance <= bound) & np.isfinite(distance))
+                yield pd.DataFrame({"query_id": queries[query], "chunk_id": chunks[at], "distance": distance[at, query]})
 
     return run
 
 
 def top_k(
-    corpus: DataFrame, queries: DataFrame, k: int = params.RETRIEVAL_POOL, digits: int = 9, block: int = QUERY_BLOCK
+    corpus: DataFrame, queries: DataFrame, k: int = params.RETRIEVAL_POOL, digits: int = 9, block: int = BLOCK
 ) -> DataFrame:
     """Exact nearest ``k`` chunks of each query among its user's vectors.
 
     ``corpus`` is ``(chunk_id, user_id, embedding)``, ``queries`` ``(query_id,
-    user_id, embedding)``. The corpus never moves: each partition keeps its own
-    best ``k`` per query by matrix products over Arrow batches, and only these
-    rows are shuffled. The query matrix goes to the tasks in blocks of bounded
-    size, one pass over the corpus per block, so it may outgrow one task's memory.
+    user_id, embedding)``. Both are cut where they lie into blocks of one user's
+    vectors; blocks meet on the user, as rows of one plan at any number of queries, and
+    a matrix product leaves the best ``k`` of a corpus block for each query of a
+    query block. Query blocks below the broadcast threshold leave the corpus in place; beyond it both
+    sides shuffle and AQE splits users with many blocks. The best rows of
+    all blocks are ranked with a group limit on both sides of their shuffle. Vectors
+    without a user meet no query.
     """
     schema = T.StructType(
         [
@@ -86,13 +101,10 @@ def top_k(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    source = corpus.select("chunk_id", "user_id", "embedding")
-    found = None
-    for users, ids, matrix in _query_blocks(queries, block):
-        part = source.mapInPandas(_block_topk(users, ids, matrix, k, digits), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], schema)
+    usable = F.col("embedding").isNotNull() & F.col("user_id").isNotNull()
+    asked = _blocks(queries.where(usable), "query_id", "q", block)
+    pairs = _blocks(corpus.where(usable), "chunk_id", "c", block).join(asked, "user_id")
+    found = pairs.drop("user_id").mapInPandas(_block_topk(k, digits), schema)
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return (
         found.withColumn("rank", F.row_number().over(w))
@@ -101,25 +113,6 @@ def top_k(
     )
 
 
-def _query_blocks(queries: DataFrame, block: int):
-    """Read the query vectors in blocks of at most ``block`` rows, one partition at a time."""
-    rows = queries.select("user_id", "query_id", "embedding").toLocalIterator()
-    batch = []
-    for row in rows:
-        batch.append(row)
-        if len(batch) == block:
-            yield _as_block(batch)
-            batch = []
-    if batch:
-        yield _as_block(batch)
-
-
-def _as_block(rows):
-    users = np.array([r[0] for r in rows], dtype=object)
-    ids = np.array([r[1] for r in rows])
-    return users, ids, _unit(np.array([r[2] for r in rows], dtype=np.float64))
-
-
 def top_k_scoped(
     corpus: DataFrame, queries: DataFrame, scope: DataFrame, k: int = params.RETRIEVAL_POOL, digits: int = 9
 ) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Session helpers: configuration, lineage cuts and size-checked broadcasts."""
+"""Session helpers: configuration, the shared folder and lineage cuts."""
 
 from __future__ import annotations
 
@@ -34,6 +34,7 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     # whole texts go to Python workers; a batch of them stays small
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     return spark
 
 
@@ -64,22 +65,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str, max_bytes_per_core: int = 128 << 20) -> DataFrame:
-    """Hash small inputs that come in too few files over all cores, by ``key``.
+SCAN_PARTITIONS = "docweir.scanPartitions"
 
-    One file is read by few tasks however many cores wait. Inputs with enough
-    files, or beyond the size bound, are left as they are: there the scan itself
-    is parallel and a shuffle of whole texts would only cost.
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows by ``key`` over as many partitions as the session setting SCAN_PARTITIONS names.
+
+    For machines whose whole input is one small file, which few tasks can read. Unset, as
+    on clusters, the reader's split size decides and nothing is shuffled.
     """
-    if not hasattr(df, "_jdf"):  # remote sessions show no plan statistics
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if len(df.inputFiles()) >= cores or int(str(size)) > cores * max_bytes_per_core:
-        return df
-    return df.repartition(cores, key)
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = 200_000) -> bool:
-    """True when a count that stops behind the bound proves the frame small."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    parts = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(parts), key) if parts else df

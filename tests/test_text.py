@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docweir.functions import html_runs, markdown, text
@@ -10,35 +12,37 @@ from docweir.functions.windows import estimate_tokens, pack_parents, scan_blocks
 from docweir.operators import chunking, extract
 
 
-def windows(t, size=1000, overlap=200):
-    return list(split_windows(t, size * 5, overlap * 5))
+def test_windows_of_texts_that_fit():
+    assert split_windows(" \n\t", 50, 5) == []
+    assert split_windows("\n a few words, \n", 50, 5) == ["a few words,"]
+    assert split_windows("z" * 50, 50, 5) == ["z" * 50]
 
 
-def test_split_short_texts():
-    assert windows("") == [] and windows("   ") == []
-    assert windows("Short text.") == ["Short text."]
-    assert windows("x" * 1000) == ["x" * 1000]
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("one two. three four five", ["one two.", "three four", "five"]),
+        ("ab\n\ncd ef gh ij", ["ab", "cd ef gh ij", "j"]),
+        ("q" * 23, ["q" * 12, "q" * 12, "q"]),
+    ],
+)
+def test_windows_end_behind_the_best_separator(body, want):
+    assert split_windows(body, 12, 1) == want
 
 
-def test_split_covers_every_character():
-    body = " ".join(f"word{i}." for i in range(900))
-    pieces = windows(body, 100, 20)
-    assert len(pieces) > 5 and all(pieces)
-    at = 0
-    for p in pieces:
-        found = body.find(p, max(0, at - 700))
-        assert 0 <= found <= at
-        at = max(at, found + len(p) + 1)
-    assert at >= len(body)
-    assert len(windows("a" * 2000, 100, 20)) > 1
+@given(st.text("ab .\n", max_size=200), st.integers(4, 30), st.integers(0, 10))
+def test_windows_cover_the_text_in_order(body, width, overlap):
+    pieces = split_windows(body, width, overlap)
+    assert all(p and p == p.strip() and len(p) <= width and p in body for p in pieces)
+    assert sum(map(len, "".join(pieces).split())) >= sum(map(len, body.split()))
 
 
 def test_front_matter():
-    meta, body = split_front_matter("---\ntitle: Hello\nversion: '1.0'\n---\n\n# Content")
-    assert json.loads(meta) == {"title": "Hello", "version": "1.0"} and body == "# Content"
-    for bad in ("---\n: : :\n  - [\n---\nx", "---\nno end", "plain"):
-        assert split_front_matter(bad) == ("{}", bad)
-    assert json.loads(split_front_matter('+++\ntitle = "T"\n+++\nx')[0]) == {"title": "T"}
+    meta, body = split_front_matter("---\nweight: 7\ntags: [a, b]\n---\n\nFirst line")
+    assert json.loads(meta) == {"weight": 7, "tags": ["a", "b"]} and body == "First line"
+    for other in ("---\n- [open\n: :\n---\nrest", "---\nnever closed", "no fence at all"):
+        assert split_front_matter(other) == ("{}", other)
+    assert json.loads(split_front_matter('+++\ndraft = true\n+++\nrest')[0]) == {"draft": True}
 
 
 def test_scan_blocks():
