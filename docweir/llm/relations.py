@@ -7,8 +7,8 @@ other blocks are skipped without being compared. Answers are derived from sets
 already answered: equal sets share one entry, every set of a list is first compared with
 the list's leader, and sets known to be in the leader's component need no answers of
 their own. Only members of one list that are still apart are compared with each other,
-less those that their distances to the leader, or the parities of their members in a
-small bitmap, rule out.
+in one of the blocks that they share, less those that their distances to the leader, or the
+parities of their members in a small bitmap, rule out.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ PERCENT = 90
 CLASS_RATIO = 1.25
 #: Low bits of a key that hold the class; 1.25 to the power of 255 is beyond any text.
 CLASS_MASK = 255
+#: Blocks before a block in which a pair that also agrees there has met already.
+LOOK_BACK = 16
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -114,16 +116,22 @@ def parities(hashes: np.ndarray, bits: int) -> np.ndarray:
 def _bitmaps(percent: int, ratio: float = CLASS_RATIO) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, classes, maps = [], [], []
+            ids, classes, maps, keys, home = [], [], [], [], []
             for key, value in zip(batch["id"].to_pylist(), batch["members"], strict=True):
                 hashes = np.frombuffer(value.as_buffer(), dtype=np.uint64)
-                for number, blocks in size_classes(percent, ratio, len(hashes)):
+                own = block_keys(hashes, percent, ratio)
+                taken = size_classes(percent, ratio, len(hashes))
+                for number, blocks in taken:
                     # wide enough to tell sets apart that differ in a little more than a link allows
                     bits = max(256, 1 << (10 * blocks).bit_length())
                     ids.append(key)
                     classes.append(number)
                     maps.append(parities(hashes, bits))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.list_(pa.int64()))], names=["id", "class", "bitmap"])
+                    keys.append(signed(own[own & np.uint64(CLASS_MASK) == np.uint64(number)]))
+                    # the last class is the one that the set's own size is in
+                    home.append(number == taken[-1][0])
+            columns = [pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(home, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "class", "bitmap", "class_keys", "home"])
 
     return run
 
@@ -161,6 +169,8 @@ def still_apart(lists: DataFrame, answers: DataFrame, parts: DataFrame, sets: Da
     At least one of a pair is not in the leader's component. Jaccard distance obeys the triangle
     inequality, so members whose distances to the leader differ by more than a link
     allows do not link; nor do sets whose bitmaps differ in more places than linked sets in members.
+    A pair meets in the class of its smaller set alone, and not in a block behind which,
+    within LOOK_BACK blocks, another one agrees: there it has met before, with each other or with a leader.
     """
     known = answers.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.col("n_b").alias("n"), "distance")
     part, first = F.coalesce("part", "id"), F.coalesce("leader_part", "leader")
@@ -170,14 +180,19 @@ def still_apart(lists: DataFrame, answers: DataFrame, parts: DataFrame, sets: Da
     mixed = rows.filter("away").select("key").distinct()
     rows = rows.join(mixed, "key").withColumn("class", F.col("key").bitwiseAND(F.lit(CLASS_MASK).cast("long")))
     rows = stored(rows)
-    bitmaps = sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_bitmaps(percent), "id long, class long, bitmap array<long>")
-    rows = rows.join(stored(bitmaps), ["id", "class"]).select("key", "id", "n", "part", "away", "distance", "bitmap")
+    schema = "id long, class long, bitmap array<long>, class_keys array<long>, home boolean"
+    bitmaps = sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_bitmaps(percent), schema)
+    place = F.array_position("class_keys", F.col("key")).cast("int")
+    rows = rows.join(stored(bitmaps), ["id", "class"]).withColumn("place", place)
+    back = F.slice("class_keys", F.greatest(F.lit(1), F.col("place") - LOOK_BACK), F.least(F.lit(LOOK_BACK), F.col("place") - 1))
+    rows = rows.select("key", "id", "n", "part", "away", "distance", "bitmap", "home", back.alias("back"))
     other = rows.toDF(*[f"{c}_b" if c != "key" else c for c in rows.columns])
     near = F.abs(F.col("distance") - F.col("distance_b")) <= (100 - percent) / 100 + 1e-9
     differ = F.aggregate(F.zip_with("bitmap", "bitmap_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = differ * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)
     once = ~F.col("away_b") | (F.col("id") < F.col("id_b"))
-    pairs = rows.filter("away").join(other, "key").filter((F.col("part") != F.col("part_b")) & once & near & close)
+    new = (F.col("home") | F.col("home_b")) & ~F.arrays_overlap("back", "back_b")
+    pairs = rows.filter("away").join(other, "key").filter((F.col("part") != F.col("part_b")) & once & near & new & close)
     return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
 
 
