@@ -59,12 +59,11 @@ def maybe_asked(rows: DataFrame, asked: DataFrame, key: str, buckets: int = 1 <<
 
 def hydrate(candidates: DataFrame, chunks: DataFrame, documents: DataFrame, parents: DataFrame) -> DataFrame:
     """Attach chunk, document and parent columns to the candidates; texts of others are not moved."""
-    keys = maybe_asked(chunks.select("chunk_id", "document_id", "parent_id", "chunk_index"), candidates, "chunk_id")
-    found = candidates.join(keys, "chunk_id")
-    texts = maybe_asked(chunks.select("chunk_id", "content"), candidates, "chunk_id")
+    texts = chunks.select("chunk_id", "document_id", "parent_id", "chunk_index", "content")
+    found = candidates.join(maybe_asked(texts, candidates, "chunk_id"), "chunk_id")
     sources = maybe_asked(documents.select("document_id", "filename", "source_url"), found, "document_id")
     above = maybe_asked(parents.select("parent_id", F.col("content").alias("parent_content")), found, "parent_id")
-    return found.join(texts, "chunk_id").join(sources, "document_id").join(above, "parent_id", "left")
+    return found.join(sources, "document_id").join(above, "parent_id", "left")
 
 
 def lexical_score(query: Column, content: Column) -> Column:
