@@ -63,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the mixed documents into sequences; one row per piece."""
     clear_stored(tune(spark))
-    return tournament.pack(docs)
+    return tournament.pack(docs, special=True)
 
 
 STAGES = [

@@ -71,11 +71,11 @@ def best_fit(lengths: list[int], max_len: int) -> tuple[list[int], int]:
     return bins, opened
 
 
-def segments(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, max_len: int = MAX_LEN) -> DataFrame:
+def segments(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, max_len: int = MAX_LEN, special: bool = False) -> DataFrame:
     """Every document's ids with its end id, overlong ones split into runs of ``max_len``, as little-endian bytes."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(path or vocabulary())
+        encoder = word_ids(path or vocabulary(), special)
         for batch in batches:
             rows = []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -112,7 +112,7 @@ def _matrix(max_len: int, pad: int) -> Callable[[tuple, pd.DataFrame], pd.DataFr
     return fill
 
 
-def packed_matrices(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, max_len: int = MAX_LEN, pad: int = 0, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def packed_matrices(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, max_len: int = MAX_LEN, pad: int = 0, group_bytes: int = GROUP_BYTES, special: bool = False) -> DataFrame:
     """One row per packed sequence: ids padded to ``max_len``, cumulative segment lengths, positions from 0 in each segment.
 
     Ids stand as little-endian integers of two bytes (four beyond 65536 ids), positions of
@@ -120,11 +120,12 @@ def packed_matrices(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     task holds one group however large a source or document is; within a group the longest
     goes first, each into the fullest sequence that has room. Nothing is dropped:
     ``doc_ids``, ``starts`` and ``lengths`` tell where each segment comes from. A null text is its end
-    id alone; an empty table gives no rows.
+    id alone; an empty table gives no rows. With ``special``, the content of an added token
+    in a text is that token.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(text)) + F.lit(1))).first()[0] or 0
     groups = max(1, round(size / group_bytes))
-    rows = segments(docs, text, doc_id, path, max_len).withColumn("row", F.monotonically_increasing_id())
+    rows = segments(docs, text, doc_id, path, max_len, special).withColumn("row", F.monotonically_increasing_id())
     dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.col("row"), F.lit("group")), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(_matrix(max_len, pad), MATRIX_SCHEMA)
 

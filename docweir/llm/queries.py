@@ -22,7 +22,7 @@ def op2_exact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tournament.pack(_table(spark, sf_dir, "documents"))
+    return tournament.pack(_table(spark, sf_dir, "documents"), special=True)
 
 
 def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op6_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bestfit_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bestfit.packed_matrices(_table(spark, sf_dir, "documents"))
+    return bestfit.packed_matrices(_table(spark, sf_dir, "documents"), special=True)
 
 
 def op8_hyperdim(spark: SparkSession, sf_dir: str) -> DataFrame:

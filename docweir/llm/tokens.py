@@ -20,9 +20,11 @@ class WordIds(dict):
     Byte-level BPE vocabularies split text before the merges: one space goes with the
     word behind it and a lone line feed is a piece by itself. So a text in which white
     space stands alone is the concatenation of its pieces, each encoded by itself.
+    With ``special``, the content of an added token stands for that token, as in a
+    tokenizer left at its defaults; without it, it is text like any other.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -30,6 +32,7 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.merge = self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def __missing__(self, piece: str) -> bytes:
@@ -47,7 +50,9 @@ class WordIds(dict):
         """Ids of the whole text, null as empty, and the end id behind them."""
         text = text or ""
         tail = b"" if end is None else np.array([end], dtype=self.type).tobytes()
-        if _UNEVEN.search(text):
+        if any(a in text for a in self.added):
+            body = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
+        elif _UNEVEN.search(text):
             body = self._encoded(text)
         else:
             body = self["\n"].join(self._line(line) for line in text.split("\n"))
@@ -61,8 +66,8 @@ class WordIds(dict):
 
 
 @functools.cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, special: bool = False) -> WordIds:
+    return WordIds(path, special)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -45,11 +45,11 @@ class Tournament:
         return leaf, before
 
 
-def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, max_len: int = MAX_LEN) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, max_len: int = MAX_LEN, special: bool = False) -> DataFrame:
     """One row per piece of at most ``max_len`` ids: every document's ids and its end id, cut where a sequence is full."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(path or vocabulary())
+        encoder = word_ids(path or vocabulary(), special)
         for batch in batches:
             rows = []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -73,15 +73,16 @@ def _first_fit(max_len: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return fill
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, max_len: int = MAX_LEN, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None, max_len: int = MAX_LEN, group_pieces: int = GROUP_PIECES, special: bool = False) -> DataFrame:
     """Every piece with its sequence and its place there.
 
     Pieces are dealt to groups of about ``group_pieces`` by a hash of their row number, so
     no document, source or length fills a group; each group is packed by itself, longest
     piece first, into the first sequence with room. A null text has its end id alone; rows
-    that repeat an id are documents of their own. An empty table gives no rows.
+    that repeat an id are documents of their own. An empty table gives no rows. With
+    ``special``, the content of an added token in a text is that token.
     """
-    table = numbered(pieces(docs, text, doc_id, path, max_len))
+    table = numbered(pieces(docs, text, doc_id, path, max_len, special))
     groups = max(1, round(table.count() / group_pieces))
     dealt = table.withColumn("group", F.pmod(F.xxhash64(F.col("row"), F.lit("group")), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(_first_fit(max_len), PLACED_SCHEMA)
