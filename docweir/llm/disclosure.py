@@ -1,8 +1,9 @@
 """Personal data by pattern, and terms that give it away by corpus co-occurrence.
 
 Patterns find the protected entities. A term's disclosure strength is the share of its
-occurrences in the whole corpus that stand within CONTEXT_WORDS of an entity; a term at
-or above ``generalise`` is replaced by its kind, at or above ``remove`` it is taken out. Counting and
+occurrences in the whole corpus that stand within CONTEXT_WORDS of an entity, those inside
+entities left out; a term at or above ``generalise`` is replaced by its kind, at or above
+``remove`` it is taken out, however rare it is. Counting and
 finding read all texts; between them only a filter of fixed size goes to the tasks,
 and exact joins on the term decide.
 """
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweir.llm.common import key_filter, maybe_in, signed, slices, span_hashes, spans_of, stored
@@ -24,7 +25,6 @@ KINDS = ("email", "ip", "card", "phone")
 CUE = "cue"
 CONTEXT_WORDS = 3
 CONTEXT_CHARS = 400
-MIN_NEAR = 5
 GENERALISE = 0.5
 REMOVE = 0.9
 HELD_TERMS = 1 << 20
@@ -89,20 +89,44 @@ def terms(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return data, starts, ends, span_hashes(data, starts, ends)
 
 
+def united(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Starts and ends of the stretches that matches cover; overlapping ones are one."""
+    out: list[tuple[int, int]] = []
+    for start, _, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def outer_terms(text: str, covered: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms outside the covered stretches: starts and ends (code points), hashes."""
+    parts, at = [], 0
+    for start, end in covered:
+        parts += [text[at:start], " " * (end - start)]
+        at = end
+    data, starts, ends, hashes = terms("".join([*parts, text[at:]]))
+    if len(data) == len(text):
+        return starts, ends, hashes
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    return points[starts], points[ends], hashes
+
+
 def context_terms(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
-    """Terms within CONTEXT_WORDS of an entity, at most CONTEXT_CHARS away, the entities' own characters left out."""
-    out: list[int] = []
-    for i, (start, _, end) in enumerate(spans):
-        low = max([0, start - CONTEXT_CHARS, *(e for _, _, e in spans[max(0, i - 4) : i])])
-        high = min([len(text), end + CONTEXT_CHARS, *(s for s, _, _ in spans[i + 1 : i + 5])])
-        _, starts, _, before = terms(text[low:start])
+    """Terms within CONTEXT_WORDS of an entity, at most CONTEXT_CHARS away and outside all entities; an occurrence counts once."""
+    covered = united(spans)
+    starts, ends, hashes = outer_terms(text, covered)
+    near = np.zeros(len(hashes), dtype=bool)
+    for i, (start, end) in enumerate(covered):
+        low = max(start - CONTEXT_CHARS, covered[i - 1][1] if i else 0)
+        high = min(end + CONTEXT_CHARS, covered[i + 1][0] if i + 1 < len(covered) else len(text))
         # a term that the window cuts in two is none
-        cut = low == start - CONTEXT_CHARS and len(starts) and starts[0] == 0
-        out += signed(before[int(bool(cut)) :][-CONTEXT_WORDS:]).tolist()
-        data, _, ends, after = terms(text[end : max(end, high)])
-        cut = high == end + CONTEXT_CHARS and len(ends) and ends[-1] == len(data)
-        out += signed(after[: len(after) - int(bool(cut))][:CONTEXT_WORDS]).tolist()
-    return out
+        first, last = np.searchsorted(starts, low), np.searchsorted(ends, start, "right")
+        near[max(first, last - CONTEXT_WORDS) : last] = True
+        first, last = np.searchsorted(starts, end), np.searchsorted(ends, high, "right")
+        near[first : min(last, first + CONTEXT_WORDS)] = True
+    return signed(hashes[near]).tolist()
 
 
 BASE_SCHEMA = (
@@ -138,9 +162,9 @@ def detected(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return stored(_keyed(docs, text, doc_id).mapInArrow(_detect, BASE_SCHEMA))
 
 
-def risky_terms(docs: DataFrame, found: DataFrame, text: str = "text", min_near: int = MIN_NEAR, generalise: float = GENERALISE) -> DataFrame:
+def risky_terms(docs: DataFrame, found: DataFrame, text: str = "text", generalise: float = GENERALISE) -> DataFrame:
     """Terms whose disclosure strength reaches ``generalise``: term, near, total and strength."""
-    near = found.select(F.explode("context").alias("term")).groupBy("term").agg(F.count("*").alias("near")).filter(F.col("near") >= min_near)
+    near = found.select(F.explode("context").alias("term")).groupBy("term").agg(F.count("*").alias("near"))
     near = stored(near)
     bits = key_filter(near, "term")
 
@@ -151,7 +175,8 @@ def risky_terms(docs: DataFrame, found: DataFrame, text: str = "text", min_near:
         # one sum per term and task, written out early where a task meets very many terms
         known, sums = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         for part in (p for batch in batches for p in slices(batch)):
-            kept = [h[maybe_in(bits, h)] for h in (terms(v.as_py() or "")[3] for v in part.column(0))]
+            texts = (v.as_py() or "" for v in part.column(0))
+            kept = [h[maybe_in(bits, h)] for h in (outer_terms(text, united(base_spans(text)))[2] for text in texts)]
             different, n = np.unique(np.concatenate(kept), return_counts=True)
             merged, at = np.unique(np.concatenate((known, different)), return_inverse=True)
             sums = np.bincount(at, weights=np.concatenate((sums, n)), minlength=len(merged)).astype(np.int64)
@@ -162,23 +187,21 @@ def risky_terms(docs: DataFrame, found: DataFrame, text: str = "text", min_near:
         yield rows(known, sums)
 
     totals = docs.select(F.col(text)).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("total"))
-    strength = F.least(F.col("near") / F.col("total"), F.lit(1.0))
-    return near.join(totals, "term").withColumn("strength", strength).filter(F.col("strength") >= generalise)
+    return near.join(totals, "term").withColumn("strength", F.col("near") / F.col("total")).filter(F.col("strength") >= generalise)
 
 
 def cue_spans(docs: DataFrame, risky: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Every place of a risky term: document, text key, start, end (code points) and strength."""
+    """Every place of a risky term outside the matches: document, text key, start, end (code points) and strength."""
     bits = key_filter(risky, "term")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for key, text_key, value in zip(batch["doc_id"].to_pylist(), batch["text_key"].to_pylist(), batch["text"], strict=True):
-                data, starts, ends, hashes = terms(value.as_py() or "")
+                body = value.as_py() or ""
+                starts, ends, hashes = outer_terms(body, united(base_spans(body)))
                 hit = np.flatnonzero(maybe_in(bits, hashes))
-                if len(hit):
-                    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                    rows += zip([key] * len(hit), [text_key] * len(hit), signed(hashes)[hit].tolist(), points[starts[hit]].tolist(), points[ends[hit]].tolist(), strict=True)
+                rows += zip([key] * len(hit), [text_key] * len(hit), signed(hashes)[hit].tolist(), starts[hit].tolist(), ends[hit].tolist(), strict=True)
             columns = list(zip(*rows, strict=True)) or [()] * 5
             types = [pa.int64()] * 3 + [pa.int32()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_key", "term", "start", "end"])
@@ -187,26 +210,23 @@ def cue_spans(docs: DataFrame, risky: DataFrame, text: str = "text", doc_id: str
     return rows.join(risky.select("term", "strength"), "term")
 
 
-def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_near: int = MIN_NEAR, generalise: float = GENERALISE) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", generalise: float = GENERALISE) -> DataFrame:
     """Per document: counts and digest of the pattern matches, all spans, and the cues with their strength.
 
     Matches of each kind are leftmost and do not overlap; those that fail their check
-    are dropped. A cue is a risky term anywhere in the corpus; one that overlaps a match is part
+    are dropped. A cue is a risky term anywhere in the corpus; what stands in a match is part
     of it and not listed. A null text is empty; rows that repeat an id are rows of their
     own. An empty table gives no rows.
     """
     found = detected(docs, text, doc_id)
-    risky = stored(risky_terms(docs, found, text, min_near, generalise))
+    risky = stored(risky_terms(docs, found, text, generalise))
     cue = F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("end"), F.col("strength"))
     # copies of a row bring the same places; a set keeps them once
     cues = cue_spans(docs, risky, text, doc_id).groupBy(F.col("doc_id").alias("cue_doc"), F.col("text_key").alias("cue_key")).agg(F.array_sort(F.collect_set(cue)).alias("cues"))
     same = F.col("doc_id").eqNullSafe(F.col("cue_doc")) & (F.col("text_key") == F.col("cue_key"))
     joined = found.join(cues, same, "left")
 
-    def apart(c: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-
-    joined = joined.withColumn("cues", F.filter(F.coalesce("cues", F.expr("cast(array() as array<struct<start: int, kind: int, end: int, strength: double>>)")), apart))
+    joined = joined.withColumn("cues", F.coalesce("cues", F.expr("cast(array() as array<struct<start: int, kind: int, end: int, strength: double>>)")))
     plain = F.transform("cues", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     names = F.array(*[F.lit(k) for k in (*KINDS, CUE)])
     written = F.transform(F.array_sort(F.concat("base", plain)), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"]))
