@@ -202,8 +202,7 @@ _LINKS = f"""ilinks AS (SELECT file_id, pos, regexp_extract(line, '{_LINK}', 1)
 
 @query("llms_links", f"{ctes('index_files')}, {_INDEX_LINES}, {_LINKS} SELECT * FROM ilinks WHERE url NOT LIKE '%/./%' AND url NOT LIKE '%..%'")
 def llms_links(spark, sf):
-    found = site_index.links(derived(spark, sf, "index_files"))
-    return found.where(~F.contains("url", F.lit("/./")) & ~F.contains("url", F.lit("..")))
+    return site_index.links(derived(spark, sf, "index_files"))
 
 
 @query("llms_selected_links", f"""{ctes('index_files')}, {_INDEX_LINES}, {_LINKS}
