@@ -7,6 +7,7 @@ stored on their way. All but the last return the columns of ``documents`` as the
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ def _rows(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language can be told: null texts and texts without letters."""
     clear_stored(tune(spark))
-    guessed = hyperdim.identify(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), hyperdim.prototypes(docs), text="in_text")
+    names, table = hyperdim.prototypes(docs)
+    # where no label teaches a language, one prototype for all still tells texts without letters
+    model = (names, table) if names else (["any"], np.zeros((1, hyperdim.DIMS), dtype=np.float32))
+    guessed = hyperdim.identify(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, text="in_text")
     return guessed.filter(F.col("lang_pred") != hyperdim.UNKNOWN).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
 
 
