@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweir.llm import bestfit, collisions, curriculum, diagonals, disclosure, dom_trees, exact_merge, hyperdim, relations, tournament
+from docweir.llm import bestfit, collisions, curriculum, diagonals, disclosure, dom_trees, exact_merge, hyperdim, merkle, relations, tournament
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,17 @@ def op10_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.jaccard_components(_table(spark, sf_dir, "documents")).drop("row", "component")
 
 
-QUERIES = {f.__name__: f for f in (op1_dom_trees, op2_exact_merge, op3_tournament_packing, op4_curriculum, op5_disclosure, op6_collision_search, op7_bestfit_matrices, op8_hyperdim, op9_diagonals, op10_set_relations)}
+def op12_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    shown = merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), tampered, F.col("text"))
+    return merkle.verified(merkle.manifest(_table(spark, sf_dir, "documents"), carry={"shown": shown}))
+
+
+OPERATORS = (
+    op1_dom_trees, op2_exact_merge, op3_tournament_packing, op4_curriculum, op5_disclosure, op6_collision_search, op7_bestfit_matrices,
+    op8_hyperdim, op9_diagonals, op10_set_relations, op12_merkle_descent,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLES: dict[str, str] = {}
 
@@ -93,3 +103,59 @@ SELECT doc_id, size, source_size, target,
   CASE WHEN source_size > 0 THEN wanted // source_size * size + greatest(0, least(size, wanted % source_size - before)) ELSE 0 END AS taken
 FROM r
 """
+
+# crc32 bit by bit: a byte is xored in, then eight steps (-1) shift the register
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+ORACLES["op12_merkle_descent"] = f"""
+WITH RECURSIVE marked AS (SELECT *, {_CRC} % 7 = 0 AS crc_hit FROM documents),
+d AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, {_leaf('(CASE WHEN crc_hit THEN n_chars + 1 ELSE n_chars END)')} AS shown FROM marked),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at,
+    dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) AS tree, count(*) OVER (PARTITION BY lang) AS n FROM d),
+nodes AS (
+  SELECT tree, 0 AS level, at, n, leaf AS digest FROM l
+  UNION ALL
+  SELECT tree, level + 1, at // 2, (n + 1) // 2, up FROM (
+    SELECT *, sha256(digest || coalesce(lead(digest) OVER (PARTITION BY tree ORDER BY at), '')) AS up FROM nodes WHERE n > 1
+  ) u WHERE at % 2 = 0
+),
+tops AS (SELECT tree, digest AS subroot, tree - 1 AS at, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, at, n, subroot AS digest FROM tops
+  UNION ALL
+  SELECT level + 1, at // 2, (n + 1) // 2, up FROM (
+    SELECT *, sha256(digest || coalesce(lead(digest) OVER (ORDER BY at), '')) AS up FROM upper WHERE n > 1
+  ) u WHERE at % 2 = 0
+),
+steps AS (
+  SELECT l.tree, l.at, p.level, 0 AS part, (l.at >> p.level) % 2 AS bit, s.digest AS sibling
+  FROM l JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) p ON p.tree = l.tree
+  LEFT JOIN nodes s ON s.tree = l.tree AND s.level = p.level AND s.at = xor(l.at >> p.level, 1)
+  UNION ALL
+  SELECT l.tree, l.at, p.level, 1, ((l.tree - 1) >> p.level) % 2, s.digest
+  FROM l CROSS JOIN (SELECT DISTINCT level FROM upper WHERE n > 1) p
+  LEFT JOIN upper s ON s.level = p.level AND s.at = xor((l.tree - 1) >> p.level, 1)
+),
+paths AS (
+  SELECT tree, at, coalesce(string_agg(sibling, '' ORDER BY part, level), '') AS siblings,
+    list(CASE WHEN sibling IS NULL THEN '-' WHEN bit = 1 THEN '<' || sibling ELSE '>' || sibling END ORDER BY part, level) AS path
+  FROM steps GROUP BY ALL
+),
+r AS (
+  SELECT l.doc_id, l.leaf, t.subroot, (SELECT digest FROM upper WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+    list_reduce(list_prepend(l.shown, coalesce(path, [])), lambda a, s: CASE s[1] WHEN '-' THEN sha256(a) WHEN '<' THEN sha256(s[2:] || a) ELSE sha256(a || s[2:]) END) AS folded_root
+  FROM l JOIN tops t USING (tree) LEFT JOIN paths p ON p.tree = l.tree AND p.at = l.at
+)
+SELECT *, folded_root = root AS verified FROM r
+"""
