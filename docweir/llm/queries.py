@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweir.llm import bestfit, collisions, curriculum, diagonals, disclosure, dom_trees, exact_merge, hyperdim, merkle, relations, tournament
+from docweir.llm import bestfit, collisions, curriculum, diagonals, disclosure, dom_trees, exact_merge, hyperdim, merkle, negatives, relations, tournament
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,9 +64,15 @@ def op12_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(_table(spark, sf_dir, "documents"), carry={"shown": shown}))
 
 
+def op13_shared_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.usable(_table(spark, sf_dir, "embeddings"), label=label)
+    return negatives.mine(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 OPERATORS = (
     op1_dom_trees, op2_exact_merge, op3_tournament_packing, op4_curriculum, op5_disclosure, op6_collision_search, op7_bestfit_matrices,
-    op8_hyperdim, op9_diagonals, op10_set_relations, op12_merkle_descent,
+    op8_hyperdim, op9_diagonals, op10_set_relations, op12_merkle_descent, op13_shared_lists,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
@@ -159,3 +165,20 @@ r AS (
 )
 SELECT *, folded_root = root AS verified FROM r
 """
+
+ORACLES["op13_shared_lists"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER best <= 10
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+"""
