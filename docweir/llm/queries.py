@@ -127,41 +127,41 @@ def _leaf(n_chars: str) -> str:
 ORACLES["op12_merkle_descent"] = f"""
 WITH RECURSIVE marked AS (SELECT *, {_CRC} % 7 = 0 AS crc_hit FROM documents),
 d AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, {_leaf('(CASE WHEN crc_hit THEN n_chars + 1 ELSE n_chars END)')} AS shown FROM marked),
-l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at,
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
     dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) AS tree, count(*) OVER (PARTITION BY lang) AS n FROM d),
 nodes AS (
-  SELECT tree, 0 AS level, at, n, leaf AS digest FROM l
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM l
   UNION ALL
-  SELECT tree, level + 1, at // 2, (n + 1) // 2, up FROM (
-    SELECT *, sha256(digest || coalesce(lead(digest) OVER (PARTITION BY tree ORDER BY at), '')) AS up FROM nodes WHERE n > 1
-  ) u WHERE at % 2 = 0
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, up FROM (
+    SELECT *, sha256(digest || coalesce(lead(digest) OVER (PARTITION BY tree ORDER BY pos), '')) AS up FROM nodes WHERE n > 1
+  ) u WHERE pos % 2 = 0
 ),
-tops AS (SELECT tree, digest AS subroot, tree - 1 AS at, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT tree, digest AS subroot, tree - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
 upper AS (
-  SELECT 0 AS level, at, n, subroot AS digest FROM tops
+  SELECT 0 AS level, pos, n, subroot AS digest FROM tops
   UNION ALL
-  SELECT level + 1, at // 2, (n + 1) // 2, up FROM (
-    SELECT *, sha256(digest || coalesce(lead(digest) OVER (ORDER BY at), '')) AS up FROM upper WHERE n > 1
-  ) u WHERE at % 2 = 0
+  SELECT level + 1, pos // 2, (n + 1) // 2, up FROM (
+    SELECT *, sha256(digest || coalesce(lead(digest) OVER (ORDER BY pos), '')) AS up FROM upper WHERE n > 1
+  ) u WHERE pos % 2 = 0
 ),
 steps AS (
-  SELECT l.tree, l.at, p.level, 0 AS part, (l.at >> p.level) % 2 AS bit, s.digest AS sibling
+  SELECT l.tree, l.pos, p.level, 0 AS part, (l.pos >> p.level) % 2 AS bit, s.digest AS sibling
   FROM l JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) p ON p.tree = l.tree
-  LEFT JOIN nodes s ON s.tree = l.tree AND s.level = p.level AND s.at = xor(l.at >> p.level, 1)
+  LEFT JOIN nodes s ON s.tree = l.tree AND s.level = p.level AND s.pos = xor(l.pos >> p.level, 1)
   UNION ALL
-  SELECT l.tree, l.at, p.level, 1, ((l.tree - 1) >> p.level) % 2, s.digest
+  SELECT l.tree, l.pos, p.level, 1, ((l.tree - 1) >> p.level) % 2, s.digest
   FROM l CROSS JOIN (SELECT DISTINCT level FROM upper WHERE n > 1) p
-  LEFT JOIN upper s ON s.level = p.level AND s.at = xor((l.tree - 1) >> p.level, 1)
+  LEFT JOIN upper s ON s.level = p.level AND s.pos = xor((l.tree - 1) >> p.level, 1)
 ),
 paths AS (
-  SELECT tree, at, coalesce(string_agg(sibling, '' ORDER BY part, level), '') AS siblings,
+  SELECT tree, pos, coalesce(string_agg(sibling, '' ORDER BY part, level), '') AS siblings,
     list(CASE WHEN sibling IS NULL THEN '-' WHEN bit = 1 THEN '<' || sibling ELSE '>' || sibling END ORDER BY part, level) AS path
   FROM steps GROUP BY ALL
 ),
 r AS (
   SELECT l.doc_id, l.leaf, t.subroot, (SELECT digest FROM upper WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
     list_reduce(list_prepend(l.shown, coalesce(path, [])), lambda a, s: CASE s[1] WHEN '-' THEN sha256(a) WHEN '<' THEN sha256(s[2:] || a) ELSE sha256(a || s[2:]) END) AS folded_root
-  FROM l JOIN tops t USING (tree) LEFT JOIN paths p ON p.tree = l.tree AND p.at = l.at
+  FROM l JOIN tops t USING (tree) LEFT JOIN paths p ON p.tree = l.tree AND p.pos = l.pos
 )
 SELECT *, folded_root = root AS verified FROM r
 """
@@ -179,6 +179,6 @@ WITH v AS (
 )
 SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
-QUALIFY row_number() OVER best <= 10
 WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 10
 """
