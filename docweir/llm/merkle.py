@@ -116,7 +116,8 @@ def manifest(docs: DataFrame, covered: tuple[str, ...] = COVERED, group: str = "
     # null sorts before every value, and values by their bytes
     tree = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), tree.alias("tree"), leaf_digest(*[F.col(c) for c in covered]).alias("digest"), *more)
-    leaves = stored(ranked(rows, "tree", ["doc_id", "digest"]))
+    # ranges are sampled before they are dealt; stored, the texts are read once
+    leaves = stored(ranked(stored(rows), "tree", ["doc_id", "digest"]))
     groups = forest(leaves, segment)
     # the group's key serves as the order of its root in the one tree above
     upper = ranked(groups.roots.select(F.lit("").alias("all"), F.col("tree").alias("member"), "digest"), "all", ["member"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweir.llm import bestfit, collisions, curriculum, diagonals, disclosure, dom_trees, exact_merge, hyperdim, merkle, negatives, relations, tournament
+from docweir.llm import bestfit, collisions, curriculum, diagonals, disclosure, dom_trees, exact_merge, hyperdim, merkle, negatives, relations, suffix_trees, tournament
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.jaccard_components(_table(spark, sf_dir, "documents")).drop("row", "component")
 
 
+def op11_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
     shown = merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), tampered, F.col("text"))
@@ -72,7 +76,7 @@ def op13_shared_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_dom_trees, op2_exact_merge, op3_tournament_packing, op4_curriculum, op5_disclosure, op6_collision_search, op7_bestfit_matrices,
-    op8_hyperdim, op9_diagonals, op10_set_relations, op12_merkle_descent, op13_shared_lists,
+    op8_hyperdim, op9_diagonals, op10_set_relations, op11_suffix_trees, op12_merkle_descent, op13_shared_lists,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
@@ -182,3 +186,23 @@ FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 30 * positive_sco
 WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER best <= 10
 """
+
+ORACLES["op11_suffix_trees"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS ord, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), windows AS (
+  SELECT rid, ord, first, md5(array_to_string(words[first:first + 49], ' ')) AS body
+  FROM (SELECT *, unnest(range(1, len(words) - 48)) AS first FROM d WHERE len(words) >= 50) u
+), repeated AS (
+  SELECT rid, first FROM windows QUALIFY min(ord) OVER (PARTITION BY body) < ord
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(first, first + 50)) AS place FROM repeated
+), placed AS (
+  SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d
+), kept AS (
+  SELECT p.rid, string_agg(word, ' ' ORDER BY place) AS body, count(*) AS n FROM placed p ANTI JOIN gone g ON g.rid = p.rid AND g.place = p.place GROUP BY p.rid
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
