@@ -200,7 +200,7 @@ _LINKS = f"""ilinks AS (SELECT file_id, pos, regexp_extract(line, '{_LINK}', 1)
               OVER (PARTITION BY file_id ORDER BY pos) AS section FROM ilines) s WHERE regexp_matches(line, '{_LINK}'))"""
 
 
-@query("llms_links", f"{ctes('index_files')}, {_INDEX_LINES}, {_LINKS} SELECT * FROM ilinks WHERE url NOT LIKE '%/./%' AND url NOT LIKE '%..%'")
+@query("llms_links", f"{ctes('index_files')}, {_INDEX_LINES}, {_LINKS} SELECT * FROM ilinks")
 def llms_links(spark, sf):
     return site_index.links(derived(spark, sf, "index_files"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweir import params
@@ -20,30 +20,36 @@ def _lines(body: Column) -> Column:
     return F.transform(F.split(body, "\r\n|\r|\n"), strip)
 
 
+#: The line end in front of a level-two heading.
+_BEFORE_HEADING = r"(?:\r\n|\r|\n)(?=[^\S\r\n]*## [^\S\r\n]*\S)"
+
+
 def links(files: DataFrame) -> DataFrame:
     """Link lines of each file ``(file_id, url, body)`` with their section.
 
-    The section of a line is the last heading above it; the window runs over the
-    lines of one file.
+    A body is cut at its headings, so that each part knows its section, and only link lines
+    leave their row: nothing is shuffled or sorted.
     """
-    lines = files.select("file_id", F.col("url").alias("file_url"), F.posexplode(_lines(F.col("body"))).alias("pos", "line"))
-    heading = F.when(F.startswith("line", F.lit("## ")), strip(F.substring("line", 4, 1 << 30)))
-    upto = Window.partitionBy("file_id").orderBy("pos")
-    href = F.regexp_extract("line", LINK, 2)
-    return (
-        lines.where(F.startswith("line", F.lit("## ")) | F.col("line").rlike(LINK))
-        .withColumn("section", F.last(heading, ignorenulls=True).over(upto))
-        .where(F.col("line").rlike(LINK))
-        .select(
-            "file_id",
-            "pos",
-            F.regexp_extract("line", LINK, 1).alias("title"),
-            F.when(urls.is_absolute(href) | (F.col("file_url") == ""), href)
-            .otherwise(urls.resolve(F.col("file_url"), href)).alias("url"),
-            F.nullif(F.regexp_extract("line", LINK, 3), F.lit("")).alias("description"),
-            "section",
-            F.coalesce(F.lower("section") == "optional", F.lit(False)).alias("optional"),
-        )
+    parts = files.select("file_id", F.col("url").alias("file_url"), F.transform(F.split("body", _BEFORE_HEADING), _lines).alias("_parts"))
+    cut = parts.select("file_id", "file_url", F.transform("_parts", F.size).alias("_sizes"), F.posexplode("_parts").alias("_nth", "_part"))
+    above = F.aggregate(F.slice("_sizes", F.lit(1), F.col("_nth")), F.lit(0), lambda n, size: n + size)
+    first = F.get("_part", F.lit(0))
+    hits = F.filter(F.transform("_part", lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: x["line"].rlike(LINK))
+    rows = cut.select(
+        "file_id", "file_url", above.alias("_above"),
+        F.when(F.startswith(first, F.lit("## ")), strip(F.substring(first, 4, 1 << 30))).alias("section"),
+        F.explode(hits).alias("_hit"),
+    )
+    line = F.col("_hit.line")
+    href = F.regexp_extract(line, LINK, 2)
+    return rows.select(
+        "file_id",
+        (F.col("_above") + F.col("_hit.i")).alias("pos"),
+        F.regexp_extract(line, LINK, 1).alias("title"),
+        F.when(urls.is_absolute(href) | (F.col("file_url") == ""), href).otherwise(urls.resolve(F.col("file_url"), href)).alias("url"),
+        F.nullif(F.regexp_extract(line, LINK, 3), F.lit("")).alias("description"),
+        "section",
+        F.coalesce(F.lower("section") == "optional", F.lit(False)).alias("optional"),
     )
 
 
