@@ -1,22 +1,26 @@
 """Personal data by pattern, and terms that give it away by corpus co-occurrence.
 
-Patterns find the protected entities. A term's disclosure strength is the share of its
-occurrences in the whole corpus that stand within CONTEXT_WORDS of an entity, those inside
-entities left out; a term at or above ``generalise`` is replaced by its kind, at or above
-``remove`` it is taken out, however rare it is. Counting and
-finding read all texts; between them only a filter of fixed size goes to the tasks,
-and exact joins on the term decide.
+Patterns find the protected entities. A term discloses one as far as seeing the term makes an
+entity within CONTEXT_WORDS likely: its strength is the lower confidence bound (Wilson, CONFIDENCE
+standard deviations) of the share of its occurrences in the whole corpus that stand near an
+entity, those inside entities left out, and its information is the logarithm of that bound over the
+share of all terms that stand near one (pointwise mutual information, in bits). A term of at least
+MIN_BITS is replaced by its kind from strength ``generalise`` on and taken out from ``remove`` on. A
+term seen once or twice beside an entity proves nothing at this confidence; three of three pass
+0.5. Counting and finding read all texts; between them only a filter of fixed size goes
+to the tasks, and exact joins on the term decide.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweir.llm.common import key_filter, maybe_in, signed, slices, span_hashes, spans_of, stored
@@ -27,6 +31,8 @@ CONTEXT_WORDS = 3
 CONTEXT_CHARS = 400
 GENERALISE = 0.5
 REMOVE = 0.9
+CONFIDENCE = 1.645
+MIN_BITS = 1.0
 HELD_TERMS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -162,21 +168,40 @@ def detected(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return stored(_keyed(docs, text, doc_id).mapInArrow(_detect, BASE_SCHEMA))
 
 
-def risky_terms(docs: DataFrame, found: DataFrame, text: str = "text", generalise: float = GENERALISE) -> DataFrame:
-    """Terms whose disclosure strength reaches ``generalise``: term, near, total and strength."""
+def lower_bound(near: Column, total: Column) -> Column:
+    """Wilson's lower bound of a share of ``near`` in ``total`` cases."""
+    z2, share = CONFIDENCE**2, near / total
+    spread = F.sqrt(share * (1 - share) / total + z2 / (4 * total * total))
+    return (share + z2 / (2 * total) - CONFIDENCE * spread) / (1 + z2 / total)
+
+
+def least_near(strength: float) -> int:
+    """Occurrences near an entity below which no share can reach that strength: the bound of n in n is n / (n + z^2)."""
+    return 1 if strength <= 0 else (1 << 62) if strength >= 1 else max(1, math.ceil(strength * CONFIDENCE**2 / (1 - strength) - 1e-9))
+
+
+def risky_terms(docs: DataFrame, found: DataFrame, text: str = "text", generalise: float = GENERALISE, min_bits: float = MIN_BITS) -> DataFrame:
+    """Terms whose disclosure strength reaches ``generalise``: term, near, total, strength and bits.
+
+    Terms that stand near an entity too seldom to reach it are left out of the count of all texts.
+    """
     near = found.select(F.explode("context").alias("term")).groupBy("term").agg(F.count("*").alias("near"))
-    near = stored(near)
+    near = stored(near.filter(F.col("near") >= least_near(generalise)))
     bits = key_filter(near, "term")
 
     def rows(known: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(signed(known)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one sum per term and task, written out early where a task meets very many terms
-        known, sums = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        # one sum per term and task, written out early where a task meets very many terms; the sum over all terms has no term
+        known, sums, n_all = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 0
         for part in (p for batch in batches for p in slices(batch)):
-            texts = (v.as_py() or "" for v in part.column(0))
-            kept = [h[maybe_in(bits, h)] for h in (outer_terms(text, united(base_spans(text)))[2] for text in texts)]
+            kept = []
+            for value in part.column(0):
+                body = value.as_py() or ""
+                hashes = outer_terms(body, united(base_spans(body)))[2]
+                n_all += len(hashes)
+                kept.append(hashes[maybe_in(bits, hashes)])
             different, n = np.unique(np.concatenate(kept), return_counts=True)
             merged, at = np.unique(np.concatenate((known, different)), return_inverse=True)
             sums = np.bincount(at, weights=np.concatenate((sums, n)), minlength=len(merged)).astype(np.int64)
@@ -185,9 +210,15 @@ def risky_terms(docs: DataFrame, found: DataFrame, text: str = "text", generalis
                 yield rows(known, sums)
                 known, sums = known[:0], sums[:0]
         yield rows(known, sums)
-
-    totals = docs.select(F.col(text)).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("total"))
-    return near.join(totals, "term").withColumn("strength", F.col("near") / F.col("total")).filter(F.col("strength") >= generalise)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n_all], pa.int64())], names=["term", "n"])
+
+    totals = stored(docs.select(F.col(text)).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("total")))
+    everything = totals.filter("term IS NULL").first()
+    beside = found.agg(F.sum(F.size("context"))).first()[0] or 0
+    base = beside / everything["total"] if everything and everything["total"] else 1.0
+    told = near.join(totals, "term").withColumn("strength", lower_bound(F.col("near"), F.col("total")))
+    told = told.withColumn("bits", F.log2(F.col("strength") / F.lit(base or 1.0)))
+    return told.filter((F.col("strength") >= generalise) & (F.col("bits") >= min_bits))
 
 
 def cue_spans(docs: DataFrame, risky: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

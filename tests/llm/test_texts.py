@@ -38,8 +38,8 @@ def test_long_runs_stay_linear():
 
 
 def test_telling_terms_are_found_and_cleaned(spark):
-    rows = [(i, f"write to zibeline box{i} m{i}@mail.example.com today") for i in range(8)] + [(100 + i, "write to me today") for i in range(30)]
-    rows += [(200, "the zibeline again"), (201, None)]
+    rows = [(i, f"write to zibeline box{i} m{i}@mail.example.com today") for i in range(30)] + [(100 + i, "write to me today") for i in range(90)]
+    rows += [(200, "the zibeline again"), (202, "a zibeline"), (203, "some zibeline"), (201, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in disclosure.find(docs).collect()}
     assert got[200] == "cue:4:12" and "cue:9:17" in got[0] and "cue" not in got[105] and got[201] == ""
