@@ -252,11 +252,12 @@ def _lengthened(contexts: DataFrame, window: int) -> DataFrame:
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, group_contexts: int = GROUP_CONTEXTS, tree_words: int = TREE_WORDS) -> DataFrame:
     """(ord, text_key, spans): stretches of words whose windows also start in a document of smaller id."""
     sampled = spots(keyed, window, gram)
-    shared = sampled.groupBy("anchor").agg(F.min("ord").alias("least"), F.max("ord").alias("largest")).filter("least < largest").select("anchor")
+    # stored, so that joins on a frequent anchor deal both sides and may split it
+    shared = stored(sampled.groupBy("anchor").agg(F.min("ord").alias("least"), F.max("ord").alias("largest")).filter("least < largest").select("anchor"))
     members = stored(sampled.join(shared, "anchor", "left_semi"))
     place = F.min(F.struct("ord", "text_key", "lo", "hi")).alias("place")
     contexts = stored(members.groupBy("anchor", "ctx").agg(place).select("anchor", "ctx", "place.*"))
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("size")).filter("size > 1")
+    several = stored(contexts.groupBy("anchor").agg(F.count("*").alias("size")).filter("size > 1"))
     bodies = stored(_with_words(keyed, contexts.join(several, "anchor"), window))
     small = _trees(bodies.filter(F.col("size") <= group_contexts), window, tree_words)
     large = _lengthened(bodies.filter(F.col("size") > group_contexts), window)
