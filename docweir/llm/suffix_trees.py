@@ -261,7 +261,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, gro
     bodies = stored(_with_words(keyed, contexts.join(several, "anchor"), window))
     small = _trees(bodies.filter(F.col("size") <= group_contexts), window, tree_words)
     large = _lengthened(bodies.filter(F.col("size") > group_contexts), window)
-    nodes = contexts.select("anchor", "ctx", F.col("ord").alias("least")).join(small.unionByName(large), ["anchor", "ctx"], "left")
+    nodes = stored(contexts.select("anchor", "ctx", F.col("ord").alias("least")).join(small.unionByName(large), ["anchor", "ctx"], "left"))
 
     def span(start: Column, end: Column) -> Column:
         return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
