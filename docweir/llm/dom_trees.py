@@ -1,9 +1,11 @@
 """Main text of web pages by gradient-boosted trees over DOM-node features.
 
-A page becomes a tree of block elements, each with the statistics of its subtree, its
-place among its siblings and the tokens of its attributes. Trees boosted on a bounded
-sample of pages give every node the chance that main text lies in it; the most likely
-labelling in which no text is kept below a node that is dropped decides.
+A page becomes a tree of block elements and of the runs of text that stand between them, each
+with the statistics of its subtree, its place among its siblings and the tokens of its
+attributes. Trees boosted on a bounded sample of pages give every node the chance that main text
+lies in it; the most likely labelling in which no text is kept below a node that is dropped
+decides. Where that drops a page that holds prose, the odds of all nodes are raised together until
+something stays.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_PAGES = 240
-TREES = 12
-DEPTH = 4
+TREES = 20
+DEPTH = 5
 PAGE_BATCH = 128
 
 # fixed values: element names of HTML
@@ -49,12 +52,27 @@ AROUND = frozenset(
 )
 WITHIN = frozenset("article content post entry body story main text page blog prose document".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>)", re.DOTALL
+# fixed values: words that speak of the site or to the reader
+BOILER = frozenset(
+    "copyright rights reserved inc cookie cookies privacy terms policy imprint contact home about login subscribe newsletter share tweet "
+    "facebook twitter email follow print comments reply advertisement sponsored".split()
 )
+#: Elements whose text is one leaf: no block can stand in them.
+LEAF = HEADINGS | {"p", "pre"}
+#: Open elements beyond which a page nests no deeper, as in browsers.
+MAX_DEPTH = 512
+#: Characters of a tag that are read with regard to quotes; in a longer one the first > ends it.
+QUOTED_CHARS = 4096
+TEXT = "#text"
+
+_OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
 _ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STOP = re.compile(r"[.!?;:]")
+_WORD = re.compile(r"[A-Za-z]+")
+#: Longer blocks are prose, whatever they speak of.
+BOILER_CHARS = 200
 
 
 @dataclass(slots=True)
@@ -71,6 +89,7 @@ class Node:
     words: int = 0
     blocks: int = 0
     fields: int = 0
+    boiler: int = 0
     end: int = 0
 
 
@@ -82,14 +101,15 @@ class Page:
 
 
 def read(source: str | None) -> Page:
-    """Block elements in page order, parents first, and the text blocks that stand directly in them.
+    """Block elements and text runs in page order, parents first, and the text blocks with their nodes.
 
-    Unclosed and misnested tags are taken as browsers do in the common cases: a block
+    The time taken grows with the page's length, whatever its markup. Unclosed and misnested tags are taken as browsers do in the common cases: a block
     ends an open paragraph, rows end rows, an end tag without its start is ignored.
     """
     source = source or ""
     nodes, blocks = [Node("#page", -1, 0, 0)], []
     stack: list[str] = ["#page"]
+    open_: Counter[str] = Counter()
     owners = [0]  # per stack entry the block node it belongs to
     held: list[str] = []
     linked = seen = 0
@@ -99,13 +119,19 @@ def read(source: str | None) -> Page:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                node = nodes[owners[-1]]
+                own = owners[-1]
+                if nodes[own].tag not in LEAF:
+                    nodes[own].children.append(len(nodes))
+                    nodes.append(Node(TEXT, own, nodes[own].depth + 1, seen, end=seen + len(text)))
+                    own = len(nodes) - 1
+                node = nodes[own]
                 node.chars += len(text)
                 node.linked += min(linked, len(text))
                 node.stops += len(_STOP.findall(text))
                 node.words += text.count(" ") + 1
                 node.blocks += 1
-                blocks.append((owners[-1], text))
+                node.boiler += sum(w.lower() in BOILER for w in _WORD.findall(text)) if len(text) < BOILER_CHARS else 0
+                blocks.append((own, text))
                 seen += len(text)
             held.clear()
         linked = 0
@@ -115,10 +141,13 @@ def read(source: str | None) -> Page:
             flush()
         for owner in set(owners[to:]) - {owners[to - 1]}:
             nodes[owner].end = seen
+        open_.subtract(stack[to:])
         del stack[to:], owners[to:]
 
     def within(names: tuple) -> int:
         """Index of the nearest open element of these names, not beyond a scope; 0 if none."""
+        if not any(open_[n] for n in names):
+            return 0
         for at in range(len(stack) - 1, 0, -1):
             if stack[at] in names:
                 return at
@@ -128,7 +157,22 @@ def read(source: str | None) -> Page:
 
     at = 0
     while at < len(source):
-        m = _TAG.search(source, at)
+        m = _OPENS.search(source, at)
+        end = len(source)
+        if m and source.startswith("<!--", m.start()):
+            end = source.find("-->", m.end()) + 3
+            end = end if end > 2 else len(source)
+        elif m:
+            end = source.find(">", m.end()) + 1
+            if not end:
+                # no tag ends any more: the rest is text, up to a comment
+                comment = source.find("<!--", at)
+                m, rest = None, source[at : comment if comment >= 0 else len(source)]
+                source = source[:at] + rest
+                end = len(source)
+            elif '"' in (inner := source[m.end() : end]) or "'" in inner:
+                quoted = _REST.match(source, m.end(), m.end() + QUOTED_CHARS)
+                end = quoted.end() if quoted else end
         text = source[at : m.start() if m else len(source)]
         if text:
             held.append(text)
@@ -136,12 +180,12 @@ def read(source: str | None) -> Page:
                 linked += len(text)
         if not m:
             break
-        at = m.end()
+        inner, at = source[m.end() : end], end
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in stack:
+            if open_[tag]:
                 pop(len(stack) - 1 - stack[::-1].index(tag))
             continue
         if tag in RAW:
@@ -162,28 +206,33 @@ def read(source: str | None) -> Page:
             elif tag not in ("td", "th") and (to := within(("p", *HEADINGS) if tag in HEADINGS else ("p",))):
                 pop(to)
             flush()
-            values = "".join(" " + (a or b or c) for a, b, c in _ATTRIBUTE.findall(m[3]))
+            if len(stack) >= MAX_DEPTH:
+                continue
+            values = "".join(" " + (a or b or c) for a, b, c in _ATTRIBUTE.findall(inner))
             parent = owners[-1]
             tokens = frozenset(t.lower() for t in _TOKEN.findall(values)) if values else frozenset()
             nodes[parent].children.append(len(nodes))
             owners.append(len(nodes))
             nodes.append(Node(tag, parent, nodes[parent].depth + 1, seen, tokens, fields=int(tag in ("button", "select"))))
+        elif len(stack) >= MAX_DEPTH:
+            continue
         else:
             owners.append(owners[-1])
         stack.append(tag)
+        open_[tag] += 1
     flush()
     pop(1)
     nodes[0].end = seen
     for node in reversed(nodes[1:]):
         up = nodes[node.parent]
-        for name in ("chars", "linked", "stops", "words", "blocks", "fields"):
+        for name in ("chars", "linked", "stops", "words", "blocks", "fields", "boiler"):
             setattr(up, name, getattr(up, name) + getattr(node, name))
     return Page(nodes, blocks)
 
 
 FEATURES = (
     "depth", "log_chars", "log_words", "link_share", "stops_per_word", "chars_per_block", "log_blocks", "log_fields", "page_share", "starts", "ends",
-    "siblings", "place", "parent_share", "heading", "paragraph", "item", "furniture", "article", "around", "within", "above_around", "above_within", "near_text",
+    "siblings", "place", "parent_share", "heading", "paragraph", "item", "furniture", "article", "around", "within", "above_around", "above_within", "near_text", "run", "boiler_share",
 )
 
 
@@ -192,9 +241,13 @@ def features(page: Page) -> np.ndarray:
     nodes, total = page.nodes, max(1, page.nodes[0].chars)
     rows, above = [], [(0, 0)] * len(nodes)
     place = [(1, 0.0)] * len(nodes)
-    for node in nodes:
+    # per node the longest child, and the longest of the others
+    longest = [(0, 0, -1)] * len(nodes)
+    for at, node in enumerate(nodes):
         for i, child in enumerate(node.children):
             place[child] = (len(node.children), i / max(1, len(node.children) - 1))
+            chars, (first, second, which) = nodes[child].chars, longest[at]
+            longest[at] = (chars, first, child) if chars > first else (first, max(second, chars), which)
     for i, n in enumerate(nodes):
         around, within = len(n.tokens & AROUND), len(n.tokens & WITHIN)
         up = above[n.parent] if i else (0, 0)
@@ -202,33 +255,45 @@ def features(page: Page) -> np.ndarray:
         above[i] = (up[0] + furniture + around, up[1] + article + within)
         parent = nodes[n.parent] if i else n
         siblings, where = place[i]
-        near = max((nodes[c].chars for c in parent.children if c != i), default=0)
+        first, second, which = longest[n.parent] if i else (0, 0, -1)
+        near = second if which == i else first
         rows.append(
             (
                 n.depth, math.log1p(n.chars), math.log1p(n.words), n.linked / max(1, n.chars), n.stops / max(1, n.words), n.chars / max(1, n.blocks),
                 math.log1p(n.blocks), math.log1p(n.fields), n.chars / total, n.start / total, n.end / total, min(siblings, 50), where,
-                n.chars / max(1, parent.chars), int(n.tag in HEADINGS), int(n.tag in ("p", "blockquote", "pre")), int(n.tag in ("li", "td", "dd", "dt")),
-                furniture, article, around, within, up[0], up[1], math.log1p(near),
+                n.chars / max(1, parent.chars), 7 - int(n.tag[1]) if n.tag in HEADINGS else 0, int(n.tag in ("p", "blockquote", "pre")), int(n.tag in ("li", "td", "dd", "dt")),
+                furniture, article, around, within, up[0], up[1], math.log1p(near), int(n.tag == TEXT), n.boiler / max(1, n.words),
             )
         )
     return np.array(rows, dtype=np.float64)
 
 
 def decode(page: Page, chance: np.ndarray) -> list[str]:
-    """The text blocks under the most likely labelling in which a kept node's ancestors are all kept."""
+    """The text blocks under the most likely labelling in which a kept node's ancestors are all kept.
+
+    If that keeps nothing though text stands outside everything that is named as
+    furniture, a bias is added to all odds, doubled until some of that text stays.
+    """
     nodes = page.nodes
     chance = np.clip(chance, 1e-4, 1 - 1e-4)
-    keep, drop = np.log(chance).tolist(), np.log1p(-chance).tolist()
-    keep[0], drop[0] = 0.0, -1e9
-    # children stand behind their parents
-    for i in range(len(nodes) - 1, 0, -1):
-        up = nodes[i].parent
-        keep[up] += max(keep[i], drop[i])
-        drop[up] += drop[i]
-    kept = [True] * len(nodes)
-    for i in range(1, len(nodes)):
-        kept[i] = kept[nodes[i].parent] and keep[i] > drop[i]
-    return [text for node, text in page.blocks if kept[node]]
+    odds = np.log(chance) - np.log1p(-chance)
+    around = [False] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        around[i] = around[n.parent] or n.tag in FURNITURE or bool(n.tokens & AROUND and not n.tokens & WITHIN)
+    prose = {node for node, _ in page.blocks if not around[node] and 2 * nodes[node].linked < nodes[node].chars}
+    bias = 0.0
+    while True:
+        # what a subtree gains if it is kept; children stand behind their parents
+        gain = (odds + bias).tolist()
+        for i in range(len(nodes) - 1, 0, -1):
+            gain[nodes[i].parent] += max(gain[i], 0.0)
+        kept = [True] * len(nodes)
+        for i in range(1, len(nodes)):
+            kept[i] = kept[nodes[i].parent] and gain[i] > 0
+        if bias > 32 or not prose or any(kept[node] for node in prose):
+            break
+        bias = 2 * bias or 0.5
+    return [text for node, text in page.blocks if kept[node] and (not bias or node in prose)]
 
 
 def boosted(model: GBTClassificationModel) -> list[tuple[float, list]]:
@@ -286,8 +351,16 @@ def marked(page: Page) -> np.ndarray | None:
     return _labels(page, {node for node, _ in page.blocks if inside[node] and not out[node]})
 
 
+#: A private character that labels main text in practice layouts.
+MARK = "\ue000"
+
+
 def practice(blocks: list[str], draw: random.Random) -> str:
-    """A page that sets text blocks in one of many layouts; main text stands in elements marked data-main."""
+    """A page that sets text blocks in one of many layouts; every block of main text begins with MARK.
+
+    A third of the layouts are bare: plain elements without names, or text straight in the body.
+    """
+    bare = draw.random() < 0.35
     words = " ".join(blocks).split() or ["text"]
 
     def some(low: int, high: int) -> str:
@@ -295,12 +368,14 @@ def practice(blocks: list[str], draw: random.Random) -> str:
         return html.escape(" ".join(words[at : at + draw.randint(low, high)]) or words[0])
 
     def named(tag: str, names: list[str], body: str) -> str:
-        form = draw.random()
+        form = 1.0 if bare else draw.random()
         name = draw.choice(names) + draw.choice(["", "-box", "_1", "-wrap", " clearfix"])
         attribute = f' class="{name}"' if form < 0.55 else f' id="{name}"' if form < 0.8 else ""
         return f"<{tag}{attribute}>{body}</{tag}>"
 
     def links(n: int) -> str:
+        if bare and draw.random() < 0.6:
+            return draw.choice([" | ", " ", " &middot; "]).join(f'<a href="/y">{some(1, 2)}</a>' for _ in range(n))
         rows = "".join(f'<li><a href="/x">{some(1, 3)}</a></li>' for _ in range(n))
         return f"<ul>{rows}</ul>" if draw.random() < 0.7 else "".join(f'<a href="/y">{some(1, 3)}</a> ' for _ in range(n))
 
@@ -308,32 +383,45 @@ def practice(blocks: list[str], draw: random.Random) -> str:
         return "".join(f"<p>{some(4, 25)}</p>" for _ in range(n)) if draw.random() < 0.6 else some(3, 25)
 
     def side(semantic: str, names: list[str], body: str) -> str:
+        if bare:
+            return draw.choice([f"<div>{body}</div>", f"<p>{body}</p>" if "<" not in body and draw.random() < 0.3 else f"<div>{body}</div>", body + draw.choice(["<hr>", "<br>", ""]), f"<table><tr><td>{body}</td></tr></table>"])
         return named(draw.choice([semantic, "div", "section"]), names, body) if draw.random() < 0.85 else f"<{semantic}>{body}</{semantic}>"
 
     parts = {
         "menu": lambda: side("nav", ["menu", "nav", "navbar", "navigation"], links(draw.randint(3, 9))),
-        "header": lambda: side("header", ["header", "masthead", "banner", "top-header"], some(1, 8) + (links(3) if draw.random() < 0.4 else "")),
-        "footer": lambda: side("footer", ["footer", "foot", "copyright", "legal"], "&copy; " + some(3, 15) + (links(3) if draw.random() < 0.4 else "")),
+        "header": lambda: side("header", ["header", "masthead", "banner", "top-header"], some(1, 3 if bare else 8) + (links(3) if draw.random() < 0.4 else "")),
+        "footer": lambda: side("footer", ["footer", "foot", "copyright", "legal"], draw.choice(["&copy; ", "Copyright 2024 ", "All rights reserved. ", "Contact: "]) + some(1, 4 if bare else 12) + (links(3) if draw.random() < 0.4 else "")),
         "side": lambda: side("aside", ["sidebar", "side", "widget", "related"], f"<h3>{some(1, 4)}</h3>" + (links(4) if draw.random() < 0.5 else prose(draw.randint(1, 3)))),
         "ad": lambda: side("div", ["ad", "ads", "advert", "sponsored", "promo"], prose(1)),
         "notice": lambda: side("div", ["cookie", "notice", "consent", "alert", "newsletter"], prose(1) + "<button>OK</button>" * draw.randint(0, 1)),
         "form": lambda: f"<form>{some(1, 6)}<input name=q><button>{some(1, 2)}</button></form>",
         "comments": lambda: side("section", ["comments", "comment", "replies", "respond"], f"<h3>{some(1, 3)}</h3>" + "".join(named(draw.choice(["div", "li", "article"]), ["comment", "reply"], f"<p>{some(3, 40)}</p>") for _ in range(draw.randint(1, 5)))),
-        "share": lambda: side("div", ["share", "social", "tags", "breadcrumb", "related"], links(draw.randint(2, 5))),
+        "share": lambda: side("div", ["share", "social", "tags", "breadcrumb", "related"], links(draw.randint(2, 5)) if draw.random() < 0.6 else draw.choice(["Share this ", "Follow us ", "Share "]) + draw.choice(["Tweet", '<a href="/t">Tweet</a>', "on Facebook"])),
     }
     kinds = list(parts)
     body = []
+    titled = draw.random() < (0.65 if bare else 0.85)
+    if titled and draw.random() < 0.6:
+        blocks = [" ".join(blocks[0].split()[: draw.randint(1, 6)]), *blocks[1:]]
     for i, text in enumerate(blocks):
-        tag = "h1" if not i else draw.choice(["p"] * 14 + ["h2", "blockquote", "li", "pre", "div"])
-        safe = html.escape(text)
+        tag = "h1" if titled and not i else draw.choice(["p"] * 14 + ["h2", "blockquote", "li", "pre", "div"])
+        safe = MARK + html.escape(text)
         if tag == "p" and draw.random() < 0.15:
-            safe = f'<a href="/z">{safe[:30]}</a>{safe[30:]}' if "&" not in safe[:40] else f"<b>{safe}</b>"
-        block = f"<{tag} data-main>{safe}</{tag}>"
+            safe = f'<a href="/z">{safe[:31]}</a>{safe[31:]}' if "&" not in safe[:41] else f"<b>{safe}</b>"
+        block = f"<{tag}>{safe}</{tag}>"
         body.append(f"<ul>{block}</ul>" if tag == "li" else block)
         if draw.random() < 0.06:
             body.append(parts[draw.choice(["ad", "share", "notice", "form", "side"])]())
     if draw.random() < 0.3:
         body.append(parts[draw.choice(["comments", "share"])]())
+    if bare and draw.random() < 0.3:
+        # text straight in its container, lines broken by hand
+        body = [draw.choice(["<br><br>", "<hr>"]).join(MARK + html.escape(text) for text in blocks)]
+    if bare:
+        story = "".join(body)
+        story = draw.choice([story, f"<div>{story}</div>", f"<table><tr><td>{links(3)}</td><td>{story}</td></tr></table>", f"<div><div>{story}</div></div>"])
+        before, after = ("".join(parts[draw.choice(["menu", "menu", "header", "share", "footer"])]() for _ in range(draw.randint(0, 2))) for _ in range(2))
+        return f"<html><body>{before}{story}{after}</body></html>"
     outer = draw.choice(["article", "main", "div", "div", "section", "td"])
     story = named(outer, ["article", "content", "post", "entry", "story", "main", "box", "c12"], "".join(body))
     for _ in range(draw.randint(0, 2)):
@@ -343,11 +431,8 @@ def practice(blocks: list[str], draw: random.Random) -> str:
     return f"<html><body>{before}{story}{after}</body></html>"
 
 
-_MAIN = re.compile(r"<(\w+) data-main>")
-
-
 def examples(source: str | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Node features and labels from one page: as it is, where it marks its article, and its text in two practice layouts."""
+    """Node features and labels from one page: as it is, where it marks its article, and its text in three practice layouts."""
     page, draw = read(source), random.Random(seed)
     xs, ys = [], []
     labels = marked(page)
@@ -355,10 +440,9 @@ def examples(source: str | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
         xs.append(features(page))
         ys.append(labels)
     texts = [text for node, text in page.blocks if labels is None or labels[node]][:40]
-    for _ in range(2 if texts else 0):
-        made = practice(texts[: draw.randint(1, len(texts))], draw)
-        twin = read(_MAIN.sub(r'<\1 id="qqmainqq">', made))
-        main = {node for node, _ in twin.blocks if "qqmainqq" in twin.nodes[node].tokens}
+    for _ in range(3 if texts else 0):
+        twin = read(practice(texts[: draw.randint(1, len(texts))], draw))
+        main = {node for node, text in twin.blocks if MARK in text}
         xs.append(features(twin))
         ys.append(_labels(twin, main))
     return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros((0, len(FEATURES))), np.zeros(0))
