@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import sys
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -12,6 +16,34 @@ EOS = 1
 CACHE_WORDS = 600_000
 #: White space beside white space, or other breaks than a space and a line feed alone, is left to the tokenizer.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]")
+#: Pieces of characters below this one have the same letters and digits in every Unicode version.
+_LATER = "\u0250"
+# fixed value: how byte-level vocabularies cut text before the merges
+_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def quick_encoder(tokenizer) -> Callable[[str], list[int]] | None:
+    """An encoder of short pieces several times faster than the tokenizer's own, for plain byte-level BPE.
+
+    There, where merges are numbered as their results are, the pair to merge next is the one
+    whose result has the smallest id. None for any other kind of tokenizer.
+    """
+    made = json.loads(tokenizer.to_str())
+    model, before = made["model"], made["pre_tokenizer"] or {}
+    plain = not made["normalizer"] and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if model["type"] != "BPE" or not plain or before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+        return None
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+        return None
+    import tiktoken
+
+    # printable bytes stand for themselves, the others for the characters from 256 on, in order
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if all(c in byte_of for c in t)}
+    return tiktoken.Encoding("pieces", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class WordIds(dict):
@@ -34,9 +66,14 @@ class WordIds(dict):
         self.merge = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        self.quick = quick_encoder(self.tokenizer) if sys.byteorder == "little" else None
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self._encoded(piece)
+        if self.quick and len(piece) < 256 and max(piece, default="") < _LATER:
+            ids = array(self.code, self.quick(piece)).tobytes()
+        else:
+            ids = self._encoded(piece)
         if len(self) < CACHE_WORDS and len(piece) < 64:
             self[piece] = ids
         return ids
