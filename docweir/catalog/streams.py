@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweir.catalog import dialogue  # noqa: F401  (registers the batch twin)
-from docweir.catalog.inputs import table
+from docweir.catalog.inputs import derived, table
 from docweir.catalog.registry import ORACLES, query
 from docweir.catalog.text import _SPLIT
 from docweir.session import shared_folder
-from docweir.streaming import ingest, jobs
+from docweir.streaming import ingest, jobs, tokens
 
 
 def _stream(spark, sf, name):
@@ -38,7 +39,7 @@ def stream_job_state(spark, sf):
         df.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
     run = (
-        jobs.job_state_stream(polls, forget=False)
+        jobs.job_state_stream(polls)
         .writeStream.outputMode("update")
         .option("checkpointLocation", f"{base}/checkpoint")
         .foreachBatch(write)
@@ -67,3 +68,57 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{base}/out/postings").groupBy("document_id").agg(
         F.count_distinct("chunk_id").alias("chunks"), F.sum("tf").alias("tokens")
     )
+
+
+def _collected(rows, base):
+    """Runs a stream to the end of its input; its output by micro-batch, so that a replay writes over itself."""
+    run = (
+        rows.writeStream.outputMode("append")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out/batch={i}"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return rows.sparkSession.read.parquet(f"{base}/out").drop("batch")
+
+
+@query("stream_token_assembly", ORACLES["token_assembly"])
+def stream_token_assembly(spark, sf):
+    """Answers put together from events that arrive in five shuffled micro-batches."""
+    base = f"{shared_folder(spark)}/answers-{uuid.uuid4()}"
+    counted = F.sum(F.when(F.col("type") == "token", 1).otherwise(0)).over(Window.partitionBy("conv_id", "turn"))
+    events = derived(spark, sf, "token_events").withColumn("_n", counted)
+    closing = F.col("type").isin("done", "error")
+    events = events.withColumn("seq", F.when(closing, F.col("_n")).otherwise(F.col("seq"))).drop("_n")
+    events = events.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") % 60))
+    events.repartition(5, F.xxhash64("conv_id", "turn", "seq", "type")).write.parquet(f"{base}/in")
+    # the clock moves on once everything has arrived, which ends the stopped answers
+    tick = events.limit(1).withColumns({"type": F.lit("tick"), "at": F.timestamp_seconds(F.lit(1_700_100_000))})
+    tick.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return _collected(tokens.assemble_stream(stream, ["conv_id", "turn"]), base)
+
+
+@query(
+    "stream_record_expiry",
+    """WITH u AS (SELECT user_id, ts::TIMESTAMP AS ts, CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'in_progress' END AS status FROM events),
+    w AS (SELECT *, ts + to_seconds(CASE WHEN status = 'completed' THEN 3600 ELSE 600 END) AS forgotten_at,
+        coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, status), (SELECT max(ts) FROM u)) AS upto FROM u)
+    SELECT user_id AS job_id, status, epoch_us(forgotten_at) AS forgotten_us FROM w WHERE forgotten_at <= upto""",
+)
+def stream_record_expiry(spark, sf):
+    """Job records that expire while events come in, a stretch of time per micro-batch."""
+    base = f"{shared_folder(spark)}/records-{uuid.uuid4()}"
+    updates = table(spark, sf, "events").select(
+        F.col("user_id").alias("job_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("in_progress").alias("status"), F.col("ts").cast("timestamp").alias("at")
+    )
+    # files are read by age: each is written after those of earlier times
+    bounds = updates.agg(F.min("at"), F.max("at")).first()
+    parts, span = 4, (bounds[1] - bounds[0]) / 4
+    for i in range(parts):
+        part = updates.where(F.col("at") >= F.lit(bounds[0] + i * span)) if i else updates
+        part = part.where(F.col("at") < F.lit(bounds[0] + (i + 1) * span)) if i < parts - 1 else part
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    return _collected(jobs.forgotten_stream(stream), base).select("job_id", "status", F.unix_micros("forgotten_at").alias("forgotten_us"))

@@ -38,6 +38,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def with_state_store(spark: SparkSession) -> SparkSession:
+    """Keeps streaming state in RocksDB, as operators with list and map state and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
 _local_folders: dict[str, str] = {}
 
 

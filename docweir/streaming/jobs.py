@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docweir import params
+from docweir.session import with_state_store
 
 # Fixed values.
 STATUSES = ("pending", "in_progress", "completed", "failed")
@@ -100,9 +102,7 @@ def expire(states: DataFrame, as_of) -> DataFrame:
     ``states`` is ``(job_id, status, updated_at)``; running records live shorter
     than finished ones, and an expired job is unknown.
     """
-    ttl = F.when(
-        F.col("status").isin("completed", "failed"), params.FINISHED_TTL_SECONDS
-    ).otherwise(params.RUNNING_TTL_SECONDS)
+    ttl = keeping_seconds(F.col("status"))
     age = F.unix_micros(as_of) - F.unix_micros("updated_at")
     gone = age >= ttl.cast("bigint") * 1_000_000
     return states.withColumn("status", F.when(gone, F.lit(None)).otherwise(F.col("status")))
@@ -132,23 +132,13 @@ def _advance(state: tuple, polls: pd.DataFrame) -> tuple:
     return status, error, fetched, total, count, streak
 
 
-def job_state_stream(polls: DataFrame, forget: bool = True) -> DataFrame:
-    """Streaming twin of :func:`job_states`: emits a job's record whenever it changes.
-
-    Records time out after their keeping time without polls and are forgotten.
-    Timers keep a query waiting for them, so one-off runs set ``forget`` to false.
-    """
+def job_state_stream(polls: DataFrame) -> DataFrame:
+    """Streaming twin of :func:`job_states`: emits a job's record whenever it changes."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         before = state.get if state.exists else ("pending", None, None, None, 0, 0)
         after = _advance(tuple(before), pd.concat(list(batches)))
         state.update(after)
-        if forget:
-            done = after[0] in ("completed", "failed")
-            state.setTimeoutDuration(1000 * (params.FINISHED_TTL_SECONDS if done else params.RUNNING_TTL_SECONDS))
         yield pd.DataFrame(
             [(key[0], *after[:5])],
             columns=["job_id", "status", "error_message", "pages_fetched", "pages_total", "polls"],
@@ -159,5 +149,66 @@ def job_state_stream(polls: DataFrame, forget: bool = True) -> DataFrame:
         STATE,
         "status string, error string, fetched bigint, total bigint, polls bigint, streak bigint",
         "update",
-        GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.NoTimeout,
     )
+
+
+def keeping_seconds(status: Column) -> Column:
+    return F.when(status.isin("completed", "failed"), params.FINISHED_TTL_SECONDS).otherwise(params.RUNNING_TTL_SECONDS)
+
+
+def forgotten(updates: DataFrame, as_of: Column) -> DataFrame:
+    """Records that outlived their keeping time: ``(job_id, status, forgotten_at)``.
+
+    Every row of ``updates`` ``(job_id, status, at)`` writes the job's record and starts its
+    time anew; a record is forgotten if nothing was written for as long, up to ``as_of``.
+    """
+    order = Window.partitionBy("job_id").orderBy("at", "status")
+    kept = keeping_seconds(F.col("status"))
+    until = F.timestamp_micros(F.unix_micros("at") + kept.cast("bigint") * 1_000_000)
+    rows = updates.select("job_id", "status", "at", F.lead("at").over(order).alias("_next")).withColumn("forgotten_at", until)
+    return rows.where(F.col("forgotten_at") <= F.coalesce("_next", as_of)).select("job_id", "status", "forgotten_at")
+
+
+class _Record(StatefulProcessor):
+    """A job's record in a store with expiry; the timer of its last write gives out the record it ends."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", "status string, until bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.record.get() if self.record.exists() else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["at", "status"], kind="stable").itertuples(index=False):
+            at = int(r.at.value) // 1000
+            if held and held[1] <= at:
+                out.append(self._row(key, *held))
+            kept = params.FINISHED_TTL_SECONDS if r.status in ("completed", "failed") else params.RUNNING_TTL_SECONDS
+            held = (r.status, at + kept * 1_000_000)
+        self.record.update(held)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # timers count milliseconds; one that is due too early finds the record's own time
+        self.handle.registerTimer(-(-held[1] // 1000))
+        if out:
+            yield pd.concat(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.record.exists():
+            yield self._row(key, *self.record.get())
+            self.record.clear()
+
+    def _row(self, key, status, until) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": [key[0]], "status": [status], "forgotten_at": [pd.Timestamp(until, unit="us")]})
+
+    def close(self) -> None:
+        pass
+
+
+def forgotten_stream(updates: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Streaming twin of :func:`forgotten`: emits each record when the watermark passes the end of its keeping time."""
+    with_state_store(updates.sparkSession)
+    kind = dict(updates.dtypes)["job_id"]
+    timed = updates.select("job_id", "status", "at").withWatermark("at", delay)
+    return timed.groupBy("job_id").transformWithStateInPandas(_Record(), f"job_id {kind}, status string, forgotten_at timestamp", "append", "EventTime")

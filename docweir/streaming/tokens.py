@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from docweir.session import with_state_store
 
 from docweir.operators.history import STOPPED
 
@@ -66,3 +72,103 @@ def assemble(events: DataFrame, keys: list[str]) -> DataFrame:
         F.coalesce("_end.type", F.lit("stopped")).alias("ended_by"),
         F.coalesce("total_tokens", F.lit(0).cast("bigint")).alias("total_tokens"),
     )
+
+
+ANSWER = "content string, ended_by string, total_tokens bigint"
+#: Seconds without an event after which an answer counts as stopped.
+STOP_AFTER = 600
+
+
+class _Answer(StatefulProcessor):
+    """Text of one answer as its events arrive in any order.
+
+    The text up to the first missing token lies in a list of pieces, one per micro-batch, so that a long
+    answer is never rewritten; tokens ahead of it wait in a map by their number. The
+    closing event carries the number of tokens in front of it, which tells when all are there.
+    """
+
+    def __init__(self, keys: list[str], stop_after: int) -> None:
+        self.keys, self.stop_after = keys, stop_after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", "expected bigint, closed_at bigint, ended_by string, message string, usage_at bigint, total_tokens bigint, done boolean")
+        self.pieces = handle.getListState("pieces", "content string")
+        self.ahead = handle.getMapState("ahead", "seq bigint", "content string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows))
+        # ticks stay in the stream up to here: a filter would run before the watermark sees them
+        events, latest = events[events["type"] != "tick"].sort_values("seq", kind="stable"), 0
+        if not len(events):
+            return
+        expected, closed_at, ended_by, message, usage_at, usage, done = self.head.get() if self.head.exists() else (0, None, None, None, None, None, False)
+        new = []
+        for e in events.itertuples(index=False):
+            latest = max(latest, int(e.at.timestamp() * 1000))
+            if done:
+                continue
+            if not pd.isna(e.total_tokens) and (usage_at is None or e.seq >= usage_at):
+                usage_at, usage = int(e.seq), int(e.total_tokens)
+            if e.type in ("done", "error"):
+                closed_at, ended_by, message = int(e.seq), e.type, e.content
+            elif e.type == "token" and e.seq == expected:
+                new.append(e.content)
+                expected += 1
+            elif e.type == "token" and e.seq > expected:
+                self.ahead.updateValue((int(e.seq),), (e.content,))
+            # smaller numbers are tokens that were delivered before
+            while not done and self.ahead.exists() and self.ahead.containsKey((expected,)):
+                new.append(self.ahead.getValue((expected,))[0])
+                self.ahead.removeKey((expected,))
+                expected += 1
+        if new:
+            self.pieces.appendValue(("".join(new),))
+        if not done and closed_at is not None and expected >= closed_at:
+            yield self._row(key, ended_by, message, usage)
+            # what is delivered again finds the answer done
+            self.pieces.clear()
+            self.ahead.clear()
+            done = True
+        self.head.update((expected, closed_at, ended_by, message, usage_at, usage, done))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(latest + 1000 * self.stop_after)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.head.exists():
+            _, _, ended_by, message, _, usage, done = self.head.get()
+            if not done:
+                yield self._row(key, ended_by, message, usage)
+        self.head.clear()
+        self.pieces.clear()
+        self.ahead.clear()
+
+    def _row(self, key, ended_by, message, usage) -> pd.DataFrame:
+        text = "".join(p[0] for p in self.pieces.get())
+        # tokens are missing only if the answer has been given up
+        text += "".join(c for _, c in sorted((k[0], v[0]) for k, v in self.ahead.iterator()))
+        if ended_by == "error":
+            text = f"{text}\n\n*Error: {message}*" if text else f"*Error: {message}*"
+        elif ended_by is None and not text:
+            text = STOPPED
+        values = {**dict(zip(self.keys, key, strict=True)), "content": text, "ended_by": ended_by or "stopped", "total_tokens": usage or 0}
+        return pd.DataFrame({name: [value] for name, value in values.items()})
+
+    def close(self) -> None:
+        pass
+
+
+def assemble_stream(events: DataFrame, keys: list[str], stop_after: int = STOP_AFTER, delay: str = "10 minutes") -> DataFrame:
+    """Streaming twin of :func:`assemble`: one row per answer, when its last event is there.
+
+    ``events`` has the keys, ``seq``, ``type``, ``content``, ``total_tokens`` and the event time ``at``.
+    Tokens are numbered from 0 and the closing event by their count. Events may come in any order and
+    more than once within ``delay``. An answer without an event for ``stop_after`` seconds of event time
+    is given out as it is and forgotten; events of type ``tick`` only move the clock on.
+    """
+    with_state_store(events.sparkSession)
+    kinds = dict(events.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + ANSWER
+    timed = events.withWatermark("at", delay).select(*keys, "seq", "type", "content", "total_tokens", "at")
+    return timed.groupBy(*keys).transformWithStateInPandas(_Answer(keys, stop_after), schema, "append", "EventTime")
