@@ -12,6 +12,7 @@ from docweir.catalog.inputs import derived, table
 from docweir.catalog.registry import ORACLES, query
 from docweir.catalog.text import _SPLIT
 from docweir.session import shared_folder
+from docweir.sources import store
 from docweir.streaming import ingest, jobs, tokens
 
 
@@ -65,7 +66,7 @@ def stream_ingest(spark, sf):
     )
     base = f"{shared_folder(spark)}/ingest-{uuid.uuid4()}"
     ingest.start(docs, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out/postings").groupBy("document_id").agg(
+    return store.read(spark, f"{base}/out", "postings").groupBy("document_id").agg(
         F.count_distinct("chunk_id").alias("chunks"), F.sum("tf").alias("tokens")
     )
 

@@ -11,8 +11,8 @@ from docweir.catalog.inputs import ctes, derived, table
 from docweir.catalog.registry import query
 from docweir.functions import analyze, markdown, text
 from docweir.operators import chunking, extract, index
-from docweir.session import shared_folder
-from docweir.sources import sinks, uploads
+from docweir.session import cut_lineage, shared_folder
+from docweir.sources import sinks, store, uploads
 
 
 def plain_documents(spark, sf):
@@ -159,15 +159,48 @@ def markdown_parents(spark, sf):
 def chunk_sink(spark, sf):
     """Parents and chunks written as tables and read back."""
     folder = f"{shared_folder(spark)}/chunks-{uuid.uuid4()}"
-    sinks.write_chunks(chunking.parse_documents(plain_documents(spark, sf)), folder)
-    parents = spark.read.parquet(f"{folder}/parents").groupBy("document_id").agg(F.count(F.lit(1)).alias("parents"))
+    store.upsert(plain_documents(spark, sf), folder)
+    parents = store.read(spark, folder, "parents").groupBy("document_id").agg(F.count(F.lit(1)).alias("parents"))
     head = F.length("document_id") + F.length(F.lit("[Document: doc-.txt]\n\n"))
-    chunks = spark.read.parquet(f"{folder}/chunks").groupBy("document_id").agg(
+    chunks = store.read(spark, folder, "chunks").groupBy("document_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content") - head).alias("chars")
     )
     return parents.join(chunks, "document_id")
 
 
+_NOTE = "'short note ' || doc_id"
+
+
+@query(
+    "store_changes",
+    f"""WITH RECURSIVE {_SPLIT}, kept AS (SELECT doc_id, doc_id % 100 = 7 AS changed FROM documents WHERE doc_id % 100 <> 13),
+    pieces2 AS MATERIALIZED (SELECT k.doc_id, len(regexp_extract_all('Document doc ' || k.doc_id || ' txt ' || CASE WHEN changed THEN {_NOTE.replace("doc_id", "k.doc_id")} ELSE piece END, '[\\p{{L}}\\p{{N}}]+')) AS n
+        FROM kept k JOIN char_split c ON c.doc_id = k.doc_id WHERE NOT changed OR idx = 0),
+    counted AS (SELECT doc_id, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS tokens FROM pieces2 GROUP BY 1)
+    SELECT k.doc_id::VARCHAR AS document_id, 'completed' AS status, chunks, tokens, true AS others_untouched FROM kept k LEFT JOIN counted USING (doc_id)""",
+)
+def store_changes(spark, sf):
+    """A store in which one document of a hundred is changed and one deleted; files of other buckets stay as they are."""
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4()}"
+    docs = plain_documents(spark, sf)
+    store.upsert(docs, folder)
+    number = F.col("document_id").cast("bigint") % 100
+    changed = docs.where(number == 7).withColumn("raw_text", F.concat(F.lit("short note "), "document_id"))
+    gone = docs.where(number == 13).select("document_id")
+    touched = changed.select("document_id").union(gone).select(store.bucket_of(F.col("document_id")).alias("bucket")).distinct()
+    before = {t: cut_lineage(store.files(spark, folder, t).join(touched, "bucket", "left_anti")) for t in store.TABLES}
+    store.upsert(changed, folder)
+    store.delete(gone, folder)
+    same = F.lit(True)
+    for t, old in before.items():
+        now = store.files(spark, folder, t).join(touched, "bucket", "left_anti")
+        same = same & F.lit(old.exceptAll(now).isEmpty() and now.exceptAll(old).isEmpty())
+    counts = store.read(spark, folder, "postings").groupBy("document_id").agg(F.count_distinct("chunk_id").alias("chunks"), F.sum("tf").alias("tokens"))
+    # rows without a document would show that a delete left something behind
+    known = store.read(spark, folder, "statuses").join(counts, "document_id", "full")
+    return known.select("document_id", "status", "chunks", "tokens", same.alias("others_untouched"))
+
+
 @query(
     "chunk_dispatch",
     """SELECT CASE WHEN doc_id % 2 = 0 THEN 'text/plain' ELSE 'text/markdown' END AS content_type,
@@ -191,12 +224,14 @@ def chunk_dispatch(spark, sf):
        WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
 )
 def chunk_report(spark, sf):
-    parsed = chunking.parse_documents(markdown_documents(spark, sf))
-    gone = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("document_id"))
-    kept = sinks.cascade_delete(parsed, gone)
-    return chunking.lifecycle(kept).select(
-        "document_id", "status", "error_message", F.get_json_object("meta", "$.title").alias("title")
-    )
+    """Statuses after ingestion and after the toxic documents were deleted with all that was made from them."""
+    folder = f"{shared_folder(spark)}/report-{uuid.uuid4()}"
+    docs = markdown_documents(spark, sf)
+    store.register(docs, folder)
+    store.reindex(docs.select("document_id"), folder)
+    store.delete(table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("document_id")), folder)
+    statuses = store.read(spark, folder, "statuses")
+    return statuses.select("document_id", "status", "error_message", F.get_json_object("meta", "$.title").alias("title"))
 
 
 @query(

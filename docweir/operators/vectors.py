@@ -177,3 +177,42 @@ def embed(
         return pd.Series(out, index=texts.index)
 
     return rows.withColumn("embedding", run(F.col(text_column)))
+
+
+def embed_or_tell(
+    rows: DataFrame,
+    model: Callable[[list[str]], list[list[float]]],
+    text_column: str = "content",
+    prefix: str = params.PASSAGE_PREFIX,
+    dimension: int = params.EMBEDDING_DIM,
+    batch: int = params.MODEL_BATCH,
+) -> DataFrame:
+    """Like :func:`embed`, but a text that the model fails on has the message in ``embed_error`` and no vector.
+
+    A batch that fails is tried text by text, so one bad text takes no other with it.
+    """
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        answer = model(texts)
+        if len(answer) != len(texts) or any(len(v) != dimension for v in answer):
+            raise ValueError("the embedding model must return one vector of the set dimension per text")
+        return answer
+
+    def one(text: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return ask([text])[0], None
+        except Exception as e:
+            return None, str(e) or type(e).__name__
+
+    @F.pandas_udf("struct<embedding:array<float>,embed_error:string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out: list[tuple] = []
+        for i in range(0, len(texts), batch):
+            part = [prefix + t for t in texts.iloc[i : i + batch]]
+            try:
+                out += [(v, None) for v in ask(part)]
+            except Exception:  # told per text below
+                out += map(one, part)
+        return pd.DataFrame(out, columns=["embedding", "embed_error"])
+
+    return rows.withColumn("_e", run(F.col(text_column))).select(*rows.columns, "_e.*")

@@ -1,18 +1,11 @@
-"""Writing chunks and postings, deleting documents, list projections."""
+"""Writing postings, deleting documents, list projections."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweir.operators import chunking, index
-
-
-def write_chunks(parsed: DataFrame, folder: str, mode: str = "append") -> None:
-    """Parents and children as two tables partitioned by user; ids are functions of the content's place."""
-    good = parsed.where(F.col("error").isNull() & (F.size("parents") > 0))
-    chunking.parent_rows(good).write.mode(mode).partitionBy("user_id").parquet(f"{folder}/parents")
-    chunking.child_rows(good).write.mode(mode).partitionBy("user_id").parquet(f"{folder}/chunks")
+from docweir.operators import index
 
 
 def write_postings(chunks: DataFrame, folder: str, analyzers=None, mode: str = "append") -> None:

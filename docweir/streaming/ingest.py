@@ -1,4 +1,4 @@
-"""Incremental ingestion: every new document is chunked, embedded and indexed once."""
+"""Incremental ingestion: a stream of documents is stored, chunked, embedded and indexed batch by batch."""
 
 from __future__ import annotations
 
@@ -7,46 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from docweir import params
-from docweir.operators import chunking, index, vectors
-
-
-def ingest_batch(
-    documents: DataFrame, folder: str, batch_id: int, embedder: Callable | None = None, dimension: int = params.EMBEDDING_DIM
-) -> None:
-    """Write one batch's chunks, parents, postings and statuses under its own batch folder.
-
-    A batch that runs again overwrites its own folder only, which makes replays
-    after a failure harmless. Parsing is written first and read back, so the four
-    outputs share one pass over the documents.
-    """
-    spark = documents.sparkSession
-    parsed_path = f"{folder}/parsed/batch={batch_id}"
-    chunking.parse_documents(documents).write.mode("overwrite").parquet(parsed_path)
-    parsed = spark.read.parquet(parsed_path)
-    chunks = chunking.child_rows(parsed)
-    if embedder is not None:
-        chunks = vectors.embed(chunks, embedder, dimension=dimension)
-    chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={batch_id}")
-    chunking.parent_rows(parsed).write.mode("overwrite").parquet(f"{folder}/parents/batch={batch_id}")
-    stored = spark.read.parquet(f"{folder}/chunks/batch={batch_id}")
-    index.postings(stored).write.mode("overwrite").parquet(f"{folder}/postings/batch={batch_id}")
-    chunking.lifecycle(parsed).write.mode("overwrite").parquet(f"{folder}/status/batch={batch_id}")
+from docweir.operators.index import Analyzer
+from docweir.sources import store
 
 
 def start(
     documents: DataFrame, folder: str, checkpoint: str, embedder: Callable | None = None,
-    dimension: int = params.EMBEDDING_DIM, **trigger,
+    dimension: int = params.EMBEDDING_DIM, analyzers: dict[str, Analyzer] | None = None, buckets: int = store.BUCKETS, **trigger,
 ):
-    """Run :func:`ingest_batch` on every micro-batch of a document stream.
+    """Runs :func:`store.upsert` on every micro-batch of a document stream.
 
-    With an event-time column ``created_at`` repeated documents are dropped
-    within a day of each other.
+    A document that is delivered again, in the same batch or in any later one, replaces itself;
+    one that fails is marked as failed and holds up no other.
     """
-    rows = documents
-    if "created_at" in documents.columns:
-        rows = documents.withWatermark("created_at", "1 day").dropDuplicatesWithinWatermark(["document_id"])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.upsert(batch, folder, embedder, dimension, analyzers, buckets=buckets)
+
     return (
-        rows.writeStream.foreachBatch(lambda df, i: ingest_batch(df, folder, i, embedder, dimension))
+        documents.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
