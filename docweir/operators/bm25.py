@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweir import params
 from docweir.operators import index
+from docweir.session import cut_lineage
 
 
 def idf(n_chunks: Column, doc_freq: Column) -> Column:
@@ -33,7 +34,12 @@ def term_idf(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFra
     Postings hold one row per chunk and lexeme, so a row count is a chunk count,
     and it is taken only for lexemes some query asks for.
     """
-    freq = asked_postings(terms, postings).groupBy(*KEY).agg(F.count(F.lit(1)).alias("doc_freq"))
+    return weighed_terms(terms, asked_postings(terms, postings), stats)
+
+
+def weighed_terms(terms: DataFrame, asked: DataFrame, stats: DataFrame) -> DataFrame:
+    """:func:`term_idf` from postings that hold asked lexemes only."""
+    freq = asked.groupBy(*KEY).agg(F.count(F.lit(1)).alias("doc_freq"))
     return (
         terms.join(freq, KEY, "left")
         .join(stats, "user_id")
@@ -64,12 +70,14 @@ def search(
     """Top ``k`` chunks per query over all of the user's documents.
 
     Terms meet postings on (user, language, lexeme), so chunks match on any term
-    and only against terms of their own language. Scores are summed before the
+    and only against terms of their own language. Postings are met once: those of asked
+    lexemes are stored, counted and scored from there. Scores are summed before the
     shuffle on (query, chunk). AQE broadcasts term tables below its threshold and
     splits the lexemes that stand in most chunks of larger ones.
     """
-    weighed = term_idf(terms, postings, index.corpus_stats(chunks))
-    hits = asked_postings(terms, postings).join(weighed, KEY)
+    terms = cut_lineage(terms)
+    asked = cut_lineage(asked_postings(terms, postings).select(*KEY, "chunk_id", "document_id", "tf", "word_count"))
+    hits = asked.join(weighed_terms(terms, asked, index.corpus_stats(chunks)), KEY)
     part = F.col("idf") * weight(F.col("tf").cast("double"), F.col("word_count"), F.col("avg_words"), k1, b)
     total = F.sum(part)
     scored = hits.groupBy("query_id", "chunk_id", "document_id").agg(

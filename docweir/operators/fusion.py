@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docweir import params
 from docweir.functions import analyze
+from docweir.session import cut_lineage
 
 
 def reciprocal_rank(lists: DataFrame, k: int = params.RRF_K) -> DataFrame:
@@ -60,7 +61,7 @@ def maybe_asked(rows: DataFrame, asked: DataFrame, key: str, buckets: int = 1 <<
 def hydrate(candidates: DataFrame, chunks: DataFrame, documents: DataFrame, parents: DataFrame) -> DataFrame:
     """Attach chunk, document and parent columns to the candidates; texts of others are not moved."""
     texts = chunks.select("chunk_id", "document_id", "parent_id", "chunk_index", "content")
-    found = candidates.join(maybe_asked(texts, candidates, "chunk_id"), "chunk_id")
+    found = cut_lineage(candidates.join(maybe_asked(texts, candidates, "chunk_id"), "chunk_id"))
     sources = maybe_asked(documents.select("document_id", "filename", "source_url"), found, "document_id")
     above = maybe_asked(parents.select("parent_id", F.col("content").alias("parent_content")), found, "parent_id")
     return found.join(sources, "document_id").join(above, "parent_id", "left")

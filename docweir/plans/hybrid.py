@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docweir import params
 from docweir.operators import bm25, fusion, index, vectors
+from docweir.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -73,7 +74,8 @@ def hybrid_search(
     """
     keyword = keyword_branch(queries, corpus, columns, pool, digits)
     vector = vector_branch(queries, corpus, pool, vector_digits)
-    candidates = fusion.cut(fusion.fuse(vector, keyword), rerank_pool if score else top_k)
+    # a pool of rows per query, which several filters and joins read
+    candidates = cut_lineage(fusion.cut(fusion.fuse(vector, keyword), rerank_pool if score else top_k))
     rows = fusion.hydrate(candidates, corpus.chunks, corpus.documents, corpus.parents)
     if score is None:
         ranked = rows.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("final_rank", F.col("rrf_rank"))
