@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docweir.llm.common import WHITE_SPACE, row_of, stored
 
-SLICE_ROWS = 50_000
+SLICE_ROWS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -73,7 +73,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     facts = targets(sizes, max_repeats)
     slices = F.ceil(F.col("rows") / SLICE_ROWS)
     first_bits = F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / float(2**32)
-    rows = sizes.join(facts, "source_key").withColumn("slice", F.floor(first_bits * slices))
+    # dealt by slice: after a join on the source alone, its largest one would be summed in one task
+    rows = sizes.join(facts, "source_key").withColumn("slice", F.floor(first_bits * slices)).repartition("source_key", "slice")
     before_slice = (
         rows.groupBy("source_key", "slice").agg(F.sum("size").alias("slice_size"))
         .withColumn("slice_start", F.sum("slice_size").over(Window.partitionBy("source_key").orderBy("slice")) - F.col("slice_size"))
