@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 DIMS = 512
 GRAM = 3
+SLICES = 64
 TRAIN_DOCS = 400
 BUNDLE_DOCS = 64
 BUNDLE_CHARS = 400_000
@@ -87,16 +88,20 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id:
     """Language names and their unit prototypes.
 
     Learned from at most ``train_docs`` documents per language outside the held-out fold, those
-    of smallest id hash; this bound is the sample's only parameter. What reaches the
+    of smallest id hash; this bound is the sample's only parameter. Of rows that repeat an id, the
+    first text in order counts. What reaches the
     driver is DIMS sums per language.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     rows = rows.withColumn("draw", F.xxhash64("doc_id"))
     # the draw is decided on ids and labels alone; texts are read for what it keeps
-    ranked = rows.select("lang", "draw").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
-    last = ranked.filter(F.col("rank") <= train_docs).groupBy("lang").agg(F.max("draw").alias("last"))
+    ranked = rows.select("lang", "draw", F.pmod(F.xxhash64("draw", F.lit("slice")), F.lit(SLICES)).alias("slice"))
+    # slices of a language first: one task never sees more of it than SLICES times the sample
+    for keys in (["lang", "slice"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("draw"))).filter(F.col("rank") <= train_docs)
+    last = ranked.groupBy("lang").agg(F.max("draw").alias("last"))
     # one row per language, of which the model has DIMS numbers each
-    sample = rows.join(F.broadcast(last), "lang").filter("draw <= last").dropDuplicates(["lang", "draw"]).select("lang", "text")
+    sample = rows.join(F.broadcast(last), "lang").filter("draw <= last").groupBy("lang", "draw").agg(F.min("text").alias("text")).select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
