@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
@@ -20,22 +22,36 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
-_paths: list[str] = []
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextlib.contextmanager
+def owned(paths: list[str]) -> Iterator[None]:
+    """Notes the tables that operators store in the block in ``paths``, whose owner may delete them later.
+
+    Tables stored outside such a block belong to the frames made from them and are never deleted here.
+    """
+    token = _owner.set(paths)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder; a lost executor reads it again instead of what led to it."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
-    _paths.append(path)
+    if (paths := _owner.get()) is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_stored(spark: SparkSession) -> None:
-    """Deletes the tables stored so far; for a caller that has written every result made from them."""
+def delete_stored(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of an owner that has written every result made from them."""
     context = spark.sparkContext
-    while _paths:
-        path = context._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+    while paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
