@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 # File endings and schemes that never lead to a documentation page.
 ASSET_ENDINGS = (
-    "pdf zip tar gz rar 7z png jpg jpeg gif svg webp ico css js woff woff2 ttf eot "
-    "mp3 mp4 avi mov wmv xml json yaml yml toml exe dmg deb rpm"
-).split()
+    "pdf", "zip", "tar", "gz", "rar", "7z", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "css", "js", "woff",
+    "woff2", "ttf", "eot", "mp3", "mp4", "avi", "mov", "wmv", "xml", "json", "yaml", "yml", "toml", "exe", "dmg",
+    "deb", "rpm",
+)
 IGNORED_SCHEMES = ("mailto", "javascript", "tel", "ftp", "data")
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"

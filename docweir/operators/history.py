@@ -79,6 +79,7 @@ def _is_image(a: Column) -> Column:
 def message_tokens(content: Column, attachments: Column, model: Column) -> Column:
     """Three tokens per message plus its text with its text files, and a flat cost per image."""
     files = F.filter(attachments, lambda a: ~_is_image(a))
+    # The frame of a file's text in a prompt.
     blocks = F.transform(
         files,
         lambda a: F.concat(
@@ -194,6 +195,7 @@ def summary_transcript(rows: DataFrame) -> DataFrame:
     Takes rows of :func:`history`, so a dialogue brings at most the history limit.
     """
 
+    # How attachments are told in a transcript.
     def marker(a: Column) -> Column:
         body = F.when(
             F.coalesce(a["file_text"], F.lit("")) != "",

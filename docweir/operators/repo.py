@@ -17,20 +17,20 @@ from docweir.operators.blocks import first_rows
 FOLDER_PRIORITY = ("docs", "doc", "documentation", "guide", "guides", "content")
 DOC_ENDINGS = ("md", "mdx", "rst")
 SKIP_STEMS = (
-    "changelog changes contributing contributors code_of_conduct license licence "
-    "security pull_request_template issue_template"
-).split()
+    "changelog", "changes", "contributing", "contributors", "code_of_conduct", "license", "licence", "security",
+    "pull_request_template", "issue_template",
+)
 SKIP_FOLDERS = (
-    ".github .git .vscode .idea node_modules __pycache__ .mypy_cache .pytest_cache "
-    ".ruff_cache venv .venv test tests benchmarks bench examples example"
-).split()
+    ".github", ".git", ".vscode", ".idea", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache",
+    ".ruff_cache", "venv", ".venv", "test", "tests", "benchmarks", "bench", "examples", "example",
+)
 LICENSE_STEMS = ("license", "licence")
 ALLOWED_LICENSES = (
-    "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC Unlicense Zlib PostgreSQL 0BSD BlueOak-1.0.0 BSL-1.0 "
-    "MPL-2.0 EPL-2.0 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later "
-    "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later "
-    "CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-4.0 Artistic-2.0"
-).split()
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "Zlib", "PostgreSQL", "0BSD",
+    "BlueOak-1.0.0", "BSL-1.0", "MPL-2.0", "EPL-2.0", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "AGPL-3.0-only",
+    "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Artistic-2.0",
+)
 
 
 def files(tree: DataFrame) -> DataFrame:

@@ -10,15 +10,19 @@ from docweir.functions.text import is_blank
 
 # Accepted content types and file endings.
 SUPPORTED_TYPES = (
-    "text/plain text/markdown application/pdf "
-    "application/vnd.openxmlformats-officedocument.wordprocessingml.document application/msword "
-    "application/vnd.openxmlformats-officedocument.presentationml.presentation application/vnd.ms-powerpoint "
-    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet application/vnd.ms-excel text/csv "
-    "application/rtf text/rtf application/epub+zip application/vnd.oasis.opendocument.text "
-    "application/vnd.oasis.opendocument.spreadsheet application/vnd.oasis.opendocument.presentation"
-).split()
-OFFICE_ENDINGS = ".docx .doc .pptx .ppt .xlsx .xls .csv .rtf .epub .odt .ods .odp".split()
-TEXT_ENDINGS = ".txt .md .markdown .py .js .ts .json .html .css .yaml .yml .toml".split()
+    "text/plain", "text/markdown", "application/pdf",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/msword",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation", "application/vnd.ms-powerpoint",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "application/vnd.ms-excel", "text/csv",
+    "application/rtf", "text/rtf", "application/epub+zip", "application/vnd.oasis.opendocument.text",
+    "application/vnd.oasis.opendocument.spreadsheet", "application/vnd.oasis.opendocument.presentation",
+)
+OFFICE_ENDINGS = (
+    ".docx", ".doc", ".pptx", ".ppt", ".xlsx", ".xls", ".csv", ".rtf", ".epub", ".odt", ".ods", ".odp",
+)
+TEXT_ENDINGS = (
+    ".txt", ".md", ".markdown", ".py", ".js", ".ts", ".json", ".html", ".css", ".yaml", ".yml", ".toml",
+)
 PASTE_TYPES = ("text/plain", "text/markdown")
 PASTE_NAME = "pasted-text.txt"
 
