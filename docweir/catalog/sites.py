@@ -466,6 +466,40 @@ _SOURCES = f"""sourced AS (
       UNION ALL SELECT site_id, url, 'link_crawl' FROM page_urls)"""
 
 
+def _sources(spark, sf, fair_use=False):
+    """Each source as a function of the sites that are left; sites are cut off before anything else is done."""
+
+    def of(rows, left):
+        return rows.join(left.select("site_id"), "site_id", "left_semi")
+
+    def github(left):
+        metas = of(derived(spark, sf, "repo_meta").withColumn("site_id", F.col("repo")), left)
+        licensed = repo.license_gate(metas, fair_use=fair_use).where("may_fetch").select("site_id")
+        return of(derived(spark, sf, "repo_tree").select(F.col("repo").alias("site_id"), F.col("path").alias("url")), licensed)
+
+    def index(full):
+        def pages(left):
+            rows = of(derived(spark, sf, "snapshots").where("variant = 'md'"), left)
+            return rows.where((F.col("status") != 200) if full else (F.col("status") == 200)).select("site_id", "url")
+
+        return pages
+
+    def sitemap_pages(left):
+        return of(derived(spark, sf, "page_urls"), left).where(F.startswith("url", F.lit("https:"))).select("site_id", "url")
+
+    def links(left):
+        return of(derived(spark, sf, "page_urls"), left).select("site_id", "url")
+
+    return [("github", github), ("llms_full", index(True)), ("llms_txt", index(False)), ("sitemap_crawl", sitemap_pages), ("link_crawl", links)]
+
+
+def _source_sites(spark, sf):
+    named = derived(spark, sf, "repo_meta").select(F.col("repo").alias("site_id"))
+    for name in ("snapshots", "page_urls"):
+        named = named.unionByName(derived(spark, sf, name).select("site_id"))
+    return named.distinct()
+
+
 @query(
     "source_cascade",
     f"""{ctes('repo_tree', 'repo_meta', 'snapshots', 'page_urls')}, {_SOURCES},
@@ -475,17 +509,21 @@ _SOURCES = f"""sourced AS (
      WHERE list_position(['github','llms_full','llms_txt','sitemap_crawl','link_crawl'], source_method) = p""",
 )
 def source_cascade(spark, sf):
-    licensed = repo.license_gate(derived(spark, sf, "repo_meta"), fair_use=False).where("may_fetch").select("repo")
-    tree = derived(spark, sf, "repo_tree").join(licensed, "repo")
-    pages = derived(spark, sf, "page_urls")
-    index = derived(spark, sf, "snapshots").where("variant = 'md'")
-    rows = (
-        tree.select(F.col("repo").alias("site_id"), F.col("path").alias("url"), F.lit("github").alias("source_method"))
-        .unionByName(index.select("site_id", "url", F.when(F.col("status") == 200, "llms_txt").otherwise("llms_full").alias("source_method")))
-        .unionByName(pages.where(F.startswith("url", F.lit("https:"))).select("site_id", "url", F.lit("sitemap_crawl").alias("source_method")))
-        .unionByName(pages.select("site_id", "url", F.lit("link_crawl").alias("source_method")))
-    )
-    return crawl.first_source(rows)
+    return crawl.cascade(_source_sites(spark, sf), _sources(spark, sf))
+
+
+@query(
+    "source_cascade_fair_use",
+    f"""{ctes('repo_tree', 'repo_meta', 'snapshots', 'page_urls')}, {_SOURCES.replace("WHERE spdx_id IN ('MIT', 'Apache-2.0')", "")},
+    offered AS (SELECT * FROM sourced WHERE source_method <> 'llms_full'),
+    best AS (SELECT site_id, min(list_position(['github','llms_txt','sitemap_crawl','link_crawl'], source_method)) AS p FROM offered GROUP BY 1)
+    SELECT s.site_id, source_method, count(*) AS pages FROM offered s JOIN best b ON b.site_id = s.site_id
+     WHERE list_position(['github','llms_txt','sitemap_crawl','link_crawl'], source_method) = p GROUP BY 1, 2""",
+)
+def source_cascade_fair_use(spark, sf):
+    """Fair use opens every repository; full index files are skipped."""
+    found = crawl.cascade(_source_sites(spark, sf), _sources(spark, sf, fair_use=True), skip=("llms_full",))
+    return found.groupBy("site_id", "source_method").agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,12 +106,25 @@ def _newest(rows: DataFrame) -> DataFrame:
     )
 
 
-def first_source(pages: DataFrame) -> DataFrame:
-    """Keep, per site, the pages of the best source that yielded any."""
-    order = F.array(*[F.lit(s) for s in SOURCE_PRIORITY])
-    ranked = pages.withColumn("_p", F.array_position(order, F.col("source_method")))
-    best = ranked.groupBy("site_id").agg(F.min("_p").alias("_p"))
-    return ranked.join(best, ["site_id", "_p"]).drop("_p")
+def cascade(sites: DataFrame, sources: list[tuple[str, Callable[[DataFrame], DataFrame]]], skip: tuple[str, ...] = ()) -> DataFrame:
+    """Pages of each site's first source that yields any, with ``source_method`` naming it.
+
+    ``sources`` are pairs of a name and a function from the sites that are still without pages
+    to their pages ``(site_id, ...)``. A source is computed for those sites alone: what it
+    finds is stored before the next one starts, so later and costlier sources (sitemaps, link crawls)
+    run over what earlier ones have left. Names in ``skip`` are passed over. A source that
+    may not be used for a site, as by its license, simply yields none of its pages.
+    """
+    left, out = cut_lineage(sites), None
+    for name, pages_of in sources:
+        if name in skip:
+            continue
+        found = cut_lineage(pages_of(left).join(left.select("site_id"), "site_id", "left_semi").withColumn("source_method", F.lit(name)))
+        out = found if out is None else out.unionByName(found)
+        left = cut_lineage(left.join(found.select("site_id").distinct(), "site_id", "left_anti"))
+    if out is None:
+        raise ValueError("every source is skipped")
+    return out
 
 
 def page_block(title: Column, url: Column, content: Column) -> Column:
