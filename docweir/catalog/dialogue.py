@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweir import params
@@ -512,12 +513,20 @@ def token_assembly(spark, sf):
 
 @query(
     "stopped_generation",
-    """SELECT conv_id, turn, CASE WHEN conv_id % 6 = 1 THEN '*Generation stopped.*' WHEN conv_id % 4 = 0 THEN '*Error: boom*' ELSE '' END AS content,
-        CASE WHEN conv_id % 6 = 1 THEN 0 ELSE length(text) END AS total_tokens FROM conversations WHERE role = 'assistant'""",
+    """WITH a AS (SELECT *, string_split(text, ' ') AS words, conv_id % 6 = 1 AS stopped, CASE WHEN conv_id % 12 = 1 THEN 0 ELSE len(string_split(text, ' ')) // 2 END AS n
+        FROM conversations WHERE role = 'assistant')
+    SELECT conv_id, turn, CASE WHEN stopped AND n = 0 THEN '*Generation stopped.*' WHEN stopped THEN array_to_string(words[1:n], ' ') || ' '
+            WHEN conv_id % 4 = 0 THEN text || ' ' || chr(10) || chr(10) || '*Error: boom*' ELSE text || ' ' END AS content,
+        CASE WHEN stopped THEN 'stopped' WHEN conv_id % 4 = 0 THEN 'error' ELSE 'done' END AS ended_by,
+        CASE WHEN stopped THEN 0 ELSE length(text) END AS total_tokens FROM a""",
 )
 def stopped_generation(spark, sf):
-    events = derived(spark, sf, "token_events").where("type <> 'token'")
-    return tokens.assemble(events, ["conv_id", "turn"]).drop("ended_by")
+    """Every sixth dialogue stops its answers: half of them after half of the words, half before the first one."""
+    events = derived(spark, sf, "token_events")
+    counts = F.count(F.when(F.col("type") == "token", 1)).over(Window.partitionBy("conv_id", "turn"))
+    stop = F.when(F.col("conv_id") % 12 == 1, 0).otherwise(F.floor(counts / 2))
+    behind = (F.col("conv_id") % 6 == 1) & (F.col("type") == "token") & (F.col("seq") >= stop)
+    return tokens.assemble(events.withColumn("_behind", behind).where("NOT _behind").drop("_behind"), ["conv_id", "turn"])
 
 
 _SSE = """SELECT event_id, CASE WHEN event_type = 'view' THEN ': keep-alive' WHEN event_type = 'click' THEN 'data: {"type": "token", "content": "w' || event_id || '", "variant": "rag_on"}'

@@ -328,6 +328,21 @@ def repo_doc_files(spark, sf):
     return repo.doc_files(tree, branches, 5)
 
 
+_NAMED = _FOLDERS.replace("folders AS", "found AS") + """,
+    folders AS (SELECT repo, CASE WHEN length(repo) % 4 = 1 THEN 'src/docs' ELSE doc_folder END AS doc_folder FROM found)"""
+
+
+@query("repo_subpath_files", f"""{ctes('repo_tree')}, {_BLOBS}, {_NAMED}, {_ENGLISH}, {_PICK.format(cap=params.REPO_FILE_CAP)}
+    SELECT *, row_number() OVER (PARTITION BY repo ORDER BY pos) AS rank FROM picked""")
+def repo_subpath_files(spark, sf):
+    """Files of repositories of which some are asked for by an address with a path."""
+    tree = derived(spark, sf, "repo_tree")
+    plain = F.concat(F.lit("https://github.com/org/"), "repo")
+    address = F.when(F.length("repo") % 4 == 1, F.concat(plain, F.lit("/tree/main/src/docs/"))).otherwise(plain)
+    requests = tree.select("repo").distinct().select("repo", urls.repo_address(address)["subpath"].alias("subpath"))
+    return repo.doc_files(tree, repo.english_branch(tree, repo.doc_folder(tree, requests)))
+
+
 @query(
     "repo_license_gate",
     f"""{ctes('repo_meta')} SELECT *, coalesce(spdx_id IN ('MIT', 'Apache-2.0'), false) AS may_fetch FROM repo_meta""",

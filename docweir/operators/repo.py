@@ -37,12 +37,16 @@ def files(tree: DataFrame) -> DataFrame:
     return tree.where(F.col("type") == "blob").drop("type")
 
 
-def doc_folder(tree: DataFrame) -> DataFrame:
-    """``(repo, doc_folder)``: the top-level folder that ranks first, null when none does."""
+def doc_folder(tree: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """``(repo, doc_folder)``: the top-level folder that ranks first, null when none does.
+
+    A request ``(repo, subpath)`` whose address names a path inside the repository, as
+    ``urls.repo_address`` reads it, takes that path instead.
+    """
     top = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1))
     names = files(tree).groupBy("repo", top.alias("top")).agg(F.min("pos").alias("_pos"))
     order = F.array_position(F.array(*[F.lit(p) for p in FOLDER_PRIORITY]), F.lower("top"))
-    return names.groupBy("repo").agg(
+    found = names.groupBy("repo").agg(
         F.min_by(
             F.when(order > 0, F.col("top")),
             F.struct(
@@ -50,6 +54,10 @@ def doc_folder(tree: DataFrame) -> DataFrame:
             ),
         ).alias("doc_folder")
     )
+    if requests is None:
+        return found
+    named = requests.where(F.col("subpath").isNotNull()).groupBy("repo").agg(F.min("subpath").alias("_named"))
+    return found.join(named, "repo", "left").select("repo", F.coalesce("_named", "doc_folder").alias("doc_folder"))
 
 
 def english_branch(tree: DataFrame, folders: DataFrame) -> DataFrame:
