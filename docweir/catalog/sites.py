@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from docweir import params
 from docweir.catalog import fragments as q
 from docweir.catalog.crawl import _ROBOTS, _pct, _RX, plan_frame, plan_oracle
-from docweir.catalog.inputs import ctes, derived, duck, table
-from docweir.catalog.registry import query
+from docweir.catalog.inputs import HOST, ctes, derived, duck, table
+from docweir.catalog.registry import ORACLES, query
 from docweir.functions import urls
 from docweir.operators import crawl, repo, robots, site_index, sitemap
 from docweir.session import cut_lineage
@@ -473,6 +473,40 @@ def bfs_crawl(spark, sf):
     return _crawled(spark, sf)
 
 
+_LEVEL_DROPS = " UNION ALL ".join(
+    f"""SELECT j.site_id, CASE WHEN NOT coalesce(ok, true) THEN 'robots' WHEN ai IS NOT DISTINCT FROM false THEN 'signal' END AS reason
+    FROM j{n} j LEFT JOIN h{n} h ON h.site_id = j.site_id AND h.url = j.url LEFT JOIN i{n} i ON i.site_id = j.site_id AND i.url = j.url"""
+    for n in range(3)
+)
+
+
+@query(
+    "policy_report",
+    f"""WITH report AS ({ORACLES["ethics_report"]}), probe AS ({ORACLES["llms_candidates"]}),
+    links AS ({_BFS} SELECT site_id, count(*) FILTER (reason = 'robots') AS robots, count(*) FILTER (reason = 'signal') AS signal FROM ({_LEVEL_DROPS}) d GROUP BY 1),
+    headed AS ({ORACLES["robots_directives"]}),
+    tags AS (SELECT {HOST} AS site_id, count(*) AS n FROM headed JOIN pages USING (page_id) WHERE blocked GROUP BY 1)
+    SELECT p.site_id, crawl_delay, ai_input, license, p.dropped_robots + coalesce(b.dropped_robots, 0) + coalesce(l.robots, 0) AS dropped_robots,
+        p.dropped_signal + coalesce(l.signal, 0) AS dropped_signal, coalesce(t.n, 0) AS dropped_tags
+      FROM report p LEFT JOIN probe b ON b.site_id = p.site_id LEFT JOIN links l ON l.site_id = p.site_id LEFT JOIN tags t ON t.site_id = p.site_id""",
+)
+def policy_report(spark, sf):
+    """The report over all stages: planned pages, probed index files, the link crawl, and tags of fetched pages."""
+    rules = robots.site_rules(derived(spark, sf, "robots_txt"))
+    _, probed = site_index.probe(derived(spark, sf, "sites"), rules, derived(spark, sf, "index_snapshots"))
+    more = probed.select("site_id", F.lit("llms").alias("stage"), F.lit("robots").alias("reason"), F.col("dropped_robots").alias("n"))
+    sites, edges, pages = _crawl_frames(spark, sf)
+    drops = []
+    crawl.crawl_links(sites, edges, pages, rules, params.MAX_DEPTH, params.MAX_PAGES, drops)
+    for level in drops:
+        more = more.unionByName(level)
+    fetched = derived(spark, sf, "robots_headers").join(table(spark, sf, "pages").select("page_id", F.expr(HOST).alias("site_id")), "page_id")
+    more = more.unionByName(robots.tag_ledger("fetch", fetched, robots.header_directives(F.col("header")), ("none",)))
+    licenses = derived(spark, sf, "repo_meta").select(F.col("repo").alias("site_id"), F.col("spdx_id").alias("license"))
+    decided = robots.decide(derived(spark, sf, "page_urls"), rules)
+    return robots.ethics_report(rules, decided, licenses, more)
+
+
 _SOURCES = f"""sourced AS (
       SELECT t.repo AS site_id, path AS url, 'github' AS source_method FROM repo_tree t JOIN repo_meta m ON m.repo = t.repo
         WHERE spdx_id IN ('MIT', 'Apache-2.0')

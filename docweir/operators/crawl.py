@@ -46,6 +46,7 @@ def crawl_links(
     rules: DataFrame,
     max_depth: int = params.MAX_DEPTH,
     max_pages: int = params.MAX_PAGES,
+    drops: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Bounded breadth-first crawl of every site at once.
 
@@ -54,7 +55,8 @@ def crawl_links(
     Each level joins its frontier with the edges, keeps addresses in scope that
     were not seen before, and filters them by version and language as one set
     per site. Addresses count as seen when found, filtered or not. Levels are
-    written out between rounds. ``order_key`` replays the visiting order.
+    written out between rounds. ``order_key`` replays the visiting order. A list given as ``drops``
+    gets the ledger rows of each level.
     """
     prefix = sites.select("site_id", "base_url", urls.scope_prefix(F.col("base_url")).alias("_prefix"))
     rules = cut_lineage(rules)  # read again on every level
@@ -65,8 +67,11 @@ def crawl_links(
     seen = frontier.select("site_id", "url")
     visited = None
     for depth in range(max_depth):
+        decided = robots.decide(frontier, rules)
+        if drops is not None:
+            drops.append(cut_lineage(robots.ledger("link_crawl", decided)))
         level = (
-            robots.keep_allowed(robots.decide(frontier, rules))
+            robots.keep_allowed(decided)
             .join(pages, ["site_id", "url"])
             .withColumn("depth", F.lit(depth))
         )

@@ -283,6 +283,19 @@ def drop_counts(decided: DataFrame) -> DataFrame:
     )
 
 
+def ledger(stage: str, decided: DataFrame) -> DataFrame:
+    """Drops of one stage by reason: ``(site_id, stage, reason, n)``, no row without a drop."""
+    reason = F.when(~F.col("robots_ok"), "robots").when(is_dropped_by_signal(), "signal")
+    rows = decided.select("site_id", F.lit(stage).alias("stage"), reason.alias("reason")).where(F.col("reason").isNotNull())
+    return rows.groupBy("site_id", "stage", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tag_ledger(stage: str, pages: DataFrame, found: Column, blocking: tuple[str, ...] = ()) -> DataFrame:
+    """Fetched pages ``(site_id, ...)`` that robots headers or meta tags take out, as ledger rows."""
+    hits = pages.where(F.coalesce(blocked(found, blocking), F.lit(False)))
+    return hits.groupBy("site_id").agg(F.count(F.lit(1)).alias("n")).select("site_id", F.lit(stage).alias("stage"), F.lit("tags").alias("reason"), "n")
+
+
 def effective_delay(requested: Column, crawl_delay: Column) -> Column:
     return F.greatest(requested, F.coalesce(crawl_delay, F.lit(0.0)))
 
@@ -345,19 +358,19 @@ def blocked(found: Column, blocking: tuple[str, ...] = ()) -> Column:
     return F.arrays_overlap(found, F.array(*[F.lit(b) for b in blocking]))
 
 
-def ethics_report(rules: DataFrame, decided: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
-    """Per site: crawl delay, site-wide ai-input signal, license, rows dropped and why."""
+def ethics_report(rules: DataFrame, decided: DataFrame, licenses: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+    """Per site: crawl delay, site-wide ai-input signal, license, rows dropped and why.
+
+    ``more`` holds ledger rows of other stages, such as index file probing, the link crawl or page
+    tags; each reason is summed over all of them.
+    """
     root = rules.select(
         "site_id", "crawl_delay", signal(F.lit("/"), F.col("signals")).alias("ai_input")
     )
-    report = root.join(drop_counts(decided).drop("allowed"), "site_id", "left").select(
-        "site_id",
-        "crawl_delay",
-        "ai_input",
-        F.coalesce("dropped_robots", F.lit(0)).alias("dropped_robots"),
-        F.coalesce("dropped_signal", F.lit(0)).alias("dropped_signal"),
-        F.lit(0).cast("bigint").alias("dropped_tags"),
-    )
+    drops = ledger("pages", decided)
+    drops = drops if more is None else drops.unionByName(more)
+    sums = [F.sum(F.when(F.col("reason") == r, F.col("n"))).alias(f"dropped_{r}") for r in ("robots", "signal", "tags")]
+    report = root.join(drops.groupBy("site_id").agg(*sums), "site_id", "left").na.fill(0, ["dropped_robots", "dropped_signal", "dropped_tags"])
     if licenses is None:
         return report.withColumn("license", F.lit(None).cast("string"))
     return report.join(licenses.select("site_id", "license"), "site_id", "left")
