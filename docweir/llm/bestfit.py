@@ -84,6 +84,8 @@ def segments(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "start", "length", "ids"])
+        # a worker goes on to other stages; what is kept for the words of this task is not theirs
+        encoder.clear()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(tokenise, SEGMENT_SCHEMA)
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 
 EOS = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: White space beside white space, or other breaks than a space and a line feed alone, is left to the tokenizer.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]")
 #: Pieces of characters below this one have the same letters and digits in every Unicode version.

@@ -58,6 +58,8 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
             columns = list(zip(*rows, strict=True)) or [()] * 5
             names = [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+        # a worker goes on to other stages; what is kept for the words of this task is not theirs
+        encoder.clear()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(tokenise, PIECE_SCHEMA)
 
