@@ -50,8 +50,7 @@ def simple(c: Column) -> Column:
 
 def english(c: Column) -> Column:
     """Lower-case tokens without stop words, stemmed."""
-    stop = F.array(*[F.lit(w) for w in ENGLISH_STOP])
-    return _stem_all(F.filter(tokens(c), lambda w: ~F.array_contains(stop, w)))
+    return _stem_all(F.filter(tokens(c), lambda w: ~w.isin(*ENGLISH_STOP)))
 
 
 def polish(stop_words: list[str] | None = None) -> Callable[[Column], Column]:
@@ -60,11 +59,12 @@ def polish(stop_words: list[str] | None = None) -> Callable[[Column], Column]:
     The lemma dictionary is not part of this package; words stay as written.
     """
 
+    stop = [w.translate(str.maketrans(MARKED, PLAIN)) for w in stop_words or ()]
+
     def analyzer(c: Column) -> Column:
         words = tokens(unaccent(F.lower(c)))
-        if not stop_words:
+        if not stop:
             return words
-        stop = F.transform(F.array(*[F.lit(w) for w in stop_words]), unaccent)
-        return F.filter(words, lambda w: ~F.array_contains(stop, w))
+        return F.filter(words, lambda w: ~w.isin(*stop))
 
     return analyzer

@@ -11,7 +11,8 @@ from docweir.operators import index
 def write_postings(chunks: DataFrame, folder: str, analyzers=None, mode: str = "append") -> None:
     """Postings partitioned by language and ordered by lexeme, so term lookups skip row groups."""
     rows = index.postings(chunks, analyzers)
-    rows.sortWithinPartitions("lexeme").write.mode(mode).partitionBy("language").parquet(f"{folder}/postings")
+    # the writer needs its partition column in order; one sort serves both
+    rows.sortWithinPartitions("language", "lexeme").write.mode(mode).partitionBy("language").parquet(f"{folder}/postings")
 
 
 def cascade_delete(rows: DataFrame, deleted: DataFrame) -> DataFrame:
