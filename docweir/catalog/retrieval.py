@@ -83,8 +83,7 @@ def bm25_topk(spark, sf):
 )
 def language_or_match(spark, sf):
     terms = index.query_terms(benchmark_queries(spark, sf), COLUMNS)
-    hits = index.postings(document_chunks(spark, sf)).join(terms, ["user_id", "language", "lexeme"])
-    matched = hits.groupBy("query_id", "language", "chunk_id").agg(F.count(F.lit(1)).alias("terms"))
+    matched = bm25.matched_chunks(terms, index.postings(document_chunks(spark, sf)))
     return matched.groupBy("query_id", "language").agg(F.count(F.lit(1)).alias("chunks"))
 
 

@@ -22,9 +22,18 @@ def weight(tf: Column, words: Column, avg: Column, k1: float = params.BM25_K1, b
 KEY = ["user_id", "language", "lexeme"]
 
 
+#: Rows of a term table that are broadcast, some 100 MB.
+BROADCAST_TERMS = 1_000_000
+
+
+def _sent(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Broadcasts ``rows``, of which there are no more than terms, while these are few."""
+    return F.broadcast(rows) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else rows
+
+
 def asked_postings(terms: DataFrame, postings: DataFrame) -> DataFrame:
     """Postings of lexemes that some query asks for; the others never reach a join or a fold."""
-    return postings.join(terms.select(*KEY).distinct(), KEY, "left_semi")
+    return postings.join(_sent(terms.select(*KEY).distinct(), terms), KEY, "left_semi")
 
 
 def term_idf(terms: DataFrame, postings: DataFrame, stats: DataFrame) -> DataFrame:
@@ -52,6 +61,16 @@ def weighed_terms(terms: DataFrame, asked: DataFrame, stats: DataFrame) -> DataF
     )
 
 
+def matched_chunks(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """``(query_id, language, chunk_id, terms)``: how many terms of a query each chunk holds.
+
+    As in :func:`search`, asked postings are dealt out by chunk, and counted there.
+    """
+    terms = cut_lineage(terms)
+    asked = asked_postings(terms, postings).select(*KEY, "chunk_id").repartition("chunk_id")
+    return asked.join(_sent(terms, terms), KEY).groupBy("query_id", "language", "chunk_id").agg(F.count(F.lit(1)).alias("terms"))
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     """Best ``k`` rows per query; the group limit runs on both sides of the shuffle."""
     w = Window.partitionBy("query_id").orderBy(F.desc(score), F.col("chunk_id"))
@@ -70,14 +89,15 @@ def search(
     """Top ``k`` chunks per query over all of the user's documents.
 
     Terms meet postings on (user, language, lexeme), so chunks match on any term
-    and only against terms of their own language. Postings are met once: those of asked
-    lexemes are stored, counted and scored from there. Scores are summed before the
-    shuffle on (query, chunk). AQE broadcasts term tables below its threshold and
-    splits the lexemes that stand in most chunks of larger ones.
+    and only against terms of their own language. Postings of asked lexemes are stored, counted
+    and scored from there. They are dealt out by chunk before the terms are broadcast to
+    them, so that a chunk's scores are summed, and the best of a partition found, before anything
+    is shuffled by query. Term tables beyond BROADCAST_TERMS rows take the shuffle join.
     """
     terms = cut_lineage(terms)
     asked = cut_lineage(asked_postings(terms, postings).select(*KEY, "chunk_id", "document_id", "tf", "word_count"))
-    hits = asked.join(weighed_terms(terms, asked, index.corpus_stats(chunks)), KEY)
+    weighed = weighed_terms(terms, asked, index.corpus_stats(chunks))
+    hits = asked.repartition("chunk_id").join(_sent(weighed, terms), KEY)
     part = F.col("idf") * weight(F.col("tf").cast("double"), F.col("word_count"), F.col("avg_words"), k1, b)
     total = F.sum(part)
     scored = hits.groupBy("query_id", "chunk_id", "document_id").agg(
@@ -99,29 +119,34 @@ def search_scoped(
     """As :func:`search`, for queries bound to documents: ``scope(query_id, user_id, document_id)``.
 
     Statistics then belong to the query: chunk count, mean length and document
-    frequency all run over its documents only. Terms meet postings first and the
-    lists then pick among the hits, so a document that many queries list is not
-    repeated for lexemes they do not ask for. Lengths are summed per document before
-    they meet the lists.
+    frequency all run over its documents only. Postings of asked lexemes in listed documents are stored;
+    they meet the lists document by document and the terms in the same
+    partition, once to count and once to score, so hits are neither stored nor shuffled. Lengths are
+    summed per document before they meet the lists.
     """
+    terms, scope = cut_lineage(terms), cut_lineage(scope)
     lists = scope.select("query_id", "user_id", "document_id").distinct()
     lengths = chunks.groupBy("user_id", "document_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col("word_count").cast("double")).alias("_words"), F.count("word_count").alias("_counted")
     )
     mean = F.try_divide(F.sum("_words"), F.sum("_counted"))
-    stats = lists.join(lengths, ["user_id", "document_id"]).groupBy("query_id").agg(
+    stats = lists.join(lengths, ["user_id", "document_id"]).groupBy("query_id", "user_id").agg(
         F.sum("_n").cast("double").alias("n_chunks"), index.mean_or_one(mean).alias("avg_words")
     )
-    hits = postings.join(terms, KEY).join(lists, ["query_id", "user_id", "document_id"], "left_semi")
-    freq = hits.groupBy("query_id", "language", "lexeme").agg(F.count(F.lit(1)).alias("doc_freq"))
-    weighed = freq.join(stats, "query_id").select(
-        "query_id", "language", "lexeme", "avg_words", idf(F.col("n_chunks"), F.col("doc_freq")).alias("idf")
+    listed = scope.select("user_id", "document_id").distinct()
+    asked = asked_postings(terms, postings).join(listed, ["user_id", "document_id"], "left_semi")
+    asked = cut_lineage(asked.select(*KEY, "chunk_id", "document_id", "tf", "word_count"))
+    placed = asked.repartition("user_id", "document_id").join(lists, ["user_id", "document_id"])
+    freq = placed.join(_sent(terms, terms), ["query_id", *KEY]).groupBy("query_id", *KEY).agg(F.count(F.lit(1)).alias("doc_freq"))
+    weighed = freq.join(stats, ["query_id", "user_id"]).select(
+        "query_id", *KEY, "avg_words", idf(F.col("n_chunks"), F.col("doc_freq")).alias("idf")
     )
     part = F.col("idf") * weight(F.col("tf").cast("double"), F.col("word_count"), F.col("avg_words"), k1, b)
     total = F.sum(part)
     scored = (
-        hits.join(weighed, ["query_id", "language", "lexeme"])
-        .groupBy("query_id", "chunk_id", "document_id")
+        placed.join(_sent(weighed, terms), ["query_id", *KEY])
+        .groupBy("query_id", "user_id", "chunk_id", "document_id")
         .agg((total if digits is None else F.round(total, digits)).alias("score"))
+        .drop("user_id")
     )
     return top_k(scored, k)
