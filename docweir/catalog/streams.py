@@ -17,9 +17,8 @@ from docweir.streaming import ingest, jobs, tokens
 
 
 def _stream(spark, sf, name):
-    """The table as a file stream."""
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table as a file stream: one file, or a folder of files. A stream takes a pattern for either, a plain path for folders only."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}[.]parquet")
 
 
 @query("stream_job_state", ORACLES["job_state_last"])
