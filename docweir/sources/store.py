@@ -20,6 +20,10 @@ from docweir.session import cut_lineage
 
 TABLES = ("documents", "statuses", "parents", "chunks", "postings")
 BUCKETS = 64
+#: Document ids that are broadcast, some 50 MB.
+BROADCAST_IDS = 500_000
+#: Files that a bucket may have before a change makes them one again.
+FILES = 4
 DOCUMENT = ("document_id", "user_id", "filename", "content_type", "language", "raw_text")
 STATUS = "document_id string, status string, error_message string, meta string"
 
@@ -47,41 +51,75 @@ def _touched(ids: DataFrame, buckets: int) -> list[int]:
     return [r[0] for r in ids.select(bucket_of(F.col("document_id"), buckets)).distinct().collect()]
 
 
+def _files_by_bucket(spark: SparkSession, folder: str, table: str, touched: list[int]) -> dict[int, set[str]]:
+    """Names of the files of the touched buckets; buckets without a folder are left out."""
+    found = {}
+    for number in touched:
+        files, path = _hadoop_path(spark, f"{folder}/{table}/bucket={number}")
+        if files.exists(path):
+            found[number] = {f.getPath().getName() for f in files.listStatus(path)}
+    return found
+
+
+def _few(ids: DataFrame) -> bool:
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
 def replace_rows(spark: SparkSession, folder: str, table: str, ids: DataFrame, fresh: DataFrame | None, touched: list[int], buckets: int = BUCKETS) -> None:
     """Rewrites the touched buckets of a table: rows of ``ids`` go, ``fresh`` ones come.
 
-    The new rows are written beside the table first; they then take the place of the old files of their
-    buckets, and buckets that are left without rows are removed.
+    Spark writes the new files beside the table, which may be read meanwhile; at the end they take
+    the place of the old files of their buckets, and buckets that are left without rows are
+    removed. Fresh rows come bucket by bucket, as they are read from a table of the
+    store, and old ones stay so; nothing is dealt out again unless there are many ids, or many files in a bucket.
     """
-    parts = [fresh.withColumn("bucket", bucket_of(F.col("document_id"), buckets))] if fresh is not None else []
-    if exists(spark, folder, table):
+    before = _files_by_bucket(spark, folder, table, touched)
+    rows = fresh.withColumn("bucket", bucket_of(F.col("document_id"), buckets)) if fresh is not None else None
+    if before:
+        few = _few(ids)
         old = read(spark, folder, table).where(F.col("bucket").isin(touched))
-        parts.append(old.join(ids.select("document_id"), "document_id", "left_anti"))
-    if not parts:
+        old = old.join(F.broadcast(ids.select("document_id")) if few else ids.select("document_id"), "document_id", "left_anti")
+        rows = old if rows is None else rows.unionByName(old, allowMissingColumns=True)
+        if not few or max(map(len, before.values())) > FILES:
+            # AQE joins these partitions; a small bucket becomes one file
+            rows = rows.repartition("bucket")
+    if rows is None:
         return
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    staged = cut_lineage(rows)
     if not exists(spark, folder, table):
         # a file without rows keeps the columns of a table whose documents have all gone
-        staged.drop("bucket").limit(0).coalesce(1).write.parquet(f"{folder}/{table}/bucket=-1")
-    # AQE splits and joins these partitions; a small bucket stays one file
-    staged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/{table}")
-    left = {r[0] for r in staged.select("bucket").distinct().collect()}
-    for number in set(touched) - left:
-        files, path = _hadoop_path(spark, f"{folder}/{table}/bucket={number}")
-        files.delete(path, True)
+        spark.createDataFrame([], rows.drop("bucket").schema).coalesce(1).write.parquet(f"{folder}/{table}/bucket=-1")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/{table}")
+    after = _files_by_bucket(spark, folder, table, touched)
+    for number, names in before.items():
+        if after.get(number) == names:
+            # nothing took the place of these files, so all their rows were to go
+            files, path = _hadoop_path(spark, f"{folder}/{table}/bucket={number}")
+            files.delete(path, True)
+
+
+def _newest(documents: DataFrame, buckets: int) -> DataFrame:
+    """One row per document id, the last by ``created_at`` if there is such a column; dealt out by bucket."""
+    last = [F.desc_nulls_last("created_at")] if "created_at" in documents.columns else []
+    order = Window.partitionBy("bucket", "document_id").orderBy(*last, F.xxhash64(*DOCUMENT))
+    dealt = documents.where(F.col("document_id").isNotNull()).withColumn("bucket", bucket_of(F.col("document_id"), buckets)).repartition("bucket")
+    rows = dealt.withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    return rows.select(F.col("document_id").cast("string").alias("document_id"), *DOCUMENT[1:])
 
 
-def _newest(documents: DataFrame) -> DataFrame:
-    """One row per document id, the last by ``created_at`` if there is such a column."""
-    last = [F.desc_nulls_last("created_at")] if "created_at" in documents.columns else []
-    order = Window.partitionBy("document_id").orderBy(*last, F.xxhash64(*DOCUMENT))
-    rows = documents.withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return rows.select(F.col("document_id").cast("string").alias("document_id"), *DOCUMENT[1:]).where(F.col("document_id").isNotNull())
+def _named(documents: DataFrame) -> DataFrame:
+    return cut_lineage(documents.where(F.col("document_id").isNotNull()).select(F.col("document_id").cast("string").alias("document_id")).distinct())
+
+
+def _of(spark: SparkSession, folder: str, table: str, ids: DataFrame, touched: list[int]) -> DataFrame:
+    """Stored rows of the given documents. The rows are joined only if their buckets hold other documents too."""
+    stored = read(spark, folder, table).where(F.col("bucket").isin(touched)).drop("bucket")
+    if stored.select("document_id").distinct().join(ids, "document_id", "left_anti").isEmpty():
+        return stored
+    return stored.join(F.broadcast(ids) if _few(ids) else ids, "document_id", "left_semi")
 
 
 def _set_status(spark: SparkSession, folder: str, ids: DataFrame, statuses: DataFrame, touched: list[int], buckets: int) -> None:
-    replace_rows(spark, folder, "statuses", ids, statuses.select(*[x.split()[0] for x in STATUS.split(", ")]), touched, buckets)
+    replace_rows(spark, folder, "statuses", ids, statuses.select(*[x.split()[0] for x in STATUS.split(", ")]).withColumn("bucket", bucket_of(F.col("document_id"), buckets)).repartition("bucket"), touched, buckets)
 
 
 def _plain_status(ids: DataFrame, status: str) -> DataFrame:
@@ -91,10 +129,10 @@ def _plain_status(ids: DataFrame, status: str) -> DataFrame:
 def register(documents: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """Stores documents as pending, without processing them."""
     spark = documents.sparkSession
-    rows = cut_lineage(_newest(documents))
-    touched, ids = _touched(rows, buckets), rows.select("document_id")
+    ids = _named(documents)
+    touched = _touched(ids, buckets)
     if touched:
-        replace_rows(spark, folder, "documents", ids, rows, touched, buckets)
+        replace_rows(spark, folder, "documents", ids, _newest(documents, buckets), touched, buckets)
         _set_status(spark, folder, ids, _plain_status(ids, "pending"), touched, buckets)
 
 
@@ -106,16 +144,27 @@ def upsert(
 
     A document passes from ``in_progress`` to ``completed``, or to ``failed`` with the message of what went
     wrong in it, while the others go on; a failed document has no parents, chunks or
-    postings. Texts are parsed once. Every language with an analyzer is indexed by it.
+    postings. Texts are dealt out by bucket once, on their way into the store; what is made from them is
+    made where they lie. Every language with an analyzer is indexed by it.
     """
     spark = documents.sparkSession
-    rows = cut_lineage(_newest(documents))
-    touched, ids = _touched(rows, buckets), rows.select("document_id")
-    if not touched:
-        return
-    replace_rows(spark, folder, "documents", ids, rows, touched, buckets)
+    ids = _named(documents)
+    touched = _touched(ids, buckets)
+    if touched:
+        replace_rows(spark, folder, "documents", ids, _newest(documents, buckets), touched, buckets)
+        _process(spark, folder, ids, touched, embedder, dimension, analyzers, count, buckets)
+
+
+def _process(
+    spark: SparkSession, folder: str, ids: DataFrame, touched: list[int], embedder: Callable | None = None, dimension: int = params.EMBEDDING_DIM,
+    analyzers: dict[str, index.Analyzer] | None = None, count: Callable[[str], int] = chunking.estimate_tokens, buckets: int = BUCKETS,
+) -> None:
+    """Chunks, embeds and indexes stored documents.
+
+    Parents, chunks and statuses each parse the texts; parsed ones, which hold every text twice, are not kept.
+    """
     _set_status(spark, folder, ids, _plain_status(ids, "in_progress"), touched, buckets)
-    parsed = cut_lineage(chunking.parse_documents(rows, count=count).drop("raw_text"))
+    parsed = chunking.parse_documents(_of(spark, folder, "documents", ids, touched), count=count).drop("raw_text")
     chunks, failed = chunking.child_rows(parsed.where("error IS NULL")), None
     if embedder is not None:
         chunks = cut_lineage(vectors.embed_or_tell(chunks, embedder, dimension=dimension))
@@ -131,22 +180,26 @@ def upsert(
         )
     replace_rows(spark, folder, "parents", ids, parents, touched, buckets)
     replace_rows(spark, folder, "chunks", ids, chunks, touched, buckets)
-    replace_rows(spark, folder, "postings", ids, index.postings(chunks, analyzers), touched, buckets)
+    stored = _of(spark, folder, "chunks", ids, touched)
+    replace_rows(spark, folder, "postings", ids, index.postings(stored, analyzers), touched, buckets)
     _set_status(spark, folder, ids, statuses, touched, buckets)
 
 
 def reindex(ids: DataFrame, folder: str, buckets: int = BUCKETS, **options) -> None:
     """Processes stored documents again, by the ids given."""
     spark = ids.sparkSession
+    ids = _named(ids)
+    stored = read(spark, folder, "documents").where(F.col("bucket").isin(_touched(ids, buckets))).select("document_id")
+    ids = cut_lineage(stored.join(ids, "document_id", "left_semi"))
     touched = _touched(ids, buckets)
-    stored = read(spark, folder, "documents").where(F.col("bucket").isin(touched)).drop("bucket")
-    upsert(stored.join(ids.select("document_id"), "document_id", "left_semi"), folder, buckets=buckets, **options)
+    if touched:
+        _process(spark, folder, ids, touched, buckets=buckets, **options)
 
 
 def delete(ids: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
     """Removes documents with all their parents, chunks and postings."""
     spark = ids.sparkSession
-    ids = cut_lineage(ids.select(F.col("document_id").cast("string").alias("document_id")).distinct())
+    ids = _named(ids)
     touched = _touched(ids, buckets)
     if touched:
         # what is made from a document goes before it, so that a delete cut short can be run again

@@ -104,3 +104,31 @@ def test_emptied_buckets_and_nulls(spark, tmp_path):
     store.upsert(docs(spark, TEXTS[:1]).limit(0), folder, buckets=1)
     store.upsert(docs(spark, TEXTS[3:]), folder, buckets=1)
     assert all({r.document_id for r in store.read(spark, folder, t).collect()} == {"d4"} for t in store.TABLES)
+
+
+def test_nothing_is_stored_twice(spark, tmp_path, monkeypatch):
+    # staged copies hold ids only, also when stored documents are processed or changed
+    staged, cut = [], store.cut_lineage
+    monkeypatch.setattr(store, "cut_lineage", lambda df: staged.append(df.columns) or cut(df))
+    folder, many = str(tmp_path / "store"), docs(spark, [(i, "text/plain", "en", f"text number {i}") for i in range(40)])
+    store.register(many, folder, buckets=4)
+    store.reindex(many.select("document_id"), folder, buckets=4)
+    store.upsert(docs(spark, [(3, "text/plain", "en", "another")]), folder, buckets=4)
+    store.delete(many.where("document_id = 'd4'").select("document_id"), folder, buckets=4)
+    assert staged and all(columns == ["document_id"] for columns in staged)
+    assert {r.document_id for r in store.read(spark, folder, "postings").collect()} == {f"d{i}" for i in range(40)} - {"d4"}
+    # files that pile up in a bucket are joined
+    for n in range(2 * store.FILES):
+        store.register(docs(spark, [(3, "text/plain", "en", f"version {n}")]), folder, buckets=4)
+    per_bucket = store.files(spark, folder, "documents").groupBy("bucket").count().collect()
+    assert max(r["count"] for r in per_bucket) <= store.FILES + 2
+    assert store.read(spark, folder, "documents").where("document_id = 'd3'").first().raw_text == f"version {n}"
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = spark.createDataFrame([(i, f"a b {i}", "en", "s", 5) for i in range(6)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.document_id: (r.chunks, r.tokens) for r in entry.queries()["stream_ingest"](spark, str(tmp_path)).collect()}
+    assert found == {str(i): (1, 7) for i in range(6)}
