@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,8 +84,9 @@ class _Answer(StatefulProcessor):
     """Text of one answer as its events arrive in any order.
 
     The text up to the first missing token lies in a list of pieces, one per micro-batch, so that a long
-    answer is never rewritten; tokens ahead of it wait in a map by their number. The
-    closing event carries the number of tokens in front of it, which tells when all are there.
+    answer is never rewritten; tokens ahead of it wait in a list of packs, one per micro-batch that brings
+    no token to go on with, and are read when one comes. So a micro-batch costs an answer a
+    few calls of the store, however many tokens it brings. The closing event carries the number of tokens in front of it, which tells when all are there.
     """
 
     def __init__(self, keys: list[str], stop_after: int) -> None:
@@ -94,7 +96,7 @@ class _Answer(StatefulProcessor):
         self.handle = handle
         self.head = handle.getValueState("head", "expected bigint, closed_at bigint, ended_by string, message string, usage_at bigint, total_tokens bigint, done boolean")
         self.pieces = handle.getListState("pieces", "content string")
-        self.ahead = handle.getMapState("ahead", "seq bigint", "content string")
+        self.ahead = handle.getListState("ahead", "pack string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows))
@@ -102,8 +104,8 @@ class _Answer(StatefulProcessor):
         events, latest = events[events["type"] != "tick"].sort_values("seq", kind="stable"), 0
         if not len(events):
             return
-        expected, closed_at, ended_by, message, usage_at, usage, done = self.head.get() if self.head.exists() else (0, None, None, None, None, None, False)
-        new = []
+        expected, closed_at, ended_by, message, usage_at, usage, done = self.head.get() or (0, None, None, None, None, None, False)
+        new, ahead = [], {}
         for e in events.itertuples(index=False):
             latest = max(latest, int(e.at.timestamp() * 1000))
             if done:
@@ -112,18 +114,18 @@ class _Answer(StatefulProcessor):
                 usage_at, usage = int(e.seq), int(e.total_tokens)
             if e.type in ("done", "error"):
                 closed_at, ended_by, message = int(e.seq), e.type, e.content
-            elif e.type == "token" and e.seq == expected:
-                new.append(e.content)
-                expected += 1
-            elif e.type == "token" and e.seq > expected:
-                self.ahead.updateValue((int(e.seq),), (e.content,))
+            elif e.type == "token" and e.seq >= expected:
+                ahead[int(e.seq)] = e.content
             # smaller numbers are tokens that were delivered before
-            while not done and self.ahead.exists() and self.ahead.containsKey((expected,)):
-                new.append(self.ahead.getValue((expected,))[0])
-                self.ahead.removeKey((expected,))
+        if expected in ahead:
+            ahead = self._waiting() | ahead
+            while expected in ahead:
+                new.append(ahead.pop(expected))
                 expected += 1
-        if new:
             self.pieces.appendValue(("".join(new),))
+            self.ahead.clear()
+        if ahead:
+            self.ahead.appendValue((json.dumps(list(ahead.items())),))
         if not done and closed_at is not None and expected >= closed_at:
             yield self._row(key, ended_by, message, usage)
             # what is delivered again finds the answer done
@@ -136,18 +138,22 @@ class _Answer(StatefulProcessor):
         self.handle.registerTimer(latest + 1000 * self.stop_after)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.head.exists():
-            _, _, ended_by, message, _, usage, done = self.head.get()
+        head = self.head.get()
+        if head:
+            _, _, ended_by, message, _, usage, done = head
             if not done:
                 yield self._row(key, ended_by, message, usage)
         self.head.clear()
         self.pieces.clear()
         self.ahead.clear()
 
+    def _waiting(self) -> dict[int, str]:
+        return {seq: content for pack in self.ahead.get() for seq, content in json.loads(pack[0])}
+
     def _row(self, key, ended_by, message, usage) -> pd.DataFrame:
         text = "".join(p[0] for p in self.pieces.get())
         # tokens are missing only if the answer has been given up
-        text += "".join(c for _, c in sorted((k[0], v[0]) for k, v in self.ahead.iterator()))
+        text += "".join(c for _, c in sorted(self._waiting().items()))
         if ended_by == "error":
             text = f"{text}\n\n*Error: {message}*" if text else f"*Error: {message}*"
         elif ended_by is None and not text:
