@@ -119,6 +119,7 @@ def stream_record_expiry(spark, sf):
     for i in range(parts):
         part = updates.where(F.col("at") >= F.lit(bounds[0] + i * span)) if i else updates
         part = part.where(F.col("at") < F.lit(bounds[0] + (i + 1) * span)) if i < parts - 1 else part
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        # one file each, while the table is read by many tasks
+        part.repartition(1).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     return _collected(jobs.forgotten_stream(stream), base).select("job_id", "status", F.unix_micros("forgotten_at").alias("forgotten_us"))

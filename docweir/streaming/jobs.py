@@ -178,12 +178,12 @@ class _Record(StatefulProcessor):
         self.record = handle.getValueState("record", "status string, until bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.record.get() if self.record.exists() else None
+        held = self.record.get()
         out = []
         for r in pd.concat(list(rows)).sort_values(["at", "status"], kind="stable").itertuples(index=False):
             at = int(r.at.value) // 1000
             if held and held[1] <= at:
-                out.append(self._row(key, *held))
+                out.append(held)
             kept = params.FINISHED_TTL_SECONDS if r.status in ("completed", "failed") else params.RUNNING_TTL_SECONDS
             held = (r.status, at + kept * 1_000_000)
         self.record.update(held)
@@ -192,15 +192,17 @@ class _Record(StatefulProcessor):
         # timers count milliseconds; one that is due too early finds the record's own time
         self.handle.registerTimer(-(-held[1] // 1000))
         if out:
-            yield pd.concat(out)
+            yield self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.record.exists():
-            yield self._row(key, *self.record.get())
+        held = self.record.get()
+        if held:
+            yield self._rows(key, [held])
             self.record.clear()
 
-    def _row(self, key, status, until) -> pd.DataFrame:
-        return pd.DataFrame({"job_id": [key[0]], "status": [status], "forgotten_at": [pd.Timestamp(until, unit="us")]})
+    def _rows(self, key, ended: list[tuple]) -> pd.DataFrame:
+        statuses, until = zip(*ended, strict=True)
+        return pd.DataFrame({"job_id": [key[0]] * len(ended), "status": statuses, "forgotten_at": pd.to_datetime(list(until), unit="us")})
 
     def close(self) -> None:
         pass
