@@ -195,12 +195,11 @@ def hybrid_queries(spark, sf):
 def hybrid_corpus(spark, sf):
     chunks = document_chunks(spark, sf)
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    vecs = chunks.select("chunk_id", "document_id", "user_id").join(vecs, "chunk_id")
     group = F.floor(F.col("document_id") / 4).cast("bigint")
-    full = (
-        chunks.join(vecs, "chunk_id", "left")
-        .withColumn("parent_id", F.when(F.col("document_id") % 7 != 0, F.concat(F.lit("p"), group.cast("string"))))
-        .withColumn("chunk_index", (F.col("document_id") % 4).cast("int"))
-    )
+    full = chunks.withColumn(
+        "parent_id", F.when(F.col("document_id") % 7 != 0, F.concat(F.lit("p"), group.cast("string")))
+    ).withColumn("chunk_index", (F.col("document_id") % 4).cast("int"))
     documents = table(spark, sf, "documents").select(
         F.col("doc_id").alias("document_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://x.org/"), F.col("doc_id").cast("string"))).alias("source_url"),
@@ -208,7 +207,7 @@ def hybrid_corpus(spark, sf):
     parents = full.where(F.col("parent_id").isNotNull()).groupBy("parent_id").agg(
         F.concat(F.lit("parent "), F.first("parent_id")).alias("content")
     )
-    return hybrid.Corpus(full, index.postings(chunks), documents, parents)
+    return hybrid.Corpus(full, index.postings(chunks), documents, parents, vecs)
 
 
 _VECTOR = f"""vector AS (SELECT b.item_id AS query_id, vec_id AS chunk_id,

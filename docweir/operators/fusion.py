@@ -59,7 +59,11 @@ def maybe_asked(rows: DataFrame, asked: DataFrame, key: str, buckets: int = 1 <<
 
 
 def hydrate(candidates: DataFrame, chunks: DataFrame, documents: DataFrame, parents: DataFrame) -> DataFrame:
-    """Attach chunk, document and parent columns to the candidates; texts of others are not moved."""
+    """Attach chunk, document and parent columns to the candidates; texts of others are not moved.
+
+    The candidates, a pool of rows per query, are stored, as the filter and the join both read them.
+    """
+    candidates = cut_lineage(candidates)
     texts = chunks.select("chunk_id", "document_id", "parent_id", "chunk_index", "content")
     found = cut_lineage(candidates.join(maybe_asked(texts, candidates, "chunk_id"), "chunk_id"))
     sources = maybe_asked(documents.select("document_id", "filename", "source_url"), found, "document_id")

@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 
 from docweir import params
 from docweir.operators import bm25, fusion, index, vectors
-from docweir.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """The tables a search reads; ``chunks`` carry ``embedding`` and ``word_count``."""
+    """The tables a search reads; ``chunks`` carry ``word_count``, and ``embedding`` where there are no ``vectors``.
+
+    Vectors that lie in a table of their own, ``(chunk_id, document_id, user_id, embedding)``, stay apart:
+    joined to the chunks, they would have every text shuffled to look up the candidates'.
+    """
 
     chunks: DataFrame
     postings: DataFrame
     documents: DataFrame
     parents: DataFrame
+    vectors: DataFrame | None = None
 
 
 def keyword_branch(queries: DataFrame, corpus: Corpus, columns: dict, pool: int, digits: int | None) -> DataFrame:
@@ -43,7 +47,8 @@ def scope_rows(queries: DataFrame, corpus: Corpus) -> DataFrame:
 
 
 def vector_branch(queries: DataFrame, corpus: Corpus, pool: int, digits: int) -> DataFrame:
-    vecs = corpus.chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "document_id", "user_id", "embedding")
+    held = corpus.chunks if corpus.vectors is None else corpus.vectors
+    vecs = held.where(F.col("embedding").isNotNull()).select("chunk_id", "document_id", "user_id", "embedding")
     if "document_ids" not in queries.columns:
         return vectors.top_k(vecs, queries, pool, digits)
     listed = F.size(F.coalesce("document_ids", F.array().cast("array<string>"))) > 0
@@ -74,8 +79,7 @@ def hybrid_search(
     """
     keyword = keyword_branch(queries, corpus, columns, pool, digits)
     vector = vector_branch(queries, corpus, pool, vector_digits)
-    # a pool of rows per query, which several filters and joins read
-    candidates = cut_lineage(fusion.cut(fusion.fuse(vector, keyword), rerank_pool if score else top_k))
+    candidates = fusion.cut(fusion.fuse(vector, keyword), rerank_pool if score else top_k)
     rows = fusion.hydrate(candidates, corpus.chunks, corpus.documents, corpus.parents)
     if score is None:
         ranked = rows.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("final_rank", F.col("rrf_rank"))

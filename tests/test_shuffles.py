@@ -1,12 +1,17 @@
 """What search and indexing leave in place: plans without the shuffles that grow with all words or all pairs."""
 
+import os
 import re
 from collections import Counter
 
+import pytest
 
+from docweir.catalog import retrieval
 from docweir.functions import analyze
-from docweir.operators import bm25, index
+from docweir.operators import bm25, fusion, index
+from docweir.plans import hybrid
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "chunk_id bigint, document_id bigint, user_id string, language string, content string, word_count int"
 
 
@@ -56,3 +61,36 @@ def test_many_terms_take_the_shuffle_join(spark, monkeypatch):
     monkeypatch.setattr(bm25, "BROADCAST_TERMS", 1)
     many = {(r.query_id, r.chunk_id): r.score for r in bm25.search(terms(spark), index.postings(chunks(spark)), chunks(spark), digits=9).collect()}
     assert few == many
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
+def test_texts_lie_where_they_are_until_candidates_are_known(spark):
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = retrieval.hybrid_corpus(spark, SF)
+        candidates = spark.createDataFrame([(1, i) for i in range(0, 60, 5)], "query_id bigint, chunk_id bigint")
+        texts = held.chunks.select("chunk_id", "parent_id", "content")
+        assert exchanges(texts) == []
+        # only candidates' rows leave the scan: the one exchange is that of their bucket numbers
+        assert [e for e in exchanges(fusion.maybe_asked(texts, candidates, "chunk_id")) if "_bucket" not in e] == []
+        rows = fusion.hydrate(candidates, held.chunks, held.documents, held.parents).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    want = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.chunk_id: r.content for r in rows} == {i: want[i] for i in range(0, 60, 5)}
+    assert {r.chunk_id: r.parent_content for r in rows} == {i: f"parent p{i // 4}" if i % 7 else None for i in range(0, 60, 5)}
+
+
+def test_vectors_of_their_own_table_are_searched_as_those_of_the_chunks(spark):
+    queries = spark.createDataFrame([(1, "u", [1.0, 0.0])], "query_id bigint, user_id string, embedding array<double>")
+    vecs = spark.createDataFrame([(0, [0.0, 1.0]), (2, [1.0, 1.0]), (5, [1.0, 0.1])], "chunk_id bigint, embedding array<double>")
+    apart = chunks(spark).select("chunk_id", "document_id", "user_id").join(vecs, "chunk_id")
+    found = [
+        hybrid.vector_branch(queries, held, 50, 6).orderBy("rank").collect()
+        for held in (
+            hybrid.Corpus(chunks(spark).join(vecs, "chunk_id", "left"), None, None, None),
+            hybrid.Corpus(chunks(spark), None, None, None, apart),
+        )
+    ]
+    assert found[0] == found[1] and [r.chunk_id for r in found[1]] == [5, 2, 0]
