@@ -53,9 +53,13 @@ def links(files: DataFrame) -> DataFrame:
     )
 
 
-def wanted(found: DataFrame) -> DataFrame:
+def is_wanted() -> Column:
     """Links worth fetching: all but the optional ones."""
-    return found.where(~F.col("optional"))
+    return ~F.col("optional")
+
+
+def wanted(found: DataFrame) -> DataFrame:
+    return found.where(is_wanted())
 
 
 def title(body: Column) -> Column:

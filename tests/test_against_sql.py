@@ -42,3 +42,12 @@ def test_character_references_as_in_the_sql(spark, tmp_path):
     page = "<html><head><title>{0}</title></head><body><article><h1>{0}</h1><p><b>{0} and &amp;lt; more</b></p></article></body></html>"
     rows = [(i, f"https://a.example.org/en/{i}", page.format(h)) for i, h in enumerate(heads)]
     check(spark, tmp_path, ["page_title", "page_markdown"], pages=(rows, PAGES))
+
+
+def test_links_of_optional_sections_are_counted_in_one_pass(spark, tmp_path):
+    texts = ["Other words\nA link here", "A link here\nEnd of it\nB more", "no link", "", "Over all\nC one\nIn between\nD two\nOut of\nTo three", "A x\nOld it\nB y\nA z"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    check(spark, tmp_path, ["llms_selected_links"], documents=(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    found = entry.queries()["llms_selected_links"](spark, str(tmp_path / "tables"))
+    assert {r.file_id: (r.links, r.wanted) for r in found.collect()} == {0: (1, 0), 1: (2, 2), 4: (3, 1), 5: (3, 1)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
