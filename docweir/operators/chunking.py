@@ -21,6 +21,12 @@ from docweir.functions.windows import estimate_tokens, pack_parents, scan_blocks
 PARENTS = "array<struct<content:string,breadcrumb:string,children:array<string>>>"
 
 
+def once(fn):
+    """Has a costly function run once a row: a filter on its result, such as an explode brings, is not moved
+    below it, where the function and the texts it reads would be computed a second time."""
+    return fn.asNondeterministic()
+
+
 def char_chunks(c: Column, size: int = params.CHILD_TOKENS, overlap: int = params.CHILD_OVERLAP) -> Column:
     """Split a text into overlapping windows of about ``size`` tokens."""
     width, back = size * params.CHARS_PER_TOKEN, overlap * params.CHARS_PER_TOKEN
@@ -29,7 +35,7 @@ def char_chunks(c: Column, size: int = params.CHILD_TOKENS, overlap: int = param
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_windows(t or "", width, back))
 
-    return split(c)
+    return once(split)(c)
 
 
 def token_chunks(c: Column, size: int = params.CHILD_TOKENS, overlap: int = params.CHILD_OVERLAP) -> Column:
@@ -84,7 +90,7 @@ def _markdown_parents(
                     rows.append(("{}", [], str(e)))
             yield pd.DataFrame(rows, columns=["meta", "parents", "error"])
 
-    return chunk
+    return once(chunk)
 
 
 def parse_documents(

@@ -1,11 +1,12 @@
 import json
+import tracemalloc
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docweir.functions import html_runs, markdown, text
+from docweir.functions import html_runs, markdown, text, windows
 from docweir.functions.front_matter import split_front_matter
 from docweir.functions.stem import stem
 from docweir.functions.windows import estimate_tokens, pack_parents, scan_blocks, split_windows
@@ -37,6 +38,17 @@ def test_windows_cover_the_text_in_order(body, width, overlap):
     assert sum(map(len, "".join(pieces).split())) >= sum(map(len, body.split()))
 
 
+def test_windows_keep_no_list_of_separators():
+    body = "a b. c\n" * 100_000
+    tracemalloc.start()
+    try:
+        n = sum(1 for _ in windows._window_spans(body, 1280, 160))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 500 and peak < 100_000
+
+
 def test_front_matter():
     meta, body = split_front_matter("---\nweight: 7\ntags: [a, b]\n---\n\nFirst line")
     assert json.loads(meta) == {"weight": 7, "tags": ["a", "b"]} and body == "First line"
@@ -77,6 +89,17 @@ def test_chunk_rows(spark):
     assert [r.document_id for r in chunking.without_chunks(parsed).collect()] == ["3"]
 
 
+def test_documents_are_parsed_once(spark):
+    schema = "document_id string, user_id string, filename string, content_type string, language string, raw_text string"
+    docs = spark.createDataFrame([(str(i), "u", "f", f"text/{t}", "en", "# T\n\nbody") for i, t in enumerate(("plain", "markdown"))], schema)
+    for kind, n in (("text/plain", 1), ("text/markdown", 1)):
+        parsed = chunking.parse_documents(docs.withColumn("content_type", F.lit(kind)))
+        for rows in (chunking.parent_rows(parsed), chunking.child_rows(parsed), chunking.without_chunks(parsed), parsed.where("error IS NULL")):
+            plan = rows._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("ArrowEvalPython") <= n, plan
+    assert chunking.parent_rows(chunking.parse_documents(docs)).count() == 2
+
+
 @pytest.mark.parametrize(
     "word,want",
     [("running", "run"), ("runners", "runner"), ("flies", "fli"), ("caresses", "caress"), ("hopping", "hop"), ("hoped", "hope"),
