@@ -27,8 +27,13 @@ BROADCAST_TERMS = 1_000_000
 
 
 def _sent(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Broadcasts ``rows``, of which there are no more than terms, while these are few."""
-    return F.broadcast(rows) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else rows
+    """Broadcasts ``rows``, of which there are no more than terms, while these are few; else they are never broadcast."""
+    return F.broadcast(rows) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else _dealt(rows)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Has a join shuffle ``rows``: by the size of its files, a stored table of ids counts as small however many rows it has."""
+    return rows.hint("merge")
 
 
 def asked_postings(terms: DataFrame, postings: DataFrame) -> DataFrame:
@@ -122,21 +127,22 @@ def search_scoped(
     frequency all run over its documents only. Postings of asked lexemes in listed documents are stored;
     they meet the lists document by document and the terms in the same
     partition, once to count and once to score, so hits are neither stored nor shuffled. Lengths are
-    summed per document before they meet the lists.
+    summed per document before they meet the lists. Lists hold a row for each query and document: they are
+    stored by document and never broadcast.
     """
-    terms, scope = cut_lineage(terms), cut_lineage(scope)
-    lists = scope.select("query_id", "user_id", "document_id").distinct()
+    terms = cut_lineage(terms)
+    lists = cut_lineage(scope.select("query_id", "user_id", "document_id").repartition("user_id", "document_id").distinct())
     lengths = chunks.groupBy("user_id", "document_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col("word_count").cast("double")).alias("_words"), F.count("word_count").alias("_counted")
     )
     mean = F.try_divide(F.sum("_words"), F.sum("_counted"))
-    stats = lists.join(lengths, ["user_id", "document_id"]).groupBy("query_id", "user_id").agg(
+    stats = _dealt(lists).join(lengths, ["user_id", "document_id"]).groupBy("query_id", "user_id").agg(
         F.sum("_n").cast("double").alias("n_chunks"), index.mean_or_one(mean).alias("avg_words")
     )
-    listed = scope.select("user_id", "document_id").distinct()
-    asked = asked_postings(terms, postings).join(listed, ["user_id", "document_id"], "left_semi")
+    listed = lists.select("user_id", "document_id").distinct()
+    asked = asked_postings(terms, postings).join(_sent(listed, listed), ["user_id", "document_id"], "left_semi")
     asked = cut_lineage(asked.select(*KEY, "chunk_id", "document_id", "tf", "word_count"))
-    placed = asked.repartition("user_id", "document_id").join(lists, ["user_id", "document_id"])
+    placed = asked.repartition("user_id", "document_id").join(_dealt(lists), ["user_id", "document_id"])
     freq = placed.join(_sent(terms, terms), ["query_id", *KEY]).groupBy("query_id", *KEY).agg(F.count(F.lit(1)).alias("doc_freq"))
     weighed = freq.join(stats, ["query_id", "user_id"]).select(
         "query_id", *KEY, "avg_words", idf(F.col("n_chunks"), F.col("doc_freq")).alias("idf")

@@ -63,6 +63,19 @@ def test_many_terms_take_the_shuffle_join(spark, monkeypatch):
     assert few == many
 
 
+def test_document_lists_are_never_broadcast(spark, monkeypatch):
+    # a row for each query and document: stored, they are small files, in the driver's memory they are not
+    scope = spark.range(6000).selectExpr("cast(id div 60 as int) as query_id", "'u' as user_id", "id % 60 as document_id")
+    found = bm25.search_scoped(terms(spark), scope, index.postings(chunks(spark)), chunks(spark), digits=9)
+    joins = re.findall(r"(\w+Join) \[[^\]]*document_id#[^\]]*\]", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and not [j for j in joins if j.startswith("Broadcast")]
+    few = {(r.query_id, r.chunk_id): r.score for r in found.collect()}
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 1)
+    many = bm25.search_scoped(terms(spark), scope, index.postings(chunks(spark)), chunks(spark), digits=9)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and {(r.query_id, r.chunk_id): r.score for r in many.collect()} == few and len(few) == 6
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
 def test_texts_lie_where_they_are_until_candidates_are_known(spark):
     least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
