@@ -1,6 +1,6 @@
 """The document store: documents, statuses, parents, chunks and postings as tables in hash buckets.
 
-Every table of a folder is partitioned by ``bucket``, a hash of the document id, so that what belongs
+Postings are stored as a list in their chunk's row. Every table of a folder is partitioned by ``bucket``, a hash of the document id, so that what belongs
 to one document lies in one bucket of each table. A change rewrites the buckets that hold
 its documents and leaves all other files alone: the rows of these documents go, the new ones
 come, whether they were there before or not. So a batch that is delivered again changes
@@ -9,7 +9,8 @@ nothing, and deleting a document reaches everything that was made from it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ BUCKETS = 64
 BROADCAST_IDS = 500_000
 #: Files that a bucket may have before a change makes them one again.
 FILES = 4
+#: Files that a task may write at a time; with more buckets than that it sorts the rest of its rows.
+OPEN_FILES = 64
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 DOCUMENT = ("document_id", "user_id", "filename", "content_type", "language", "raw_text")
 STATUS = "document_id string, status string, error_message string, meta string"
 
@@ -42,10 +46,16 @@ def exists(spark: SparkSession, folder: str, table: str) -> bool:
     return files.exists(path)
 
 
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+def _stored(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}")
 
 
+def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """Rows of a table; postings, which are stored as a list in each chunk's row, one by one."""
+    rows = _stored(spark, folder, table)
+    return index.each_posting(rows) if table == "postings" else rows
+
+
 def _touched(ids: DataFrame, buckets: int) -> list[int]:
     """Bucket numbers of the given documents; there are at most ``buckets`` of them."""
     return [r[0] for r in ids.select(bucket_of(F.col("document_id"), buckets)).distinct().collect()]
@@ -65,6 +75,20 @@ def _few(ids: DataFrame) -> bool:
     return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
 
+@contextmanager
+def _unsorted(spark: SparkSession) -> Iterator[None]:
+    """Has Spark write rows by bucket in the order they come in, instead of sorting them by bucket first.
+
+    A task reads a few files, each of one bucket, and keeps a file open for each of these buckets.
+    """
+    before = spark.conf.get(WRITERS)
+    spark.conf.set(WRITERS, str(OPEN_FILES))
+    try:
+        yield
+    finally:
+        spark.conf.set(WRITERS, before)
+
+
 def replace_rows(spark: SparkSession, folder: str, table: str, ids: DataFrame, fresh: DataFrame | None, touched: list[int], buckets: int = BUCKETS) -> None:
     """Rewrites the touched buckets of a table: rows of ``ids`` go, ``fresh`` ones come.
 
@@ -77,7 +101,7 @@ def replace_rows(spark: SparkSession, folder: str, table: str, ids: DataFrame, f
     rows = fresh.withColumn("bucket", bucket_of(F.col("document_id"), buckets)) if fresh is not None else None
     if before:
         few = _few(ids)
-        old = read(spark, folder, table).where(F.col("bucket").isin(touched))
+        old = _stored(spark, folder, table).where(F.col("bucket").isin(touched))
         old = old.join(F.broadcast(ids.select("document_id")) if few else ids.select("document_id"), "document_id", "left_anti")
         rows = old if rows is None else rows.unionByName(old, allowMissingColumns=True)
         if not few or max(map(len, before.values())) > FILES:
@@ -88,7 +112,8 @@ def replace_rows(spark: SparkSession, folder: str, table: str, ids: DataFrame, f
     if not exists(spark, folder, table):
         # a file without rows keeps the columns of a table whose documents have all gone
         spark.createDataFrame([], rows.drop("bucket").schema).coalesce(1).write.parquet(f"{folder}/{table}/bucket=-1")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/{table}")
+    with _unsorted(spark):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/{table}")
     after = _files_by_bucket(spark, folder, table, touched)
     for number, names in before.items():
         if after.get(number) == names:
@@ -112,7 +137,7 @@ def _named(documents: DataFrame) -> DataFrame:
 
 def _of(spark: SparkSession, folder: str, table: str, ids: DataFrame, touched: list[int]) -> DataFrame:
     """Stored rows of the given documents. The rows are joined only if their buckets hold other documents too."""
-    stored = read(spark, folder, table).where(F.col("bucket").isin(touched)).drop("bucket")
+    stored = _stored(spark, folder, table).where(F.col("bucket").isin(touched)).drop("bucket")
     if stored.select("document_id").distinct().join(ids, "document_id", "left_anti").isEmpty():
         return stored
     return stored.join(F.broadcast(ids) if _few(ids) else ids, "document_id", "left_semi")
@@ -181,7 +206,7 @@ def _process(
     replace_rows(spark, folder, "parents", ids, parents, touched, buckets)
     replace_rows(spark, folder, "chunks", ids, chunks, touched, buckets)
     stored = _of(spark, folder, "chunks", ids, touched)
-    replace_rows(spark, folder, "postings", ids, index.postings(stored, analyzers), touched, buckets)
+    replace_rows(spark, folder, "postings", ids, index.posting_lists(stored, analyzers), touched, buckets)
     _set_status(spark, folder, ids, statuses, touched, buckets)
 
 
@@ -209,6 +234,6 @@ def delete(ids: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
 
 def files(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """(bucket, path, changed_at, size) of a table's files."""
-    return read(spark, folder, table).select(
+    return _stored(spark, folder, table).select(
         "bucket", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("changed_at"), F.col("_metadata.file_size").alias("size")
     ).distinct()

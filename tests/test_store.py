@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweir.functions import analyze
-from docweir.operators import chunking
+from docweir.operators import chunking, index
 from docweir.sources import store
 from docweir.streaming import ingest
 
@@ -125,6 +125,21 @@ def test_nothing_is_stored_twice(spark, tmp_path, monkeypatch):
     assert store.read(spark, folder, "documents").where("document_id = 'd3'").first().raw_text == f"version {n}"
 
 
+def test_a_chunk_has_one_row_in_every_table(spark, tmp_path):
+    # a row for each posting made every change write a hundred times the rows of the chunks
+    folder, writers = str(tmp_path / "store"), spark.conf.get(store.WRITERS)
+    store.upsert(docs(spark, TEXTS + [(5, "text/plain", "en", "--")]), folder, analyzers={"en": analyze.english}, buckets=4)
+    store.upsert(docs(spark, TEXTS[:1]), folder, analyzers={"en": analyze.english}, buckets=4)
+    store.delete(docs(spark, TEXTS[1:2]).select("document_id"), folder, buckets=4)
+    chunks = store.read(spark, folder, "chunks")
+    assert spark.read.parquet(f"{folder}/postings").count() == chunks.count()
+    want = index.postings(chunks, {"en": analyze.english})
+    got = store.read(spark, folder, "postings").drop("bucket").select(*want.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and want.count() > 8
+    # other writes of the session sort as they did
+    assert spark.conf.get(store.WRITERS) == writers
+
+
 def test_streams_read_tables_that_are_folders(spark, tmp_path):
     import __spark_entry__ as entry
 
