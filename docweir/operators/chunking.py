@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from docweir import params
 from docweir.functions import text
 from docweir.functions.front_matter import split_front_matter
-from docweir.functions.windows import estimate_tokens, pack_parents, scan_blocks, split_windows
+from docweir.functions.windows import count_words, estimate_tokens, pack_parents, scan_blocks, split_windows
 
-PARENTS = "array<struct<content:string,breadcrumb:string,children:array<string>>>"
+#: ``words`` has the number of words of each child.
+PARENTS = "array<struct<content:string,breadcrumb:string,children:array<string>,words:array<int>>>"
 
 
 def once(fn):
@@ -71,9 +72,31 @@ def blocks(c: Column) -> Column:
     return scan(c)
 
 
+def _counted_windows(width: int, back: int) -> Callable[[str | None], dict]:
+    """Text -> its windows, or itself where it has none, and their numbers of words, counted while they are at hand."""
+
+    def windows(whole: str | None) -> dict:
+        children = split_windows(whole or "", width, back) or [whole]
+        return {"children": children, "words": [None if c is None else count_words(c) for c in children]}
+
+    return windows
+
+
+def _plain_children(width: int, back: int) -> Callable[[Column], Column]:
+    counted_windows = _counted_windows(width, back)
+
+    @F.pandas_udf("struct<children:array<string>,words:array<int>>")
+    def split(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counted_windows(t) for t in texts], columns=["children", "words"])
+
+    return once(split)
+
+
 def _markdown_parents(
     count: Callable[[str], int], parent_size: int, width: int, back: int
 ) -> Callable[[Column], Column]:
+    counted_windows = _counted_windows(width, back)
+
     @F.pandas_udf(f"struct<meta:string,parents:{PARENTS},error:string>")
     def chunk(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -82,7 +105,7 @@ def _markdown_parents(
                 try:
                     meta, body = split_front_matter(raw or "")
                     parents = [
-                        {"content": c, "breadcrumb": b, "children": split_windows(c, width, back) or [c]}
+                        {"content": c, "breadcrumb": b} | counted_windows(c)
                         for c, b in pack_parents(scan_blocks(body), parent_size, count)
                     ]
                     rows.append((meta, parents, None))
@@ -107,10 +130,10 @@ def parse_documents(
     """
     width, back = child_size * params.CHARS_PER_TOKEN, child_overlap * params.CHARS_PER_TOKEN
     is_plain = F.col("content_type").eqNullSafe("text/plain")
-    windows = char_chunks(F.col("raw_text"), child_size, child_overlap)
+    windows = _plain_children(width, back)
     plain = (
         documents.where(is_plain)
-        .withColumn("_w", windows)
+        .withColumn("_w", windows(F.col("raw_text")))
         .withColumn("meta", F.lit("{}"))
         .withColumn(
             "parents",
@@ -118,7 +141,8 @@ def parse_documents(
                 F.struct(
                     F.col("raw_text").alias("content"),
                     F.lit(None).cast("string").alias("breadcrumb"),
-                    F.when(F.size("_w") > 0, F.col("_w")).otherwise(F.array("raw_text")).alias("children"),
+                    F.col("_w.children").alias("children"),
+                    F.col("_w.words").alias("words"),
                 )
             ).cast(PARENTS),
         )
@@ -157,7 +181,9 @@ def child_rows(parsed: DataFrame) -> DataFrame:
             "parents",
             lambda p, i: F.transform(
                 p["children"],
-                lambda c: F.struct(i.alias("parent_index"), p["breadcrumb"].alias("breadcrumb"), c.alias("child")),
+                lambda c, nth: F.struct(
+                    i.alias("parent_index"), p["breadcrumb"].alias("breadcrumb"), c.alias("child"), F.get(p["words"], nth).alias("words")
+                ),
             ),
         )
     )
@@ -170,6 +196,8 @@ def child_rows(parsed: DataFrame) -> DataFrame:
         F.concat(F.lit("[Context: "), F.col("c.breadcrumb"), F.lit("]")),
     )
     content = F.concat(prefix, F.lit("\n\n"), F.col("c.child"))
+    # the blank line parts the words of the prefix from those of the child
+    word_count = text.word_count(prefix) + F.col("c.words")
     return rows.select(
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
         parent_id(F.col("document_id"), F.col("c.parent_index")).alias("parent_id"),
@@ -179,7 +207,7 @@ def child_rows(parsed: DataFrame) -> DataFrame:
         "chunk_index",
         F.col("c.parent_index").alias("parent_index"),
         content.alias("content"),
-        text.word_count(content).alias("word_count"),
+        word_count.alias("word_count"),
     )
 
 

@@ -138,3 +138,14 @@ def test_extraction(spark):
     )
     assert got[2].content == "longer text" and got[3].content == ""
     assert html_runs.read("<meta property='og:title' content=' O '>")[0] == "O"
+
+
+def test_words_of_chunks_are_counted_with_their_windows(spark):
+    texts = ["", None, " \n", "one", "a\x0bb\x85c\x1cd e \xa0f\ng  h\ti", "# Head\n\nword, " + "été x. " * 900, "w" * 3000]
+    rows = [(f"{kind}{i}", "u", None if i == 3 else f"a name {i}.txt", kind, "en", t) for i, t in enumerate(texts) for kind in ("text/plain", "text/markdown")]
+    parsed = chunking.parse_documents(spark.createDataFrame(rows, "document_id string, user_id string, filename string, content_type string, language string, raw_text string"))
+    chunks = chunking.child_rows(parsed).select("document_id", "word_count", text.word_count(F.col("content")).alias("want")).collect()
+    assert len(chunks) > 20 and all(r.word_count == r.want for r in chunks)
+    # they come from the chunker, so no text is read for them again
+    whole = parsed.selectExpr("explode(parents) as p").selectExpr("size(p.children) as n", "size(p.words) as m").collect()
+    assert whole and all(r.n == r.m for r in whole)
